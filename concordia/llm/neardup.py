@@ -218,7 +218,8 @@ def jaccard_classes(
     many = (dealt.agg(F.max("blocks")).first()[0] or 0) > 1
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     text = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    tasks = text.join(dealt, "rep").select("*", pair.alias("other"))
+    # the text is shuffled once at every size; a broadcast of the classes would grow with the corpus
+    tasks = text.join(dealt.hint("shuffle_hash"), "rep").select("*", pair.alias("other"))
     tasks = tasks.select("root", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "h1", "n", "block", "text")
     checked = written(tasks.groupBy("root", "bi", "bj").applyInArrow(_verify(k, threshold), "rep long, links long, label long"), "checked")
     if many:  # a class may run over several tasks
