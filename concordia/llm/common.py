@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one pass of the kernels holds; a longer document is cut between words.
 PIECE = 1 << 20
@@ -49,6 +50,29 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+# ---------------------------------------------------------------- columns
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(df: DataFrame, **own: str) -> DataFrame:
+    """Columns under the operator's own names, and all other columns out of the way in the struct ``_row``.
+
+    Whatever the other columns are called, they cannot clash with the operator's.
+    """
+    rest = [F.col(quoted(c)) for c in df.columns if c not in own.values()]
+    return df.select(*[F.col(quoted(c)).alias(k) for k, c in own.items()], F.struct(F.lit(0).alias("_"), *rest).alias("_row"))
+
+
+def unpacked(df: DataFrame, like: DataFrame, own: dict[str, str], *more: str) -> DataFrame:
+    """The columns of ``like`` in their order, then the new columns ``more``, which replace any of the same name."""
+    back = {c: k for k, c in own.items()}
+    old = [F.col(quoted(back[c]) if c in back else "_row." + quoted(c)).alias(c) for c in like.columns if c not in more]
+    return df.select(*old, *more)
+
+
 # ---------------------------------------------------------------- words
 
 _U = np.uint64

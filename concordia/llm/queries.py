@@ -19,6 +19,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
 
 
+def op2_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm.mixing import balanced_mix
+
+    mixed = balanced_mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm.quality import fit, judged
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rows = judged(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", "source", "lang", "evidence", "site_share", "score", "keep")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordia.llm.neardup import jaccard_classes
 
@@ -53,6 +68,8 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN longes
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_balanced_mix": op2_balanced_mix,
+        "op5_quality": op5_quality,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op10_decontaminate": op10_decontaminate,
     }
