@@ -26,6 +26,15 @@ def op2_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm import pii
+
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = pii.joined(F.concat("base", "added")).alias("spans")
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), spans)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordia.llm.quality import fit, judged
 
@@ -69,6 +78,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN longes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_balanced_mix": op2_balanced_mix,
+        "op3_pii": op3_pii,
         "op5_quality": op5_quality,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op10_decontaminate": op10_decontaminate,
