@@ -73,6 +73,26 @@ def unpacked(df: DataFrame, like: DataFrame, own: dict[str, str], *more: str) ->
     return df.select(*old, *more)
 
 
+_SUM_BLOCK = 128
+
+
+def with_running_sums(rows: DataFrame, lengths: str, out: str) -> DataFrame:
+    """``out``: for each element of the int array ``lengths``, the sum up to and with it.
+
+    Whole blocks are summed first, then the rest of a block, so an array of m elements costs
+    about 64 m steps.  Every step is a column that the next one reads more than once, which
+    keeps the optimiser from moving it into the per-element functions.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    block = lambda i: F.floor(i / _SUM_BLOCK).cast("int")
+    some = lambda c, value: F.when(F.size(c) > 0, value).otherwise(F.array().cast("array<int>"))
+    sums, before = f"{out}_b", f"{out}_q"
+    rows = rows.withColumn(sums, some(lengths, F.transform(F.sequence(F.lit(0), block(F.size(lengths) - 1)), lambda b: total(F.slice(lengths, b * _SUM_BLOCK + 1, _SUM_BLOCK)))))
+    rows = rows.withColumn(before, some(sums, F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i)))))
+    inside = lambda i: total(F.slice(lengths, block(i) * _SUM_BLOCK + 1, i % _SUM_BLOCK + 1))
+    return rows.withColumn(out, some(before, F.transform(lengths, lambda _, i: F.get(before, block(i)) + inside(i)))).drop(sums, before)
+
+
 # ---------------------------------------------------------------- words
 
 _U = np.uint64

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import packed, unpacked
+from concordia.llm.common import packed, unpacked, with_running_sums
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "local_phone", "national_id", "secret")
@@ -47,30 +47,14 @@ CONTEXT = {
     "iban": r"iban|bank|account|transfer|swift", "local_phone": r"phone|tel|call|fax|mobile", "national_id": r"ssn|social|national|identity", "secret": r"(?:password|passwd|token|secret|api[_-]?key)\s*[=:]",
 }
 CHECKSUM_ADDS, CONTEXT_ADDS, LEAST_SCORE, AROUND = 0.5, 0.4, 0.6, 32
-_BLOCK = 128
-
-
-def _total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda s, x: s + x)
 
 
 def _with_starts(rows: DataFrame, kind: str) -> DataFrame:
-    """``_s_<kind>``: where each match begins, from ``_m_<kind>`` (matches) and ``_p_<kind>`` (lengths of the pieces around them).
-
-    Match i begins after all pieces to i and all matches before i.  The sums go over whole
-    blocks first, then over the rest of a block.  Every step is a column that the next one
-    reads more than once, so the optimiser keeps it out of the per-element functions.
-    """
-    m, p, g, k, q = (f"_{x}_{kind}" for x in "mpgkq")
-    block = lambda i: F.floor(i / _BLOCK).cast("int")
-    none = F.array().cast("array<int>")
-    some = lambda c, value: F.when(F.size(c) > 0, value).otherwise(none)
-    gaps = F.transform(p, lambda x, i: x + F.when(i == 0, 0).otherwise(F.length(F.get(m, i - 1))))
-    rows = rows.withColumn(g, some(m, F.slice(gaps, F.lit(1), F.size(m))))
-    rows = rows.withColumn(k, some(g, F.transform(F.sequence(F.lit(0), block(F.size(g) - 1)), lambda b: _total(F.slice(g, b * _BLOCK + 1, _BLOCK)))))
-    rows = rows.withColumn(q, some(k, F.transform(k, lambda _, i: _total(F.slice(k, F.lit(1), i)))))
-    inside = lambda i: _total(F.slice(g, block(i) * _BLOCK + 1, i % _BLOCK + 1))
-    return rows.withColumn(f"_s_{kind}", some(q, F.transform(g, lambda _, i: F.get(q, block(i)) + inside(i)))).drop(p, g, k, q)
+    """``_s_<kind>``: where each match begins, from ``_m_<kind>`` (matches) and ``_p_<kind>`` (lengths of the pieces around them)."""
+    m, p, g = (f"_{x}_{kind}" for x in "mpg")
+    gaps = F.transform(p, lambda x, i: x + F.when(i == 0, 0).otherwise(F.length(F.get(m, i - 1))))  # match i: all pieces to i, all matches before
+    rows = rows.withColumn(g, F.when(F.size(m) > 0, F.slice(gaps, F.lit(1), F.size(m))).otherwise(F.array().cast("array<int>")))
+    return with_running_sums(rows, g, f"_s_{kind}").drop(p, g)
 
 
 def _digits(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm import chat
+
+    extra = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(extra).alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    back = chat.read_back(chat.formatted(turns))
+    per_turn = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(per_turn, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordia.llm.decontaminate import contamination
 
@@ -35,6 +49,17 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), spans)
 
 
+#: The site rules of the query.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm.urls import Site, judged
+
+    found = judged(_table(spark, sf_dir, "pages").select("page_id", "url"), [Site(*r) for r in URL_RULES])
+    return found.select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordia.llm.quality import fit, judged
 
@@ -43,6 +68,25 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "lang", "evidence", "site_share", "score", "keep")
 
 
+def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm.tokens import section_tokens
+
+    return section_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm.topk import exact_topk
+
+    usable = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(_finite(F.col("embedding")))
+    vectors = usable.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double"))).alias("v"))
+    return exact_topk(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+def _finite(vector: Column) -> Column:
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    return vector.isNotNull() & ~F.coalesce(bad, F.lit(True))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordia.llm.neardup import jaccard_classes
 
@@ -75,15 +119,57 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN longes
 """
 
 
+_HOST = "translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP4 = f"""
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages),
+h AS (SELECT page_id, {_HOST} AS host, regexp_extract(substr(u, length(regexp_extract(u, '^[^/?#]*')) + 1), '^[^?#]*') AS path,
+             {_HOST} || substr(u, length(regexp_extract(u, '^[^/?#]*')) + 1) AS t, row_number() OVER () AS r FROM p),
+rules(action, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+best AS (SELECT r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS verdict FROM h JOIN rules
+         ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r),
+pat(pattern) AS (VALUES {", ".join("('" + p + "')" for p in (r"(?:^|\.)spam-farm\.", "(?:^|[./-])casino[./-]", "(?:^|[./-])adult[./-]", "/login(?:[/?#.]|$)", "/cart(?:[/?#.]|$)", r"[?&]sessionid="))}),
+other AS (SELECT r, max(pattern) AS pattern FROM h JOIN pat ON regexp_matches(t, pattern) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN pattern END AS pattern
+FROM h LEFT JOIN best USING (r) LEFT JOIN other USING (r)
+"""
+
+_OP7 = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+_ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2\\\3', 'g')"
+_OP9 = f"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT *, length({_ESCAPED.format("text")}) + CASE WHEN lag(role) OVER w IS NOT DISTINCT FROM role AND row_number() OVER w > 1 THEN 8
+             ELSE 16 + length({_ESCAPED.format("role")}) + CASE WHEN row_number() OVER w > 1 THEN 7 ELSE 0 END END AS size
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) + 7 AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_balanced_mix": op2_balanced_mix,
         "op3_pii": op3_pii,
+        "op4_url_filter": op4_url_filter,
         "op5_quality": op5_quality,
+        "op6_section_tokens": op6_section_tokens,
+        "op7_exact_topk": op7_exact_topk,
         "op8_ngram_jaccard": op8_ngram_jaccard,
+        "op9_chat_format": op9_chat_format,
         "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": _OP10}
+    return {"op4_url_filter": _OP4, "op7_exact_topk": _OP7, "op9_chat_format": _OP9, "op10_decontaminate": _OP10}
