@@ -33,6 +33,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm.lines import dedup_lines
+
+    kept = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordia.llm.mixing import balanced_mix
 
@@ -119,6 +126,22 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN longes
 """
 
 
+_OP1 = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+f AS (SELECT line, length(line) AS n, 8 * (length(line) // 16) AS p, min((doc_id, no)) AS at FROM l WHERE trim(line, ' ') <> '' GROUP BY line),
+c AS (SELECT a.line, a.at, b.line AS other FROM f a JOIN f b ON a.n >= 16 AND b.n >= 16 AND left(a.line, 8) = left(b.line, 8) AND abs(a.n - b.n) <= 1 AND b.at < a.at
+          AND left(a.line, least(a.p, b.p)) = left(b.line, least(a.p, b.p))
+      UNION SELECT a.line, a.at, b.line FROM f a JOIN f b ON a.n >= 16 AND b.n >= 16 AND right(a.line, 8) = right(b.line, 8) AND abs(a.n - b.n) <= 1 AND b.at < a.at
+          AND right(a.line, least(a.p, b.p)) = right(b.line, least(a.p, b.p))),
+near AS (SELECT DISTINCT line FROM c WHERE levenshtein(line, other) <= 1),
+k AS (SELECT l.doc_id, l.no, l.line, f.at IS NOT NULL AND (near.line IS NOT NULL OR (l.doc_id, l.no) > f.at) AS gone
+      FROM l LEFT JOIN f USING (line) LEFT JOIN near USING (line)),
+t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CAST(CASE WHEN d.text IS NOT NULL THEN length(kept) END AS BIGINT) AS kept_chars,
+       CASE WHEN d.text IS NOT NULL THEN sha256(kept) END AS kept_sha256
+FROM documents d LEFT JOIN t USING (doc_id)
+"""
+
 _HOST = "translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP4 = f"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages),
@@ -159,6 +182,7 @@ FROM m GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_balanced_mix": op2_balanced_mix,
         "op3_pii": op3_pii,
         "op4_url_filter": op4_url_filter,
@@ -172,4 +196,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": _OP4, "op7_exact_topk": _OP7, "op9_chat_format": _OP9, "op10_decontaminate": _OP10}
+    return {"op1_line_dedup": _OP1, "op4_url_filter": _OP4, "op7_exact_topk": _OP7, "op9_chat_format": _OP9, "op10_decontaminate": _OP10}

@@ -1,12 +1,65 @@
-"""Corpus preparation in five stages, each one operator of ``concordia.llm``."""
+"""Corpus preparation in five stages, each one operator of ``concordia.llm``.
+
+Every stage is written as Parquet in the shared folder and read again by the next one, so a
+lost executor costs at most the stage it worked on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concordia.llm.common import written
+from concordia.llm.decontaminate import decontaminate
+from concordia.llm.lines import dedup_lines
+from concordia.llm.mixing import take
+from concordia.llm.neardup import keep_one
+from concordia.llm.quality import keep_clean
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, with the evidence of their source and language, doesn't reject."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand, but for one character at most, earlier; those left blank by that go."""
+    rows = dedup_lines(docs, counts=True).where((F.col("n_dropped") == 0) | (F.trim(F.translate("text", "\n", " ")) != ""))
+    rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies (five-word shingles, similarity 0.8 or more)."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten words in a row of a benchmark item, nor a whole shorter one."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return take(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", mixture),
+]
 
-STAGES: list = []
+#: Logistic regression, MinHash and entropy balancing have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, f"stage{i}")
+    return docs
