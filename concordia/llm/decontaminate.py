@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordia.llm.common import grams, spread, texts, words
+from concordia.llm.common import grams, packed, quoted, spread, texts, unpacked, words
 
 #: Words of the benchmark in one broadcast: 4 Mi words are 32 MB of hashes.
 BLOCK_WORDS = 1 << 22
@@ -72,7 +72,7 @@ def benchmark_blocks(bench: DataFrame, item_col: str, text_col: str, window: int
                     ["item", "words"],
                 )
 
-    rows = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(text_col).cast("string")).mapInArrow(hashed, "item string, words binary")
+    rows = bench.select(F.coalesce(F.col(quoted(item_col)).cast("string"), F.lit("")).alias("item"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(hashed, "item string, words binary")
     held, n = [], 0
     for item, w in rows.where(F.length("words") > 0).toLocalIterator():
         held.append((item, np.frombuffer(bytes(w), np.uint64)))
@@ -226,20 +226,21 @@ def contamination(
         for b in batches:
             for lo, hi, data, off in texts(b.column(1)):
                 found = _judge(data, off, blocks, window)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(found[k], t) for k, t in types.items())], [id_col, *types])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(found[k], t) for k, t in types.items())], ["_id", *types])
 
-    schema = T.StructType([docs.schema[id_col], *_FOUND])
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(judge, schema)
+    rows = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("_text"))
+    return rows.mapInArrow(judge, T.StructType([rows.schema["_id"], *_FOUND])).withColumnRenamed("_id", id_col)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = 10) -> DataFrame:
     """The document rows without any hit word, with all their columns."""
     blocks = _blocks(docs, bench, item_col, bench_text, window)
-    at = docs.columns.index(text_col)
+    own = {"_text": text_col}
+    rows = packed(docs, **own)
 
     def keep(batches):
         for b in batches:
-            for lo, hi, data, off in texts(b.column(at)):
+            for lo, hi, data, off in texts(b.column(0)):
                 yield b.slice(lo, hi - lo).filter(pa.array(~_judge(data, off, blocks, window)["contaminated"]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return unpacked(rows.mapInArrow(keep, rows.schema), docs, own)

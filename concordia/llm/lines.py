@@ -26,14 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import packed, unpacked, written
+from concordia.llm.common import packed, quoted, unpacked, written
 
 #: Characters of the shortest line that may be dropped for a near one, and the width of a length class.
 SHORTEST, CLASS = 16, 16
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)).alias("no", "line"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.posexplode(F.split(F.col(quoted(text_col)).cast("string"), "\n", -1)).alias("no", "line"))
     rows = rows.where(F.trim("line") != "")
     return rows.select("id", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from concordia.llm.common import packed, unpacked, written
+from concordia.llm.common import packed, quoted, unpacked, written
 
 _LEVELS = 512
 #: A side of up to so many sources (one short row each) is broadcast, else joined by a shuffle.
@@ -176,4 +176,4 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """The mix itself: every document row as often as it is taken, numbered by ``copy`` from 1."""
     mixed = balanced_mix(docs, id_col, text_col, source_col, **how)
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    return mixed.where("copies > 0").select(*[F.col(f"`{c}`") for c in mixed.columns], copy)
+    return mixed.where("copies > 0").select(*[F.col(quoted(c)) for c in mixed.columns], copy)

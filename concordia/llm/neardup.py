@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import PIECE, grams, mix, spread, texts, words, written
+from concordia.llm.common import PIECE, grams, mix, packed, quoted, spread, texts, unpacked, words, written
 from concordia.llm.components import components
 
 #: Texts, and shingles of them, that a verification task holds of each of its two blocks, about.
@@ -121,7 +121,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, forest: Forest, k:
                     ["id", "h1", "h2", "size", "keys"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(sign, "id long, h1 long, h2 long, size long, keys array<long>")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(sign, "id long, h1 long, h2 long, size long, keys array<long>")
 
 
 def common_counts(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def jaccard_classes(
     dealt = written(members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "dealt")
     many = (dealt.agg(F.max("blocks")).first()[0] or 0) > 1
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    text = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    text = docs.select(F.col(quoted(id_col)).cast("long").alias("rep"), F.col(quoted(text_col)).cast("string").alias("text"))
     # the text is shuffled once at every size; a broadcast of the classes would grow with the corpus
     tasks = text.join(dealt.hint("shuffle_hash"), "rep").select("*", pair.alias("other"))
     tasks = tasks.select("root", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "h1", "n", "block", "text")
@@ -238,5 +238,8 @@ def jaccard_classes(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The document rows without the near copies: of each class its least id stays (and rows without an id)."""
-    gone = jaccard_classes(docs, id_col, text_col, **how).where(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    found = jaccard_classes(docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text")), "_id", "_text", **how)
+    gone = found.where(F.col("class_id") < F.col("_id")).select(F.col("_id").alias("_gone")).distinct()
+    own = {"_key": id_col}
+    rows = packed(docs, **own)
+    return unpacked(rows.join(gone, F.col("_key").cast("long") == F.col("_gone"), "left_anti"), docs, own)

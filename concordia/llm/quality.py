@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordia.llm.common import PIECE, mix, packed, texts, unpacked, words, written
+from concordia.llm.common import PIECE, mix, packed, quoted, texts, unpacked, words, written
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -116,10 +116,10 @@ def features(data: np.ndarray, off: np.ndarray, known: np.ndarray) -> tuple[np.n
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     clean = ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")
-    few = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min(clean).alias("clean"))
-    few = few.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).withColumnRenamed(id_col, "_id")
+    few = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(clean).alias("clean"))
+    few = few.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     # at most SAMPLE rows of two numbers
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "_id").select("text", "clean")
+    return docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(few), "_id").select("text", "clean")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:

@@ -102,11 +102,11 @@ def section_tokens(
                 yield _batch(b, out)
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    columns = [F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string")]
+    columns = [F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text")]
     if given:
-        columns.append(F.transform(F.col(quoted(sections_col)), lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))))
-    schema = f"{quoted(id_col)} {id_type}, section long, start long, end long, n_tokens long, doc_tokens long"
-    return docs.select(*columns).mapInArrow(count, schema)
+        columns.append(F.transform(F.col(quoted(sections_col)), lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))).alias("sections"))
+    schema = f"id {id_type}, section long, start long, end long, n_tokens long, doc_tokens long"
+    return docs.select(*columns).mapInArrow(count, schema).withColumnRenamed("id", id_col)
 
 
 def _batch(b: pa.RecordBatch, out: list) -> pa.RecordBatch:

@@ -73,11 +73,11 @@ def literal_tokens(pattern: str) -> set[str]:
     run, open_left = "", False  # open_left: what stands before the run surely is no token character
     for op, arg in [*_sre.parse(pattern), (None, None)]:
         name = str(op)
-        c = chr(arg).lower() if name == "LITERAL" else ""
+        c = chr(arg).lower() if name == "LITERAL" else ""  # tokens are lower-cased
         if c and c.isascii() and c.isalnum():
             run += c
             continue
-        border = bool(c) or name == "AT" or name == "SUBPATTERN" and _borders(arg[-1]) or name == "IN" and _no_token_character(arg)
+        border = bool(c) or op is None or _borders([(op, arg)])
         if run and open_left and border:
             found.add(run)
         run, open_left = "", border
@@ -90,11 +90,18 @@ def _no_token_character(items) -> bool:
 
 
 def _borders(items) -> bool:
-    """A group of one item, each of whose branches is an end or such a class."""
+    """Whether the items are one end of the text or one character that no token holds, in each of their branches."""
     items = list(items)
-    if len(items) == 1 and str(items[0][0]) == "BRANCH":
-        return all(_borders(branch) for branch in items[0][1][1])
-    return len(items) == 1 and (str(items[0][0]) == "AT" or str(items[0][0]) == "LITERAL" and not chr(items[0][1]).isalnum() or str(items[0][0]) == "IN" and _no_token_character(items[0][1]))
+    if len(items) != 1:
+        return False
+    (op, arg), name = items[0], str(items[0][0])
+    if name == "BRANCH":
+        return all(_borders(branch) for branch in arg[1])
+    if name == "SUBPATTERN":
+        return _borders(arg[-1])
+    if name == "LITERAL":
+        return not (chr(arg).isascii() and chr(arg).isalnum())
+    return name == "AT" and str(arg) != "AT_NON_BOUNDARY" or name == "IN" and _no_token_character(arg)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column, Column]:
