@@ -58,7 +58,8 @@ class Capture:
         as_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
         source = F.lower("table_name")
         image = lambda c: F.transform_keys(c, lambda k, _: F.coalesce(F.element_at(as_map(self.names), F.concat(source, F.lit("|"), k)), k))
-        return events.withColumns({"before": image("before"), "after": image("after"), "table_name": F.element_at(as_map(self.tables), source)})
+        events = events.withColumns({"before": image("before"), "after": image("after")})  # the table's new name only then: the lambdas would see it
+        return events.withColumn("table_name", F.element_at(as_map(self.tables), source))
 
     def __call__(self, events: DataFrame, batch_id: int) -> None:
         state = self.store.manifest()
