@@ -59,6 +59,17 @@ def _segment_keys(line: Column, n: Column, segments: int) -> Column:
     return F.flatten(F.transform(classes, of))
 
 
+def _half_keys(line: Column, n: Column) -> Column:
+    """The keys of ``_segment_keys`` for two segments, spelled out for the pass over all lines: its expressions are compiled, per-element functions are not."""
+    own = F.floor(n / CLASS).cast("int")
+
+    def of(c: Column) -> list[Column]:
+        width = c * (CLASS // 2)
+        return [F.xxhash64(F.lit(0), c, _right(line, n, width)), F.xxhash64(F.lit(1), c, F.substr(line, F.lit(1), width))]
+
+    return F.when((n % CLASS == 0) & (n > SHORTEST), F.array(*of(own), *of(own - 1))).otherwise(F.array(*of(own)))
+
+
 def _shared(keys: DataFrame) -> DataFrame:
     """Keys that at least two different lines have."""
     return keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
@@ -96,7 +107,7 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(_doc, drop)``: of each document that loses lines, the (number, hash) of those."""
     lines = _lines(docs, id_col, text_col)
     n = F.length("line").cast("int")
-    halves = lines.select("h1", "h2", F.explode(_segment_keys(F.col("line"), n, 2)).alias("s")).select("h1", "h2", "s.key")
+    halves = lines.where(n >= SHORTEST).select("h1", "h2", F.explode(_half_keys(F.col("line"), n)).alias("key"))
     likely = written(halves.join(_shared(halves).hint("shuffle_hash"), "key", "left_semi").select("h1", "h2").distinct(), "likely")
     known = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "no")).alias("at"), F.count("*").alias("copies"), F.first("line").alias("line"))
     known = known.join(likely.withColumn("candidate", F.lit(True)).hint("shuffle_hash"), ["h1", "h2"], "left")
