@@ -1,4 +1,4 @@
-"""Command line: status, init, plan, load, sync, verify, cutover, check, reset (WFL9, WFL10).
+"""Command line: status, init, plan, schema, load, sync, verify, cutover, check, reset (WFL9, WFL10).
 
 Sources are folders of Parquet tables, with the catalog as JSON beside them.
 """
@@ -13,13 +13,13 @@ from pathlib import Path
 from concordia.plans import cutover as co
 from concordia.plans import ddl, planner
 from concordia.plans import rules as R
-from concordia.plans.load import Loader, safe
+from concordia.plans.load import Loader, create_tables, explained, safe
 from concordia.plans.model import Catalog, Column, ForeignKey, Index, Sequence, Table
 from concordia.sources import config as cfg
 from concordia.sources.store import Refused, Store
 from concordia.streaming import sync
 
-COMMANDS = ("status", "init", "plan", "load", "sync", "verify", "cutover", "check", "reset")
+COMMANDS = ("status", "init", "plan", "schema", "load", "sync", "verify", "cutover", "check", "reset")
 
 
 def catalog_of(raw: dict) -> Catalog:
@@ -38,6 +38,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--config", default="concordia.json")
     p.add_argument("--out", default="plan")
     p.add_argument("--tables", nargs="*")
+    p.add_argument("--replace", action="store_true")
     p.add_argument("--max-wait", type=float, default=600)
     try:
         a = p.parse_args(argv)
@@ -71,7 +72,7 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return co.REFUSED
     except Exception as e:
-        print(safe(e), file=sys.stderr)
+        print(explained(e), file=sys.stderr)
         return co.FAILED
 
 
@@ -86,7 +87,9 @@ def _run(a, c: dict, rules: dict, plan, store: Store) -> int:
     drain = lambda: sync.drain(lambda: capture.run(f"{c['source']}/changes", f"{store.root}/checkpoint").awaitTermination(), applier, a.max_wait)
     if a.command == "init":
         mark = cfg.fingerprint(c, rules)
-        store.commit(lambda s: s.update(job=s.get("job", "SCHEMA_DONE"), fingerprint=mark))
+        store.commit(lambda s: s.update(job=s.get("job", "PLANNED"), fingerprint=mark))
+    elif a.command == "schema":
+        create_tables(store, plans, a.replace)
     elif a.command == "status":
         print(json.dumps({"job": store.manifest().get("job", "PLANNED"), **applier.status(), "tables": [r.asDict() for r in co.job_view(store).collect()]}, indent=1))
     elif a.command == "load":

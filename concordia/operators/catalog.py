@@ -65,6 +65,16 @@ def not_captured(planned: DataFrame, captured: DataFrame) -> DataFrame:
     return planned.select("name").join(captured.select(F.lower("name").alias("_n")), F.lower("name") == F.col("_n"), "left_anti")
 
 
+def captured_tables(changes: DataFrame) -> DataFrame:
+    """SRC11: tables that the log covers, with the newest of their capture instances."""
+    return changes.groupBy(F.concat_ws(".", "schema", "table").alias("name")).agg(F.max_by("instance", "start_lsn").alias("instance"), F.max("start_lsn").alias("start_lsn"))
+
+
+def blocking_objects(objects: DataFrame, planned: DataFrame) -> DataFrame:
+    """FIL8, SET1: enabled triggers and foreign keys on planned targets; changes must not be applied while there are any."""
+    return objects.where("enabled").join(planned.select(F.lower("tgt").alias("_t")), F.lower("table_name") == F.col("_t"), "left_semi").select("kind", "table_name", "name")
+
+
 def mismatched_tables(planned: DataFrame, registered: DataFrame) -> DataFrame:
     """JOIN12: tables that the plan and the job know differently."""
     p, r = planned.select("src", F.col("tgt").alias("planned")), registered.select("src", F.col("tgt").alias("registered"))

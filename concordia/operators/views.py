@@ -28,6 +28,12 @@ def as_of(probes: DataFrame, times: DataFrame, probe: str, at: str = "lsn", valu
     return found.select(probe, F.coalesce("here", "before")[value].alias(value))
 
 
+def log_status(log_times: DataFrame, scans: DataFrame) -> DataFrame:
+    """SRC10, AGG9, JOIN6: one row: last log position, its commit time and the end of the last scan; nulls where nothing is known."""
+    last = log_times.agg(F.max_by("commit_at", "lsn").alias("max_commit_at"), F.max("lsn").alias("max_lsn"))
+    return last.withColumn("_one", F.lit(1)).join(scans.agg(F.max("ended_at").alias("last_scan_at")).withColumn("_one", F.lit(1)), "_one", "left").select("max_lsn", "max_commit_at", "last_scan_at")
+
+
 def job_progress(jobs: DataFrame, tables: DataFrame, chunks: DataFrame, log: DataFrame) -> DataFrame:
     """JOIN6, JOIN9, AGG7, AGG8: per table its chunks, loaded rows and pending changes."""
     of_chunks = chunks.groupBy("job_table_id").agg(

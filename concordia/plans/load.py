@@ -22,6 +22,42 @@ def safe(message: str) -> str:
     return re.sub(r"'[^']*'|\"[^\"]*\"|=\s*\([^)]*\)", "?", line)[:300]
 
 
+#: MSC8: what an error usually means.
+HINTS = (
+    (r"(?i)permission|access ?denied|not authorized", "the account lacks a right on the source or the state folder"),
+    (r"(?i)no longer available|retention|purged|cleaned up", "the log no longer goes back to the stored position: reset and copy again"),
+    (r"(?i)path.*(?:not exist|not found)|filenotfound|no such file", "a table's folder is missing"),
+    (r"(?i)schema changed|column is absent", "the source's tables changed: plan again, reset and copy again"),
+    (r"(?i)timed? ?out|connection (?:refused|reset)", "an endpoint can't be reached"),
+)
+
+
+def explained(message: str) -> str:
+    """MSC8: the safe message with a hint, if there is one."""
+    hint = next((h for pattern, h in HINTS if re.search(pattern, str(message))), None)
+    return safe(message) + (f" ({hint})" if hint else "")
+
+
+def create_tables(store: Store, plans: list[TablePlan], replace: bool = False) -> list[str]:
+    """SNK6: register empty tables; ones that exist are refused, or emptied with ``replace``. Doing it again with the same plan is allowed while they are empty."""
+    names = [p.name.lower() for p in plans]
+
+    def create(s: dict) -> None:
+        full = [n for n in names if s["tables"].get(n, {}).get("files")]
+        if full and not replace:
+            raise Refused(f"tables exist: {', '.join(full)}")
+        for n in names:
+            s["tables"][n] = {"status": "PLANNED", "files": {}}
+            s["chunks"].pop(n, None)
+            s["positions"].pop(n, None)
+        s["registered"] = {p.source.full: f"{p.schema}.{p.name}" for p in plans}
+        s["job"] = "SCHEMA_DONE"
+        log_event(s, "INFO", f"{len(names)} tables created")
+
+    store.commit(create)
+    return names
+
+
 def converted(df: DataFrame, plan: TablePlan) -> DataFrame:
     """Loaded columns under target names and types, value rules applied."""
     def one(c) -> Column:

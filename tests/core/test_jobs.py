@@ -9,7 +9,7 @@ from concordia import cli
 from concordia.plans import cutover as co
 from concordia.plans import planner
 from concordia.plans import rules as R
-from concordia.plans.load import Loader, safe
+from concordia.plans.load import Loader, create_tables, explained, safe
 from concordia.plans.model import Catalog, Table
 from concordia.sources import config as cfg
 from concordia.sources.store import Refused, Store
@@ -133,11 +133,15 @@ def test_state_is_atomic_and_locks_are_exclusive(spark, tmp_path):
         Store(spark, str(tmp_path))
 
 
-def test_reset(job):
+def test_reset_and_create(job):
     spark, tmp, plan, store, source = job
+    assert create_tables(store, plan.tables) == ["item", "note"] == create_tables(store, plan.tables)
     Loader(store, plan.tables, source).run()
     sync.reset(store, ["item"])
     assert store.manifest()["tables"]["item"] == {"status": "PLANNED", "files": {}} and sync.Applier(store, plan.tables).read("item").count() == 0
+    with pytest.raises(Refused):
+        create_tables(store, plan.tables)
+    create_tables(store, plan.tables, replace=True)
     sync.reset(store)
     assert store.manifest()["job"] == "SCHEMA_DONE"
 
@@ -153,7 +157,7 @@ def test_settings(tmp_path, monkeypatch):
         f.write_text(json.dumps(bad))
         with pytest.raises(cfg.ConfigError):
             cfg.load(f)
-    assert cfg.fingerprint({}, {}) != cfg.fingerprint({"a": 1}, {}) and "secret" not in safe("duplicate key value 'secret'\nmore")
+    assert cfg.fingerprint({}, {}) != cfg.fingerprint({"a": 1}, {}) and "secret" not in safe("duplicate key value 'secret'\nmore") and "reset" in explained("position is no longer available")
 
 
 def test_command_line(job, tmp_path, capsys):
@@ -166,7 +170,7 @@ def test_command_line(job, tmp_path, capsys):
     c.write_text(json.dumps({"source": f"{tmp}/src", "state": f"{tmp}/cli", "job": "j", "rules": f"{tmp}/rules.json"}))
     run = lambda *a: cli.main([*a, "--config", str(c), "--out", f"{tmp}/out"])
     assert run("plan") == co.OK and (tmp / "out" / "plan.txt").exists()
-    assert run("load") == co.REFUSED and run("init") == co.OK and run("load") == co.OK
+    assert run("load") == co.REFUSED and run("init") == co.OK and run("load") == co.REFUSED and run("schema") == co.OK and run("load") == co.OK and run("schema") == co.REFUSED
     (tmp / "src" / "changes").mkdir()
     assert run("sync") == co.OK and run("verify") == co.OK and run("cutover") == co.OK and run("check") == co.OK and run("status") == co.OK
     assert run("load") == co.REFUSED and cli.main(["nonsense"]) == co.BAD_CONFIG and cli.main(["plan", "--config", f"{tmp}/none.json"]) == co.BAD_CONFIG
