@@ -35,11 +35,13 @@ from concordia.llm.common import PIECE, mix, packed, quoted, texts, unpacked, wo
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 20_000
-#: Words that the model knows, at most; each must differ between the classes by so many standard errors.
-VOCABULARY, STANDARD_ERRORS = 512, 6.0
+#: Words that the model knows, at most; each must occur in so many labelled documents and differ between the classes by so many standard errors.
+VOCABULARY, LEAST_DOCUMENTS, STANDARD_ERRORS = 512, 5, 5.0
 #: Bytes of the word beginnings that are looked at besides whole words.
 PREFIX = 4
 _MEASURES = 7
+#: Sites (one short row each) that are broadcast to the documents, at most.
+_BROADCAST_SITES = 50_000
 
 
 @dataclass
@@ -141,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tally = sample.mapInArrow(presence, "word long, good long, bad long").groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     pooled = (F.col("good") + F.col("bad") + 1) / (good + bad + 2)
     z = F.abs(F.col("good") / good - F.col("bad") / bad) / F.sqrt(pooled * (1 - pooled) * (1 / good + 1 / bad))
-    chosen = tally.where(F.col("good") + F.col("bad") >= 8).where(z >= STANDARD_ERRORS).orderBy(z.desc(), "word").limit(VOCABULARY).select("word").collect()
+    chosen = tally.where(F.col("good") + F.col("bad") >= LEAST_DOCUMENTS).where(z >= STANDARD_ERRORS).orderBy(z.desc(), "word").limit(VOCABULARY).select("word").collect()
     known = np.sort(np.array([r[0] for r in chosen], np.int64).view(np.uint64))
 
     def measure(batches):
@@ -225,6 +227,9 @@ def _judged(docs: DataFrame, model: Model, host_col: str, path_col: str, text_co
     """The text is scored twice, once for the sites' sums and once for the rows: that costs less than carrying it through a shuffle."""
     own = {"_host": host_col, "_path": path_col, "_text": text_col}
     sites, strength, mean = site_shares(_evidence(packed(docs, **own).drop("_row"), model))
+    sites = written(sites, "sites")
+    if sites.count() <= _BROADCAST_SITES:  # else the texts are shuffled by site and skewed sites are split
+        sites = F.broadcast(sites)
     rows = _evidence(packed(docs, **own), model)
     rows = rows.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
     p = 1 / (1 + F.exp(-F.col("_logit")))
