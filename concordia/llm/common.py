@@ -23,6 +23,7 @@ PIECE = 1 << 20
 # ---------------------------------------------------------------- shared folder
 
 _local: dict[str, str] = {}
+_made: list[str] = []
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``; only a local session may go without it."""
@@ -36,7 +37,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
+    folder = shared_folder(df.sparkSession)
+    _made.append(folder)
+    path = f"{folder}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,6 +53,20 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def made() -> list[str]:
+    """The folders of the tables that ``written`` has made in this process and that ``release`` has not deleted."""
+    return list(_made)
+
+
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Delete some of ``made()``, for a caller who knows that nothing will read them again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        _made.remove(folder)
+
+
 # ---------------------------------------------------------------- columns
 
 

@@ -1,15 +1,19 @@
 """Corpus preparation in five stages, each one operator of ``concordia.llm``.
 
 Every stage is written as Parquet in the shared folder and read again by the next one, so a
-lost executor costs at most the stage it worked on.
+lost executor costs at most the stage it worked on.  A stage begins by deleting the scratch
+tables of the stage before it, whose result is written by then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.common import written
+from concordia.llm.common import made, release, written
 from concordia.llm.decontaminate import decontaminate
 from concordia.llm.lines import dedup_lines
 from concordia.llm.mixing import take
@@ -17,11 +21,31 @@ from concordia.llm.neardup import keep_one
 from concordia.llm.quality import keep_clean
 
 
+_scratch: list[str] = []
+
+
+def stage(f: Callable) -> Callable:
+    """A stage that first deletes the scratch tables of the one before it."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        before = set(made())
+        if f.__name__ != "quality":  # the first stage leaves a former run's last result alone
+            release(spark, [x for x in _scratch if x in before])
+        out = f(spark, docs, sf_dir)
+        _scratch[:] = [x for x in made() if x not in before]
+        return out
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, with the evidence of their source and language, doesn't reject."""
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand, but for one character at most, earlier; those left blank by that go."""
     rows = dedup_lines(docs, counts=True).where((F.col("n_dropped") == 0) | (F.trim(F.translate("text", "\n", " ")) != ""))
@@ -29,16 +53,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies (five-word shingles, similarity 0.8 or more)."""
     return keep_one(docs)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten words in a row of a benchmark item, nor a whole shorter one."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return take(docs)
