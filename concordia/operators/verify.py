@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from concordia.functions import fingerprint, normalize
 from concordia.functions.values import ValueRule
+from concordia.operators.chunks import INTEGERS
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,9 @@ def summary(df: DataFrame, spec: TableSpec, source_side: bool = True) -> DataFra
     sums = []
     for c in spec.columns:
         scale = normalize.sum_scale(c.type, c.scale)
-        if scale is not None:
+        if scale == 0 and c.type.lower() in INTEGERS:
+            sums.append(fingerprint.wide_sum(F.col(c.name).cast("bigint")).alias(f"sum_{c.name}"))
+        elif scale is not None:
             sums.append(F.sum(F.col(c.name).cast(f"decimal(38,{scale})")).alias(f"sum_{c.name}"))
     return df.agg(F.count("*").alias("row_count"), fingerprint.hash_sum(spec.hash(source_side)).alias("hash_sum"), *sums)
 
