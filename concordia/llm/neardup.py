@@ -208,7 +208,8 @@ def jaccard_classes(
         "classes",
     )
     nodes = classes.select("rep", F.explode("keys").alias("key"))
-    stars = nodes.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
+    # written, so that the join below is between two shuffles and a node with very many texts can be split
+    stars = written(nodes.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub"), "stars")
     links = nodes.join(stars, "key").select("rep", "hub").where("rep > hub").distinct()
     tied = components(links, "rep", "hub")
     tied = tied.union(tied.select(F.col("root").alias("node"), "root").distinct())
