@@ -71,8 +71,8 @@ def _half_keys(line: Column, n: Column) -> Column:
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """Keys that at least two different lines have."""
-    return keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
+    """Keys that at least two different lines have; written, so that joins with them are between two shuffles and a very common key's rows can be split."""
+    return written(keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key"), "shared")
 
 
 def _variants(line: Column, n: Column, c: Column, j: Column) -> Column:
@@ -94,7 +94,7 @@ def _near(candidates: DataFrame) -> DataFrame:
     open_ = cut.join(_shared(cut), "key", "left_semi").select("h1", "h2", "c", "j").distinct()
     rows = candidates.join(open_, ["h1", "h2"]).select(me.alias("me"), F.explode(_variants(F.col("line"), F.col("n"), F.col("c"), F.col("j"))).alias("v")).select("me", "v.role", "v.key")
     first = rows.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("me"))).alias(f"m{r}") for r in (0, 1, 2)], F.min("me.h1").alias("a"), F.max("me.h1").alias("b"))
-    first = first.where("a < b").drop("a", "b")
+    first = written(first.where("a < b").drop("a", "b"), "first")
     partner = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
     pairs = rows.join(first, "key").select("me", partner.alias("you")).where(F.col("you.at") < F.col("me.at"))
     pairs = pairs.select("me.h1", "me.h2", F.col("you.h1").alias("g1"), F.col("you.h2").alias("g2")).distinct()
@@ -114,7 +114,7 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     known = written(known.select("h1", "h2", "at", "copies", F.when(F.col("candidate"), F.col("line")).alias("line")), "known")
     candidates = known.where("line IS NOT NULL").select("h1", "h2", F.length("line").cast("int").alias("n"), "at", "line")
     near = written(_near(candidates), "near").withColumn("near", F.lit(True))
-    repeated = known.select("h1", "h2", "at", "copies").join(near, ["h1", "h2"], "left").where("copies > 1 OR near")
+    repeated = written(known.select("h1", "h2", "at", "copies").join(near, ["h1", "h2"], "left").where("copies > 1 OR near"), "repeated")
     hit = lines.select("h1", "h2", "id", "no").join(repeated.hint("shuffle_hash"), ["h1", "h2"])
     hit = hit.where(F.coalesce("near", F.lit(False)) | (F.struct("id", "no") > F.col("at")))
     return hit.groupBy(F.col("id").alias("_doc")).agg(F.collect_set(F.struct("no", "h1")).alias("drop"))
