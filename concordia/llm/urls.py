@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import quoted
+from concordia.llm.common import quoted, written
 
 try:
     from re import _parser as _sre
@@ -150,8 +150,9 @@ def judged(pages: DataFrame, sites: list[Site], patterns: list[Pattern] | tuple
     block = (F.col("action") == "block").cast("int")
     site = F.max(F.when(F.col("kind") == "site", F.struct("length", block.alias("block"), F.col("name"))))
     other = F.max(F.when(F.col("kind") == "pattern", F.struct(block.alias("block"), F.col("name"))))
-    best = fits.groupBy("url").agg(site.alias("site"), other.alias("other")).withColumnRenamed("url", "_url")
-    out = rows.join(best, F.col("url").eqNullSafe(F.col("_url")), "left")
+    # written, so that the join below is between two shuffles and a very common url can be split
+    best = written(fits.groupBy("url").agg(site.alias("site"), other.alias("other")).withColumnRenamed("url", "_url"), "best")
+    out = rows.join(best.hint("shuffle_hash"), F.col("url").eqNullSafe(F.col("_url")), "left")  # a row for each url: not to be broadcast
     blocked = F.coalesce(F.col("site.block"), F.col("other.block"), F.lit(0)) == 1
     pattern = F.when(F.col("site").isNull(), F.col("other.name"))
     return out.select(
