@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join; DataFrame functions only.
 
-A line is dropped if the same line, or one at most one character edit away, stands earlier in the
-corpus; earlier is a smaller id, then a smaller line number.  Blank lines stay.  Lines shorter
-than ``SHORTEST`` characters are dropped only for equal ones.
+A line is dropped if the same line, or one at most ``edits`` (1 or 2) character edits away, stands
+earlier in the corpus; earlier is a smaller id, then a smaller line number.  Blank lines stay.
+Lines shorter than ``SHORTEST`` characters are dropped only for equal ones.
 
 Variants.  Two lines of one length are one substitution apart if they agree after deleting the
 character at some position: the variant carries position and length.  They are one insertion apart
@@ -16,6 +16,12 @@ grid that depends on the length's class only, one edit leaves all but one segmen
 equal.  Keys of "all but segment j" over 2 segments choose the lines whose text is fetched, keys
 over 8 segments choose the segments in which they may differ, and variants are made there only.
 
+Two edits.  Keys of "all but two of 3 segments" choose the lines.  What stands between the two left
+out may have moved by one character, so it is taken from three places.  Then every open pair of
+segments is halved again and again.  A key that few lines share gives their pairs directly; only the
+pairs of segments of keys that many lines share stay open.  Where those are a few characters wide,
+variants with up to two characters deleted are made.  Every step keeps all lines two edits apart.
+
 Defined results: null texts stay null; text is split at line feeds only; rows with a null id
 come first; rows with equal ids are one document, whose lines of equal number tie and stay; an
 empty table gives no rows; other columns are carried along.
@@ -30,6 +36,8 @@ from concordia.llm.common import packed, quoted, unpacked, written
 
 #: Characters of the shortest line that may be dropped for a near one, and the width of a length class.
 SHORTEST, CLASS = 16, 16
+#: For two edits: rows of a key up to which its lines are paired directly, segments from which on they are, and the width that ends the halving.
+FEW, PAIRED, NARROW = 8, 12, 2
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -103,27 +111,153 @@ def _near(candidates: DataFrame) -> DataFrame:
     return both.where(F.levenshtein("line", "other", 1) >= 0).select("h1", "h2").distinct()
 
 
-def _dropped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _edge(c: Column, j: Column, segments: int) -> Column:
+    """Where segment j of a class's grid begins; the grid of twice the segments has the same edges and one between any two."""
+    return F.floor(c * CLASS * j / segments).cast("int")
+
+
+def _third_keys(line: Column, n: Column) -> Column:
+    """Array of (place, key): the line's hash without two of three segments; place is three times the class plus 0 for segments 0 and 1, 1 for 1 and 2, 2 for 0 and 2."""
+    own = F.floor(n / CLASS).cast("int")
+    pair = lambda c, i, key: F.struct((c * 3 + i).alias("place"), key.alias("key"))
+
+    def of(c: Column) -> list[Column]:
+        a, b = _edge(c, F.lit(1), 3), _edge(c, F.lit(2), 3)
+        middle = [pair(c, 2, F.xxhash64(F.lit(2), c, F.substr(line, a + 1 + d, b - a))) for d in (-1, 0, 1)]
+        return [pair(c, 0, F.xxhash64(F.lit(0), c, _right(line, n, c * CLASS - b))), pair(c, 1, F.xxhash64(F.lit(1), c, F.substr(line, F.lit(1), a))), *middle]
+
+    return F.when((n % CLASS < 2) & (n >= 2 * CLASS), F.array(*of(own), *of(own - 1))).otherwise(F.array(*of(own)))
+
+
+def _halved(candidates: DataFrame, open_: DataFrame, segments: int) -> DataFrame:
+    """``(me, c, j1, j2, key, u, v, far)`` of lines without two of ``segments`` segments, those that lie in their open pairs (h1, c, j1, j2) of half as many.
+
+    Both edits in one segment are met with its sibling; edits in two segments with both of these.
+    ``u`` and ``v`` are hashes of what is left out.  If all lines of a key have one ``u``, or one ``v``,
+    any edits between them also fit in the other place alone; where the two places are ``far``, with
+    more between them than either may hold, that is met by a pair of near segments.
+    """
+    cell = lambda i: F.col(f"o{i // 2 + 1}") * 2 + i % 2
+    moves = [(i, k, d) for i in range(4) for k in range(i + 1, 4) for d in (-1, 0, 1)]
+    choice = F.array(*[F.struct(cell(i).alias("j1"), cell(k).alias("j2"), F.lit(d).alias("d")) for i, k, d in moves])
+    rows = candidates.join(open_.select("h1", "c", F.col("j1").alias("o1"), F.col("j2").alias("o2")), "h1")
+    rows = rows.select(F.struct("at", "h1", "h2").alias("me"), "line", "n", "c", F.explode(choice).alias("s")).select("me", "line", "n", "c", "s.*").where("d = 0 OR j2 > j1 + 1")
+    c, line = F.col("c"), F.col("line")
+    at = lambda j: _edge(c, j, segments)
+    before, middle, after = at(F.col("j1")), at(F.col("j1") + 1), at(F.col("j2") + 1)
+    d, to, right = F.col("d"), at(F.col("j2")), c * CLASS - after
+    parts = [F.substr(line, F.lit(1), before), F.substr(line, middle + 1 + d, to - middle), _right(line, F.col("n"), right)]
+    key = F.xxhash64(F.lit(segments), "c", "j1", "j2", *parts).alias("key")
+    u, v = F.substr(line, before + 1, middle + d - before), F.substr(line, to + d + 1, F.col("n") - right - to - d)
+    far = to - middle > c * CLASS / segments + CLASS + 5
+    return rows.select("me", "c", "j1", "j2", key, F.xxhash64(u).alias("u"), F.xxhash64(v).alias("v"), far.alias("far"))
+
+
+def _double_variants(line: Column, n: Column, places: Column) -> Column:
+    """Array of (role, key) of the line (0) and of it without one (1, 3) or two (2, 4, 5) of the characters at ``places``.
+
+    A key carries what remains, for roles 3 and 4 also where one character was deleted, for role 5 where
+    both were.  Lines that share a key in roles 0 and 1, 0 and 2, 1 and 1, 3 and 4 or 5 and 5 are two edits apart at most.
+    """
+    cut = lambda i, j: F.concat(F.substr(line, F.lit(1), i), F.substr(line, i + 2, j - i - 1), F.substr(line, j + 2))
+    keyed = lambda role, *what: F.struct(F.lit(role).alias("role"), F.xxhash64(*what).alias("key"))
+
+    def one(i: Column) -> Column:
+        rest = F.concat(F.substr(line, F.lit(1), i), F.substr(line, i + 2))
+        return F.array(keyed(1, F.lit(10), rest), keyed(3, F.lit(11), i, rest))
+
+    def two(i: Column, j: Column) -> Column:
+        rest = cut(i, j)
+        return F.array(keyed(2, F.lit(10), rest), keyed(4, F.lit(11), i, rest), keyed(4, F.lit(11), j - 1, rest), keyed(5, F.lit(12), i, j - 1, rest))
+
+    ones = F.flatten(F.transform(places, one))
+    twos = F.flatten(F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: two(i, j)))))
+    return F.concat(F.array(keyed(0, F.lit(10), line)), ones, twos)
+
+
+def _earlier(rows: DataFrame) -> DataFrame:
+    """``(me, you)``: lines of (me, role, key) with the earliest of those that a key shows to be two edits apart at most."""
+    first = rows.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("me"))).alias(f"m{r}") for r in range(6)], F.min("me.h1").alias("a"), F.max("me.h1").alias("b"))
+    first = written(first.where("a < b").drop("a", "b"), "first")
+    role = F.col("role")
+    you = F.when(role == 0, F.least("m1", "m2")).when(role == 1, F.least("m0", "m1")).when(role == 2, F.col("m0")).when(role == 3, F.col("m4")).when(role == 4, F.col("m3")).otherwise(F.col("m5"))
+    return rows.join(first, "key").select("me", you.alias("you")).where(F.col("you.at") < F.col("me.at"))
+
+
+def _near_two(candidates: DataFrame, open_: DataFrame) -> DataFrame:
+    """``(h1, h2)`` of candidate lines (h1, h2, n, at, line) that an earlier candidate is at most two edits away from; ``open_`` has their pairs (h1, c, j1, j2) of three segments."""
+    found, narrow, segments = [], [], 3
+    while True:
+        segments *= 2
+        rows = _halved(candidates, open_, segments)
+        ends = [f(x).alias(f"{f.__name__}_{x}") for x in ("u", "v") for f in (F.min, F.max)]
+        size = rows.groupBy("key").agg(F.min("me.h1").alias("a"), F.max("me.h1").alias("b"), F.count("*").alias("m"), F.first("far").alias("far"), *ends)
+        size = size.where("a < b AND NOT (far AND (min_u = max_u OR min_v = max_v))")
+        size = written(size.select("key", ((F.col("m") <= FEW) & F.lit(segments >= PAIRED)).alias("few")), "size")
+        hit = written(rows.drop("u", "v", "far").join(size, "key"), "hit")
+        if segments >= PAIRED:
+            group = hit.where("few").groupBy("key").agg(F.array_sort(F.collect_set("me")).alias("of"))
+            pairs = F.flatten(F.transform("of", lambda x, i: F.transform(F.slice("of", F.lit(1), i), lambda y: F.struct(x.alias("me"), y.alias("you")))))
+            found.append(group.select(F.explode(pairs).alias("p")).select("p.me", "p.you"))
+        rest = hit.where("NOT few").select("me.h1", "c", "j1", "j2").distinct()
+        done = F.col("c") * CLASS <= NARROW * segments
+        narrow.append(rest.where(done).withColumn("segments", F.lit(segments)))
+        open_ = written(rest.where(~done), "open")
+        if open_.isEmpty():
+            break
+    last = narrow[0]
+    for more in narrow[1:]:
+        last = last.union(more)
+    edge = lambda j: F.floor(F.col("c") * CLASS * j / F.col("segments")).cast("int")
+    end = F.col("n") - 1
+    span = lambda j, first: F.sequence(first, F.when(j + 1 == F.col("segments"), end).otherwise(F.least(edge(j + 1), end)))
+    places = F.array_sort(F.array_union(span(F.col("j1"), edge(F.col("j1"))), span(F.col("j2"), edge(F.col("j2")) - 1)))
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows that make very many
+    rows = candidates.join(last, "h1").repartition(parts, "h1", "c", "j1", "j2", "segments").select(F.struct("at", "h1", "h2").alias("me"), F.explode(_double_variants(F.col("line"), F.col("n"), places)).alias("v"))
+    found.append(_earlier(rows.select("me", "v.role", "v.key")))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    pairs = pairs.select("me.h1", "me.h2", F.col("you.h1").alias("g1"), F.col("you.h2").alias("g2")).distinct()
+    text = candidates.select("h1", "h2", "line")
+    both = pairs.join(text, ["h1", "h2"]).join(text.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other")), ["g1", "g2"])
+    return both.where(F.levenshtein("line", "other", 2) >= 0).select("h1", "h2").distinct()
+
+
+def _dropped(docs: DataFrame, id_col: str, text_col: str, edits: int) -> DataFrame:
     """``(_doc, drop)``: of each document that loses lines, the (number, hash) of those."""
     lines = _lines(docs, id_col, text_col)
     n = F.length("line").cast("int")
-    halves = lines.where(n >= SHORTEST).select("h1", "h2", F.explode(_half_keys(F.col("line"), n)).alias("key"))
-    likely = written(halves.join(_shared(halves).hint("shuffle_hash"), "key", "left_semi").select("h1", "h2").distinct(), "likely")
+    if edits == 1:
+        halves = lines.where(n >= SHORTEST).select("h1", "h2", F.explode(_half_keys(F.col("line"), n)).alias("key"))
+        likely = written(halves.join(_shared(halves).hint("shuffle_hash"), "key", "left_semi").select("h1", "h2").distinct(), "likely")
+    else:
+        thirds = lines.where(n >= SHORTEST).select("h1", "h2", F.explode(_third_keys(F.col("line"), n)).alias("k")).select("h1", "h2", "k.*")
+        places = written(thirds.join(_shared(thirds).hint("shuffle_hash"), "key", "left_semi").select("h1", "h2", "place").distinct(), "places")
+        likely = places.select("h1", "h2").distinct()
     known = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "no")).alias("at"), F.count("*").alias("copies"), F.first("line").alias("line"))
     known = known.join(likely.withColumn("candidate", F.lit(True)).hint("shuffle_hash"), ["h1", "h2"], "left")
     known = written(known.select("h1", "h2", "at", "copies", F.when(F.col("candidate"), F.col("line")).alias("line")), "known")
     candidates = known.where("line IS NOT NULL").select("h1", "h2", F.length("line").cast("int").alias("n"), "at", "line")
-    near = written(_near(candidates), "near").withColumn("near", F.lit(True))
+    if edits == 1:
+        near = _near(candidates)
+    else:
+        pair = F.col("place") % 3
+        open_ = places.select("h1", F.floor(F.col("place") / 3).cast("int").alias("c"), F.when(pair == 1, 1).otherwise(0).alias("j1"), F.when(pair == 0, 1).otherwise(2).alias("j2"))
+        near = _near_two(candidates, open_)
+    near = written(near, "near").withColumn("near", F.lit(True))
     repeated = written(known.select("h1", "h2", "at", "copies").join(near, ["h1", "h2"], "left").where("copies > 1 OR near"), "repeated")
     hit = lines.select("h1", "h2", "id", "no").join(repeated.hint("shuffle_hash"), ["h1", "h2"])
     hit = hit.where(F.coalesce("near", F.lit(False)) | (F.struct("id", "no") > F.col("at")))
     return hit.groupBy(F.col("id").alias("_doc")).agg(F.collect_set(F.struct("no", "h1")).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """``docs`` without their repeated lines; with ``counts`` also ``n_lines`` and ``n_dropped``, which replace columns of the same name."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, edits: int = 1) -> DataFrame:
+    """``docs`` without their repeated lines, equal or at most ``edits`` (1 or 2) apart; with ``counts`` also ``n_lines`` and ``n_dropped``, which replace columns of the same name."""
+    if edits not in (1, 2):
+        raise ValueError("edits must be 1 or 2")
     own = {"_id": id_col, "_text": text_col}
-    drop = _dropped(docs, id_col, text_col)
+    drop = _dropped(docs, id_col, text_col, edits)
     rows = packed(docs, **own).withColumn("_text", F.col("_text").cast("string")).join(drop.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_doc")), "left")
     split = F.split("_text", "\n", -1)
     kept = F.filter(split, lambda x, i: ~F.array_contains("drop", F.struct(i.alias("no"), F.xxhash64(x).alias("h1"))))

@@ -47,8 +47,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand, but for one character at most, earlier; those left blank by that go."""
-    rows = dedup_lines(docs, counts=True).where((F.col("n_dropped") == 0) | (F.trim(F.translate("text", "\n", " ")) != ""))
+    """Documents without lines that stand, but for two characters at most, earlier; those left blank by that go."""
+    rows = dedup_lines(docs, counts=True, edits=2).where((F.col("n_dropped") == 0) | (F.trim(F.translate("text", "\n", " ")) != ""))
     rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
 

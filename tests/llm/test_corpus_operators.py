@@ -113,6 +113,42 @@ def test_lines_of_odd_tables(spark):
     assert sorted((r.doc_id is not None, r.text) for r in lines.dedup_lines(df).collect()) == [(False, "the very same line"), (True, ""), (True, "")]
 
 
+def edit_at_most(a, b, k):
+    if a == b:
+        return True
+    if not k or abs(len(a) - len(b)) > k:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    return edit_at_most(a[1:], b[1:], k - 1) or edit_at_most(a[1:], b, k - 1) or edit_at_most(a, b[1:], k - 1)
+
+
+@pytest.mark.parametrize("few", [0, 8])
+def test_lines_two_edits_apart_against_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(lines, "FEW", few)  # 0: all by halving and variants
+    rng = random.Random(40)
+    base = ["".join(rng.choice("ab 1") for _ in range(n)) for n in (15, 16, 17, 18, 31, 32, 33, 34, 47, 48, 49, 65, 130, 161)]
+
+    def near(x):
+        for _ in range(rng.randrange(4)):
+            i, k = rng.randrange(len(x) + 1), rng.randrange(3)
+            x = [x[:i] + "z" + x[i + 1 :], x[:i] + x[i + 1 :], x[:i] + "q" + x[i:]][k]
+        return x
+
+    texts = ["\n".join(near(rng.choice(base)) for _ in range(rng.randrange(1, 7))) for _ in range(120)]
+    texts += ["una linea de ta casa en la calle larga", "una linea de su casa en la calle larga", "una linea de su casa en la caIIe larga"]
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), edits=2).collect()
+    every = [(d, n, x) for d, t in enumerate(texts) for n, x in enumerate(t.split("\n"))]
+    kept = {}
+    for d, n, x in every:
+        if not any((e, m) < (d, n) and (x == y or min(len(x), len(y)) >= lines.SHORTEST and edit_at_most(x, y, 2)) for e, m, y in every):
+            kept.setdefault(d, []).append(x)
+    assert {r.doc_id: r.text for r in got} == {d: "\n".join(kept.get(d, [])) for d in range(len(texts))}
+    assert [r.text for r in sorted(got)[-3:]] == [texts[-3], "", ""]
+
+
 # ------------------------------------------------------------------ 2 mixing
 
 
