@@ -36,7 +36,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<=[=:\x20\x22'])[A-Za-z0-9+/_-]{16,512}+(?![A-Za-z0-9])",
+    "secret": r"(?<=[=:\x20\x22'])[A-Za-z0-9+/_-]{16,}+(?![A-Za-z0-9])",
 }
 #: A text without this character cannot hold the kind.
 _NEEDS = {"email": "@", "phone": "+"}

@@ -63,6 +63,13 @@ def test_checksums_context_and_redaction(spark):
     assert "[EMAIL]" in out[0].text and "[IBAN]" in out[0].text and "GB83" in out[0].text and out[0].base == "x" and out[1].text is None
 
 
+def test_a_long_secret_is_found_whole(spark):
+    t = ["secret=" + "k3Y/" * n + " end" for n in (128, 129, 10_000)]
+    df = docs(spark, t)
+    assert [[(s.kind, s.start, s.end) for s in r.added] for r in pii.find(df).orderBy("doc_id").collect()] == [[("secret", 7, len(x) - 4)] for x in t]
+    assert {r.text for r in pii.redact(df).collect()} == {"secret=[SECRET] end"}
+
+
 def test_no_rows(spark):
     assert pii.find(docs(spark, [])).count() == 0
 
