@@ -11,8 +11,9 @@ The queries are a stated set: they are dealt into blocks, every group of candida
 every block of queries, and one task scores one block against one group, so memory is bounded
 by both sizes.  Each task leaves at most k rows a query, from which the k best are chosen.
 
-All arithmetic is on integers held exactly in float64; vectors whose inner product could pass
-2**53 are refused.
+All arithmetic is exact: on integers held in float64, or for the long queries and candidates whose
+inner product could pass 2**53 on 64-bit or Python integers.  A result's score that a bigint can't
+hold is an error.
 
 Defined results: null vectors take no part; rows with equal ids are one vector, the least of
 them; vectors of different lengths are padded with zeros; ties go to the smaller id; fewer
@@ -50,7 +51,32 @@ def _unpack(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return i, np.frombuffer(data, np.int64).reshape(-1, len(i)) if len(i) else np.empty((0, 0), np.int64)
 
 
+#: Bound of the products of norms below which float64 and 64-bit integers are exact, with room for rounded norms.
+_FLOATS, _INTS = 2.0**53 * (1 - 1e-9), 2.0**63 * (1 - 1e-9)
+
+
 def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the best candidates of each query, k or for long ones up to 2 k; q and c are by dimension, c in order of id."""
+    norm = lambda x: np.sqrt((x.astype(float) ** 2).sum(axis=0))
+    q_norm, c_norm = norm(q), norm(c)
+    long_q = q_norm * c_norm.max(initial=0) >= _FLOATS
+    if not long_q.any():
+        return _bounded(q_ids, q, c_ids, c, k)
+    long_c = q_norm.max() * c_norm >= _FLOATS
+    parts = [_bounded(q_ids[~long_q], q[:, ~long_q], c_ids, c, k)] if not long_q.all() else []
+    if not long_c.all():
+        parts.append(_bounded(q_ids[long_q], q[:, long_q], c_ids[~long_c], c[:, ~long_c], k))
+    kind = np.int64 if q_norm.max() * c_norm.max() < _INTS else object
+    dims = min(len(q), len(c))
+    left, right, ids = q[:dims, long_q].T.astype(kind), c[:dims, long_c].astype(kind), c_ids[long_c]
+    for name, row in zip(q_ids[long_q], left, strict=True):
+        score = row @ right
+        best = [j for j in np.argsort(-score, kind="stable").tolist() if ids[j] != name][:k]
+        parts.append((np.full(len(best), name), ids[best], np.array([int(score[j]) for j in best], np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _bounded(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of the k best candidates of each query; q and c are by dimension, c in order of id."""
     dims = max(len(q), len(c))
     q, c = (np.concatenate([x, np.zeros((dims - len(x), x.shape[1]), np.int64)]).astype(float) for x in (q, c))
@@ -58,8 +84,6 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k
     q, c = q[order], c[order]
     tail = lambda x: np.sqrt(np.concatenate([np.cumsum((x * x)[::-1], axis=0)[::-1], np.zeros((1, x.shape[1]))]))
     q_rest, c_rest = tail(q), tail(c)
-    if dims and q_rest[0].max(initial=0) * c_rest[0].max(initial=0) >= 2.0**53:
-        raise ValueError("components too large for exact scores")
     own = q_ids[:, None] == c_ids
     # a first bound: the k-th best of the longest candidates
     first = np.argpartition(-c_rest[0], min(4 * k, len(c_ids) - 1))[: 4 * k] if len(c_ids) > 4 * k else np.arange(len(c_ids))
@@ -93,7 +117,8 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for every query row, the k candidates of the highest inner product but itself."""
     rows = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.struct(F.col(vector_col).cast("array<bigint>").alias("v"), is_query.alias("q"))).alias("r"))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.struct(F.col(vector_col).cast("array<bigint>").alias("v"), is_query.alias("q")).alias("r"))
+    rows = rows.groupBy("id").agg(F.min("r").alias("r"))
     rows = written(rows.select("id", "r.v", "r.q"), "vectors")
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     groups, blocks = max(1, -(-n // CANDIDATES)), max(1, -(-n_queries // QUERIES))

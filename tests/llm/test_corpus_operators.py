@@ -267,6 +267,18 @@ def test_blocks_of_dimensions_lose_nothing():
         assert got[1][got[0] == i - 30].tolist() == want
 
 
+def test_long_vectors_are_scored_exactly(spark):
+    rng = np.random.default_rng(14)
+    v = {i: rng.integers(-60, 60, 8).tolist() for i in range(60)} | {0: [96_000_001] + [3] * 7, 20: [94_906_267, 1] + [0] * 6, 41: [2**31 - 1] * 8, 43: [2**56 + 1] + [0] * 7}
+    got = topk.exact_topk(spark.createDataFrame(list(v.items()), "vec_id long, v array<long>").where("vec_id != 43"), F.col("vec_id") % 20 == 0, 7).collect()
+    del v[43]
+    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
+    want = {(q, r + 1, i, -s) for q in (0, 20, 40) for r, (s, i) in enumerate(sorted((-dot(q, i), i) for i in v if i != q)[:7])}
+    assert {tuple(r) for r in got} == want
+    found = topk.search(np.array([1]), np.array([[2**40], [2**40]]), np.array([2, 3]), np.array([[2**40, 2], [-(2**40), 1]]), 2)  # sums pass 64 bits on the way
+    assert [x.tolist() for x in found] == [[1, 1], [3, 2], [3 * 2**40, 0]]
+
+
 # ------------------------------------------------------------------ 8 near copies
 
 
