@@ -86,7 +86,7 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     usable = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(_finite(F.col("embedding")))
     vectors = usable.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double"))).alias("v"))
-    return exact_topk(vectors, F.col("vec_id") % 20 == 0, k=20)
+    return exact_topk(vectors, F.col("vec_id") % 20 == 0, k=20, every_row=True)
 
 
 def _finite(vector: Column) -> Column:

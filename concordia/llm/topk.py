@@ -15,8 +15,9 @@ All arithmetic is exact: on integers held in float64, or for the long queries an
 inner product could pass 2**53 on 64-bit or Python integers.  A result's score that a bigint can't
 hold is an error.
 
-Defined results: null vectors take no part; rows with equal ids are one vector, the least of
-them; vectors of different lengths are padded with zeros; ties go to the smaller id; fewer
+Defined results: null vectors take no part; rows with equal ids are one vector, the least of them,
+or with ``every_row`` each take part, but not as candidates of a query of that id, and share its k
+results; vectors of different lengths are padded with zeros; ties go to the smaller id; fewer
 candidates than k are all returned; an empty table gives no rows.
 """
 
@@ -114,11 +115,12 @@ def _bounded(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "v", every_row: bool = False) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for every query row, the k candidates of the highest inner product but itself."""
     rows = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.struct(F.col(vector_col).cast("array<bigint>").alias("v"), is_query.alias("q")).alias("r"))
-    rows = rows.groupBy("id").agg(F.min("r").alias("r"))
+    if not every_row:
+        rows = rows.groupBy("id").agg(F.min("r").alias("r"))
     rows = written(rows.select("id", "r.v", "r.q"), "vectors")
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     groups, blocks = max(1, -(-n // CANDIDATES)), max(1, -(-n_queries // QUERIES))

@@ -279,6 +279,12 @@ def test_long_vectors_are_scored_exactly(spark):
     assert [x.tolist() for x in found] == [[1, 1], [3, 2], [3 * 2**40, 0]]
 
 
+def test_every_row_of_an_id_takes_part(spark):
+    df = spark.createDataFrame([(0, [1, 2]), (0, [3, -1]), (1, [5, 0]), (1, [0, 7]), (2, [1, 1])], "vec_id long, v array<long>")
+    got = topk.exact_topk(df, F.col("vec_id") % 20 == 0, 4, every_row=True).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 15), (0, 2, 1, 14), (0, 3, 1, 5), (0, 4, 2, 3)]
+
+
 # ------------------------------------------------------------------ 8 near copies
 
 
