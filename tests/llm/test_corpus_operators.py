@@ -335,11 +335,76 @@ def test_a_large_group_is_checked_block_by_block(spark, monkeypatch):
     assert {(r.class_id, r.n_links) for r in got} == {(0, 89)}
 
 
-def test_the_prefix_shortens_to_the_recall():
-    depth = neardup.prefix_depth(0.8, 0.9995, 40, 12)
-    recall = lambda d: 1 - (1 - 0.8**d) ** 40
-    assert recall(depth) >= 0.9995 > recall(depth + 1)
-    assert neardup.jaccard_classes is not None and neardup.prefix_depth(0.5, 0.999999, 2, 8) == 1
+def pairs_at_the_threshold(rng, n, shared=120, own=15):
+    """Texts whose shingle sets share exactly 0.8: a common run and an own end for each."""
+    out = []
+    for i in range(n):
+        base = [f"p{i}x{rng.randrange(10**6)}" for _ in range(shared + 4)]
+        out += [" ".join(base + [f"e{i}a{j}" for j in range(own)]), " ".join(base + [f"e{i}b{j}" for j in range(own)])]
+    return out
+
+
+def test_the_forest_meets_its_recall_at_the_threshold(spark):
+    texts = pairs_at_the_threshold(random.Random(15), 1500)
+    got = neardup.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got.where("n_links = 1 AND class_id = doc_id - doc_id % 2").count() >= 2 * 1500 * 0.998
+
+
+def test_sequences_sort_as_prefix_tries():
+    rng = np.random.default_rng(16)
+    forest, digits = neardup.Forest(40), rng.integers(0, 4, (50, neardup.POOL)).astype(np.uint8)
+    key, deep = forest.sequences(digits)
+    for t in (0, 39):
+        rows = digits[:, forest.order[t]].tolist()
+        assert (key[:, t] >> 48 == t).all() and sorted(range(50), key=lambda i: (key[i, t], deep[i, t], i)) == sorted(range(50), key=lambda i: (rows[i], i))
+
+
+def compared(spark, n):
+    """Signatures compared for n documents that share half of their words with all others."""
+    rng = random.Random(17)
+    common_part = [f"c{i}" for i in range(104)]
+    rows = [(i, " ".join(common_part + [f"o{rng.randrange(10**9)}" for _ in range(108)])) for i in range(n)]
+    counter = spark.sparkContext.accumulator(0)
+    got = neardup.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), counter=counter)
+    assert got.where("n_links > 0 OR class_id <> doc_id").count() == 0
+    return counter.value
+
+
+def test_boilerplate_does_not_tie_documents_together(spark):
+    few, many = compared(spark, 1000), compared(spark, 4000)
+    assert many < 8 * max(few, 1000)  # all pairs would grow 16 times
+    assert many < 4000 * 40
+
+
+def test_a_crowd_of_copies_is_compared_once_per_member():
+    rng = np.random.default_rng(18)
+    base = rng.integers(0, 256, neardup.COMPARED).astype(np.uint8)
+    near = np.repeat(base[None], 5000, axis=0)
+    near[np.arange(5000), rng.integers(0, neardup.COMPARED, 5000)] = 7
+    far = rng.integers(0, 256, (40, neardup.COMPARED)).astype(np.uint8)
+    a, b, n = neardup.spanning_ties(np.zeros(5040, np.int64), np.concatenate([near, far]), 80)
+    assert len(a) == len(b) == 4999 and len(set(b.tolist())) == 4999 and n < 5040 * 45
+    small = np.repeat(np.arange(3), 3)
+    a, b, n = neardup.spanning_ties(small, np.concatenate([near[:3], far[:3], near[:2], far[:1]]), 80)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (0, 2), (6, 7)] and n == 9
+
+
+def test_nodes_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "NODE_ROWS", 16)
+    rng = random.Random(19)
+    base = sentence(rng, 60, 5000).split()
+    rows = [(f"d{i:03}", " ".join([*base[:-1], f"end{i}"])) for i in range(90)] + [("e", "x"), ("f", None)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.jaccard_classes(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {f"d{i:03}": ("d000", 89) for i in range(90)} | {"e": ("e", 0), "f": ("f", 0)}
+
+
+def test_texts_of_one_id_are_linked_each_by_itself(spark):
+    rng = random.Random(20)
+    a, b, c = sentence(rng, 50, 5000), sentence(rng, 50, 5000), sentence(rng, 50, 5000)
+    df = spark.createDataFrame([(1, a), (5, a + " x"), (5, b), (5, b), (7, c), (None, a)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in neardup.jaccard_classes(df).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (5, 1, 1), (5, 5, 1), (5, 5, 1), (7, 7, 0)]
+    assert sorted((r.doc_id or 0, r.text) for r in neardup.keep_one(df).collect()) == sorted([(0, a), (1, a), (5, b), (5, b), (7, c)])
 
 
 def test_near_copies_of_an_empty_table(spark):
