@@ -43,7 +43,12 @@ class TableSpec:
         return fingerprint.bucket(fingerprint.row_text(self.texts(source_side, True)))
 
     def key_text(self, source_side: bool = True) -> Column:
-        return F.concat_ws("|", *self.texts(source_side, True))
+        """For reports and their order; two keys may read alike."""
+        return fingerprint.row_text(self.texts(source_side, True))
+
+    def key_identity(self, source_side: bool = True) -> Column:
+        """What no two keys share, whatever their parts hold."""
+        return fingerprint.row_text(self.texts(source_side, True), exact=True)
 
 
 def summary(df: DataFrame, spec: TableSpec, source_side: bool = True) -> DataFrame:
@@ -86,19 +91,20 @@ def bucket_diff(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFr
 def row_diff(source: DataFrame, target: DataFrame, spec: TableSpec, narrow: bool = True) -> DataFrame:
     """JOIN1, SET3, FIL3: ``(key, side)`` with side missing, extra or diff.
 
-    With ``narrow`` only rows of differing buckets are compared: at most 65,536 bucket numbers
-    are joined to both sides, so that side of the join is small by definition.
+    Rows meet by the parts of their keys, a null part equal to a null part; ``key`` is those parts'
+    text.  With ``narrow`` only rows of differing buckets are compared: at most 65,536 bucket
+    numbers are joined to both sides, so that side of the join is small by definition.
     """
     def hashed(df: DataFrame, source_side: bool, name: str) -> DataFrame:
-        return df.select(spec.bucket(source_side).alias("bucket"), spec.key_text(source_side).alias("key"), spec.hash(source_side).alias(name))
+        return df.select(spec.bucket(source_side).alias("bucket"), spec.key_identity(source_side).alias("same"), spec.key_text(source_side).alias(f"{name}_key"), spec.hash(source_side).alias(f"{name}_h"))
 
-    s, t = hashed(source, True, "src_h"), hashed(target, False, "tgt_h")
+    s, t = hashed(source, True, "src"), hashed(target, False, "tgt")
     if narrow:
         differing = F.broadcast(bucket_diff(source, target, spec).select("bucket"))
         s, t = s.join(differing, "bucket", "left_semi"), t.join(differing, "bucket", "left_semi")
-    both = s.join(t, ["bucket", "key"], "full_outer").where("src_h IS DISTINCT FROM tgt_h")
+    both = s.join(t, ["bucket", "same"], "full_outer").where("src_h IS DISTINCT FROM tgt_h")
     side = F.when(F.col("tgt_h").isNull(), "missing").when(F.col("src_h").isNull(), "extra").otherwise("diff")
-    return both.select("key", side.alias("side"))
+    return both.select(F.coalesce("src_key", "tgt_key").alias("key"), side.alias("side"))
 
 
 def side_counts(diff: DataFrame) -> DataFrame:

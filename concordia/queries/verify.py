@@ -13,6 +13,10 @@ PART = v.TableSpec("part", (v.ColumnSpec("p_partkey", "bigint"), v.ColumnSpec("p
 LINEITEM = v.TableSpec("lineitem", (v.ColumnSpec("l_orderkey", "bigint"), v.ColumnSpec("l_linenumber", "int"), v.ColumnSpec("l_quantity", "float"), v.ColumnSpec("l_extendedprice", "float"), v.ColumnSpec("l_shipdate", "datetime")))
 
 
+LINES = v.TableSpec("lineitem", LINEITEM.columns, ("l_orderkey", "l_linenumber"))
+PAIRS = v.TableSpec("pairs", (v.ColumnSpec("k1", "varchar"), v.ColumnSpec("k2", "varchar"), v.ColumnSpec("k3", "varchar"), v.ColumnSpec("c_acctbal", "money")), ("k1", "k2", "k3"))
+
+
 def _summary(name: str, spec: v.TableSpec):
     def query(spark, sf_dir):
         s = v.summary(table(spark, sf_dir, name), spec)
@@ -45,6 +49,25 @@ def _checks(spark, sf_dir):
     return v.checks(orders, copy, ORDERS).select("check_kind", "check_target", F.col("src_value").cast("string").alias("src_value"), F.col("tgt_value").cast("string").alias("tgt_value"), "matched")
 
 
+def _lines_diff(spark, sf_dir):
+    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_shipdate")])
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    kept = one.where(k % 97 != 0).withColumn("l_quantity", F.col("l_quantity") + F.when(k % 89 == 0, 1.0).otherwise(0.0))
+    copy = kept.unionByName(one.where(k % 101 == 0).withColumn("l_linenumber", F.col("l_linenumber") + 100))
+    return v.row_diff(one, copy, LINES)
+
+
+def _pairs_diff(spark, sf_dir):
+    """Customers twice, under keys whose parts joined by a bar read alike; every third key has a null part."""
+    c = table(spark, sf_dir, "customer")
+    part = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey").cast("string"))
+    bal = F.col("c_acctbal").cast("decimal(19,4)").alias("c_acctbal")
+    one = c.select(F.lit("a|b").alias("k1"), F.lit("c").alias("k2"), part.alias("k3"), bal, "c_custkey").unionByName(c.select(F.lit("a").alias("k1"), F.lit("b|c").alias("k2"), part.alias("k3"), bal, "c_custkey"))
+    one = one.where("c_custkey % 3 <> 0 OR c_custkey = 3")
+    copy = one.where("NOT (c_custkey % 7 = 0 AND k1 = 'a')").withColumn("c_acctbal", F.when((F.col("c_custkey") % 5 == 0) & (F.col("k1") == "a|b") | (F.col("c_custkey") == 3), F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    return v.row_diff(one.drop("c_custkey"), copy.drop("c_custkey"), PAIRS)
+
+
 def _nopk(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return v.rows_diff(li, _lineitem_copy(li), LINEITEM)
@@ -88,6 +111,23 @@ QUERIES = {
         FROM {_B.format("orders")} s FULL JOIN {_B.format(COPY_SQL)} t ON s.bucket = t.bucket WHERE s.n IS DISTINCT FROM t.n OR s.h IS DISTINCT FROM t.h""",
     ),
     "join1_row_diff_orders": (lambda s, d: v.row_diff(*_pair(s, d), ORDERS), f"SELECT key, side FROM {_DIFF}"),
+    "join1_row_diff_lineitem": (
+        _lines_diff,
+        """WITH one AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q, min(l_extendedprice) AS p, min(l_shipdate) AS d FROM lineitem GROUP BY 1, 2),
+        copy AS (SELECT l_orderkey, l_linenumber, q + CASE WHEN (l_orderkey + l_linenumber) % 89 = 0 THEN 1 ELSE 0 END AS q, p, d FROM one WHERE (l_orderkey + l_linenumber) % 97 <> 0
+        UNION ALL SELECT l_orderkey, l_linenumber + 100, q, p, d FROM one WHERE (l_orderkey + l_linenumber) % 101 = 0)
+        SELECT coalesce(s.l_orderkey, t.l_orderkey)::VARCHAR || '|' || coalesce(s.l_linenumber, t.l_linenumber)::VARCHAR AS key, CASE WHEN t.l_orderkey IS NULL THEN 'missing' WHEN s.l_orderkey IS NULL THEN 'extra' ELSE 'diff' END AS side
+        FROM one s FULL JOIN copy t ON s.l_orderkey = t.l_orderkey AND s.l_linenumber = t.l_linenumber
+        WHERE s.l_orderkey IS NULL OR t.l_orderkey IS NULL OR s.q IS DISTINCT FROM t.q OR s.p IS DISTINCT FROM t.p OR s.d IS DISTINCT FROM t.d""",
+    ),
+    "join1_row_diff_text_keys": (
+        _pairs_diff,
+        r"""WITH one AS (SELECT k1, k2, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey::VARCHAR END AS k3, c_custkey, c_acctbal::DECIMAL(19,4) AS b
+        FROM customer, (VALUES ('a|b', 'c'), ('a', 'b|c')) AS k(k1, k2) WHERE c_custkey % 3 <> 0 OR c_custkey = 3),
+        copy AS (SELECT k1, k2, k3, CASE WHEN c_custkey % 5 = 0 AND k1 = 'a|b' OR c_custkey = 3 THEN b + 1 ELSE b END AS b FROM one WHERE NOT (c_custkey % 7 = 0 AND k1 = 'a'))
+        SELECT 'a|b|c|' || coalesce(coalesce(s.k3, t.k3), '\N') AS key, CASE WHEN t.b IS NULL THEN 'missing' WHEN s.b IS NULL THEN 'extra' ELSE 'diff' END AS side
+        FROM one s FULL JOIN copy t ON s.k1 = t.k1 AND s.k2 = t.k2 AND s.k3 IS NOT DISTINCT FROM t.k3 WHERE s.b IS DISTINCT FROM t.b""",
+    ),
     "agg4_diff_sides_orders": (lambda s, d: v.side_counts(v.row_diff(*_pair(s, d), ORDERS)), f"SELECT side, count(*) AS n FROM {_DIFF} GROUP BY side"),
     "srt4_first_diffs_orders": (lambda s, d: v.first_diffs(v.row_diff(*_pair(s, d), ORDERS)), f"SELECT key, side FROM {_DIFF} ORDER BY key, side LIMIT 100"),
     "agg1_nopk_summary_lineitem": (_summary("lineitem", LINEITEM), _summary_sql("lineitem", _LI_TEXT, {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber"})),
