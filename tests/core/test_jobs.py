@@ -14,11 +14,11 @@ from concordia.plans.model import Catalog, Table
 from concordia.sources import config as cfg
 from concordia.sources.store import Refused, Store
 from concordia.streaming import sync
-from tests.core import mock
+from tests.core import harbor
 
 CATALOG = Catalog("X", (
-    Table("dbo", "Item", (mock.col(1, "Id", "int", 4, 10, 0, False), mock.col(2, "nm", "varchar", 40), mock.col(3, "amt", "money", 8, 19, 4), mock.col(4, "body", "nvarchar", -1), mock.col(5, "up", "varchar", 40, computed="(upper([nm]))")), (mock.pk("pk_item", "Id"),)),
-    Table("dbo", "note", (mock.col(1, "a", "int", 4, 10, 0), mock.col(2, "b", "varchar", 9))),
+    Table("dbo", "Item", (harbor.col(1, "Id", "int", 4, 10, 0, False), harbor.col(2, "nm", "varchar", 40), harbor.col(3, "amt", "money", 8, 19, 4), harbor.col(4, "body", "nvarchar", -1), harbor.col(5, "up", "varchar", 40, computed="(upper([nm]))")), (harbor.pk("pk_item", "Id"),)),
+    Table("dbo", "note", (harbor.col(1, "a", "int", 4, 10, 0), harbor.col(2, "b", "varchar", 9))),
 ))
 RULES = {"tables": {"dbo.Item": {"columns": {"up": {"generated": "upper(nm)"}, "nm": {"trailing_space": "rtrim"}}}}}
 
