@@ -142,6 +142,18 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dr
 FROM documents d LEFT JOIN t USING (doc_id)
 """
 
+#: What SQL can say of op2: sizes, source sizes and targets.  A target is the water level times the weight, or twice the source's size where that is less.
+OP2_TARGETS = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS words, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY 1),
+r AS (SELECT *, 2.0 * words / weight AS ratio FROM s),
+l AS (SELECT *, (1.5 * (SELECT sum(words) FROM s) - coalesce(sum(2.0 * words) OVER w, 0)) / ((SELECT sum(weight) FROM s) - coalesce(sum(weight) OVER w, 0)) AS level
+      FROM r WINDOW w AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT arg_min(level, ratio) AS level FROM l WHERE ratio >= level)
+SELECT doc_id, size, words AS source_size, CASE WHEN v.level IS NULL THEN 2.0 * words ELSE least(2.0 * words, v.level * weight) END AS target
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, v
+"""
+
 _HOST = "translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP4 = f"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages),

@@ -191,6 +191,60 @@ def test_mix_meets_every_target(spark):
     assert mixing.balanced_mix(df.limit(0)).count() == 0
 
 
+def mixed(spark, rows, **how):
+    return mixing.balanced_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), **how).collect()
+
+
+def off_target(got):
+    """Of each source: how many words its taken words are from its target, and its largest document."""
+    out = {}
+    for r in got:
+        taken, target, largest = out.get(r.source, (0, r.target, 0))
+        out[r.source] = (taken + r.taken, target, max(largest, r.size))
+    return {s: (abs(taken - target), largest) for s, (taken, target, largest) in out.items()}
+
+
+def test_mix_of_repeated_rows_and_rows_without_ids(spark):
+    same = "one two three four five six seven"
+    rows = [(i, " ".join(["a"] * (20 + i % 60)), "a") for i in range(1000)] + [(None, " ".join([f"n{i}"] * 50), "b") for i in range(600)] + [(i, " ".join(["b"] * 50), "b") for i in range(400)]
+    rows += [(5, same, "c")] * 300 + [(None, same, "c")] * 100 + [(i, same, "c") for i in range(10_000, 10_050)] + [(7, same, None)] * 200
+    got = mixed(spark, rows)
+    assert len(got) == len(rows) and all(off <= largest for off, largest in off_target(got).values()), off_target(got)
+    again = mixing.balanced_mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5, "text")).collect()
+    key = lambda rs: sorted((str(r.doc_id), r.text, str(r.source), r.copies) for r in rs)
+    assert key(again) == key(got)
+
+
+@pytest.mark.parametrize("tail", ["wide", "heavy", "few"])
+def test_rates_equal_a_plain_solver(spark, tail):
+    rng = random.Random(21)
+    draw = {"wide": lambda: int(rng.lognormvariate(4, 2)) + 1, "heavy": lambda: min(int(rng.paretovariate(0.7)), 40_000), "few": lambda: 10}[tail]
+    rows = [(i, "w " * draw(), "ab"[i % 2]) for i in range(600)] + ([(9000 + i, "w " * 20_000, "a") for i in range(5)] if tail == "few" else [])
+    got = mixed(spark, rows)
+    assert all(off <= largest for off, largest in off_target(got).values())
+    for s in "ab":
+        size, target = np.array([r.size for r in got if r.source == s], float), next(r.target for r in got if r.source == s)
+        rates = lambda a: np.minimum(2, np.exp(np.minimum(a * size / size.mean(), 50)))  # noqa: B023, E731
+        low, high = -1e6, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (rates(mid) * size).sum() < target else (low, mid)
+        assert np.allclose([r.rate for r in got if r.source == s], rates(high), rtol=1e-4, atol=1e-6)
+
+
+def test_targets_equal_their_sql(spark):
+    import duckdb
+
+    from concordia.llm.queries import OP2_TARGETS, op2_balanced_mix
+    from tests.compare import DATA
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(OP2_TARGETS).fetchall()}
+    got = {r.doc_id: (r["size"], r.source_size, r.target) for r in op2_balanced_mix(spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(got[d][:2] == want[d][:2] and got[d][2] == pytest.approx(want[d][2]) for d in got)
+
+
 # ------------------------------------------------------------------ 5 quality
 
 
