@@ -2,7 +2,8 @@
 
 A line is dropped if the same line, or one at most ``edits`` (1 or 2) character edits away, stands
 earlier in the corpus; earlier is a smaller id, then a smaller line number.  Blank lines stay.
-Lines shorter than ``SHORTEST`` characters are dropped only for equal ones.
+Lines shorter than ``shortest`` characters (16 unless given) are dropped only for equal ones: in a
+few characters, two edits make another word.
 
 Variants.  Two lines of one length are one substitution apart if they agree after deleting the
 character at some position: the variant carries position and length.  They are one insertion apart
@@ -18,9 +19,14 @@ over 8 segments choose the segments in which they may differ, and variants are m
 
 Two edits.  Keys of "all but two of 3 segments" choose the lines.  What stands between the two left
 out may have moved by one character, so it is taken from three places.  Then every open pair of
-segments is halved again and again.  A key that few lines share gives their pairs directly; only the
-pairs of segments of keys that many lines share stay open.  Where those are a few characters wide,
-variants with up to two characters deleted are made.  Every step keeps all lines two edits apart.
+segments is halved again and again.  Lines of one key differ in what is left out only; where a key
+has few of them, those texts are compared at once, each with the earlier ones, and only the lines
+that have a near one leave the group.  The pairs of segments of keys that many lines share stay
+open.  Where those are a few characters wide, variants with up to two characters deleted are made.
+Every step keeps all lines two edits apart.
+
+Short lines.  Below 16 characters there is no grid; if ``shortest`` asks for them, all variants of
+those lines, and of the ones up to two characters longer, are made.
 
 Defined results: null texts stay null; text is split at line feeds only; rows with a null id
 come first; rows with equal ids are one document, whose lines of equal number tie and stay; an
@@ -34,16 +40,16 @@ from pyspark.sql import functions as F
 
 from concordia.llm.common import packed, quoted, unpacked, written
 
-#: Characters of the shortest line that may be dropped for a near one, and the width of a length class.
+#: Characters of the shortest line that a grid is laid over, and the width of a length class.
 SHORTEST, CLASS = 16, 16
-#: For two edits: rows of a key up to which its lines are paired directly, segments from which on they are, and the width that ends the halving.
-FEW, PAIRED, NARROW = 8, 12, 2
+#: For two edits: lines of a key, and characters left out of them, up to which they are compared at once, and the width that ends the halving.
+FEW, FEW_CHARACTERS, NARROW = 256, 1 << 20, 2
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.posexplode(F.split(F.col(quoted(text_col)).cast("string"), "\n", -1)).alias("no", "line"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(text_col)).cast("string")).alias("th"), F.posexplode(F.split(F.col(quoted(text_col)).cast("string"), "\n", -1)).alias("no", "line"))
     rows = rows.where(F.trim("line") != "")
-    return rows.select("id", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    return rows.select("id", "th", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def _right(line: Column, n: Column, size: Column) -> Column:
@@ -105,10 +111,7 @@ def _near(candidates: DataFrame) -> DataFrame:
     first = written(first.where("a < b").drop("a", "b"), "first")
     partner = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
     pairs = rows.join(first, "key").select("me", partner.alias("you")).where(F.col("you.at") < F.col("me.at"))
-    pairs = pairs.select("me.h1", "me.h2", F.col("you.h1").alias("g1"), F.col("you.h2").alias("g2")).distinct()
-    text = candidates.select("h1", "h2", "line")
-    both = pairs.join(text, ["h1", "h2"]).join(text.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other")), ["g1", "g2"])
-    return both.where(F.levenshtein("line", "other", 1) >= 0).select("h1", "h2").distinct()
+    return _verified(pairs, candidates, 1)
 
 
 def _edge(c: Column, j: Column, segments: int) -> Column:
@@ -133,7 +136,7 @@ def _halved(candidates: DataFrame, open_: DataFrame, segments: int) -> DataFrame
     """``(me, c, j1, j2, key, u, v, far)`` of lines without two of ``segments`` segments, those that lie in their open pairs (h1, c, j1, j2) of half as many.
 
     Both edits in one segment are met with its sibling; edits in two segments with both of these.
-    ``u`` and ``v`` are hashes of what is left out.  If all lines of a key have one ``u``, or one ``v``,
+    ``u`` and ``v`` are what is left out.  If all lines of a key have one ``u``, or one ``v``,
     any edits between them also fit in the other place alone; where the two places are ``far``, with
     more between them than either may hold, that is met by a pair of near segments.
     """
@@ -149,8 +152,10 @@ def _halved(candidates: DataFrame, open_: DataFrame, segments: int) -> DataFrame
     parts = [F.substr(line, F.lit(1), before), F.substr(line, middle + 1 + d, to - middle), _right(line, F.col("n"), right)]
     key = F.xxhash64(F.lit(segments), "c", "j1", "j2", *parts).alias("key")
     u, v = F.substr(line, before + 1, middle + d - before), F.substr(line, to + d + 1, F.col("n") - right - to - d)
+    near = F.col("j2") == F.col("j1") + 1  # one place of two segments: what is inserted in the first moves into the second
+    u, v = F.when(near, F.concat(u, v)).otherwise(u), F.when(near, F.lit("")).otherwise(v)
     far = to - middle > c * CLASS / segments + CLASS + 5
-    return rows.select("me", "c", "j1", "j2", key, F.xxhash64(u).alias("u"), F.xxhash64(v).alias("v"), far.alias("far"))
+    return rows.select("me", "c", "j1", "j2", key, u.alias("u"), v.alias("v"), far.alias("far"))
 
 
 def _double_variants(line: Column, n: Column, places: Column) -> Column:
@@ -175,30 +180,50 @@ def _double_variants(line: Column, n: Column, places: Column) -> Column:
     return F.concat(F.array(keyed(0, F.lit(10), line)), ones, twos)
 
 
-def _earlier(rows: DataFrame) -> DataFrame:
-    """``(me, you)``: lines of (me, role, key) with the earliest of those that a key shows to be two edits apart at most."""
-    first = rows.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("me"))).alias(f"m{r}") for r in range(6)], F.min("me.h1").alias("a"), F.max("me.h1").alias("b"))
+#: Roles of variants whose common key shows lines to be one edit apart, and two at most.
+_PARTNERS = {1: {0: (1,), 1: (0,), 3: (3,)}, 2: {0: (1, 2), 1: (0, 1), 2: (0,), 3: (4,), 4: (3,), 5: (5,)}}
+
+
+def _earlier(rows: DataFrame, edits: int) -> DataFrame:
+    """``(me, you)``: lines of (me, role, key) with the earliest of those that a key shows to be so many edits apart at most."""
+    partners = _PARTNERS[edits]
+    first = rows.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("me"))).alias(f"m{r}") for r in partners], F.min("me.h1").alias("a"), F.max("me.h1").alias("b"))
     first = written(first.where("a < b").drop("a", "b"), "first")
-    role = F.col("role")
-    you = F.when(role == 0, F.least("m1", "m2")).when(role == 1, F.least("m0", "m1")).when(role == 2, F.col("m0")).when(role == 3, F.col("m4")).when(role == 4, F.col("m3")).otherwise(F.col("m5"))
+    you = F.coalesce(*[F.when(F.col("role") == r, F.least(*[F.col(f"m{p}") for p in ps]) if len(ps) > 1 else F.col(f"m{ps[0]}")) for r, ps in partners.items()])
     return rows.join(first, "key").select("me", you.alias("you")).where(F.col("you.at") < F.col("me.at"))
 
 
+def _verified(pairs: DataFrame, candidates: DataFrame, edits: int) -> DataFrame:
+    """``(h1, h2)`` of the lines of (me, you) that are so many edits apart at most."""
+    pairs = pairs.select("me.h1", "me.h2", F.col("you.h1").alias("g1"), F.col("you.h2").alias("g2")).distinct()
+    text = candidates.select("h1", "h2", "line")
+    both = pairs.join(text, ["h1", "h2"]).join(text.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other")), ["g1", "g2"])
+    return both.where(F.levenshtein("line", "other", edits) >= 0).select("h1", "h2").distinct()
+
+
+def _near_short(candidates: DataFrame, shortest: int, edits: int) -> DataFrame:
+    """``(h1, h2)`` of the candidate lines without a grid, and of the ones little longer, that an earlier one is near to."""
+    some = candidates.where((F.col("n") >= shortest) & (F.col("n") < SHORTEST + edits))
+    variants = F.filter(_double_variants(F.col("line"), F.col("n"), F.sequence(F.lit(0), F.col("n") - 1)), lambda v: v["role"].isin(*_PARTNERS[edits]))
+    rows = some.select(F.struct("at", "h1", "h2").alias("me"), F.explode(variants).alias("v")).select("me", "v.role", "v.key")
+    return _verified(_earlier(rows, edits), some, edits)
+
+
 def _near_two(candidates: DataFrame, open_: DataFrame) -> DataFrame:
     """``(h1, h2)`` of candidate lines (h1, h2, n, at, line) that an earlier candidate is at most two edits away from; ``open_`` has their pairs (h1, c, j1, j2) of three segments."""
     found, narrow, segments = [], [], 3
+    within = lambda x, y: (F.levenshtein(x["u"], y["u"], 2) >= 0) & (F.levenshtein(x["v"], y["v"], 2) >= 0) & (F.levenshtein(x["u"], y["u"], 2) + F.levenshtein(x["v"], y["v"], 2) <= 2)
     while True:
         segments *= 2
         rows = _halved(candidates, open_, segments)
-        ends = [f(x).alias(f"{f.__name__}_{x}") for x in ("u", "v") for f in (F.min, F.max)]
-        size = rows.groupBy("key").agg(F.min("me.h1").alias("a"), F.max("me.h1").alias("b"), F.count("*").alias("m"), F.first("far").alias("far"), *ends)
+        ends = [f(F.xxhash64(x)).alias(f"{f.__name__}_{x}") for x in ("u", "v") for f in (F.min, F.max)]
+        size = rows.groupBy("key").agg(F.min("me.h1").alias("a"), F.max("me.h1").alias("b"), F.count("*").alias("m"), F.max(F.length("u") + F.length("v")).alias("chars"), F.first("far").alias("far"), *ends)
         size = size.where("a < b AND NOT (far AND (min_u = max_u OR min_v = max_v))")
-        size = written(size.select("key", ((F.col("m") <= FEW) & F.lit(segments >= PAIRED)).alias("few")), "size")
-        hit = written(rows.drop("u", "v", "far").join(size, "key"), "hit")
-        if segments >= PAIRED:
-            group = hit.where("few").groupBy("key").agg(F.array_sort(F.collect_set("me")).alias("of"))
-            pairs = F.flatten(F.transform("of", lambda x, i: F.transform(F.slice("of", F.lit(1), i), lambda y: F.struct(x.alias("me"), y.alias("you")))))
-            found.append(group.select(F.explode(pairs).alias("p")).select("p.me", "p.you"))
+        size = written(size.select("key", ((F.col("m") <= FEW) & (F.col("m") * F.col("chars") <= FEW_CHARACTERS)).alias("few")), "size")
+        hit = written(rows.drop("far").join(size, "key"), "hit")
+        group = hit.where("few").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("me", "u", "v"))).alias("of"))
+        near = F.filter("of", lambda x, i: F.exists(F.slice("of", F.lit(1), i), lambda y: (y["me"]["at"] < x["me"]["at"]) & within(x, y)))
+        found.append(written(group.select(F.explode(near).alias("x")).select("x.me.h1", "x.me.h2").distinct(), "near"))
         rest = hit.where("NOT few").select("me.h1", "c", "j1", "j2").distinct()
         done = F.col("c") * CLASS <= NARROW * segments
         narrow.append(rest.where(done).withColumn("segments", F.lit(segments)))
@@ -214,18 +239,14 @@ def _near_two(candidates: DataFrame, open_: DataFrame) -> DataFrame:
     places = F.array_sort(F.array_union(span(F.col("j1"), edge(F.col("j1"))), span(F.col("j2"), edge(F.col("j2")) - 1)))
     parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows that make very many
     rows = candidates.join(last, "h1").repartition(parts, "h1", "c", "j1", "j2", "segments").select(F.struct("at", "h1", "h2").alias("me"), F.explode(_double_variants(F.col("line"), F.col("n"), places)).alias("v"))
-    found.append(_earlier(rows.select("me", "v.role", "v.key")))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    pairs = pairs.select("me.h1", "me.h2", F.col("you.h1").alias("g1"), F.col("you.h2").alias("g2")).distinct()
-    text = candidates.select("h1", "h2", "line")
-    both = pairs.join(text, ["h1", "h2"]).join(text.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other")), ["g1", "g2"])
-    return both.where(F.levenshtein("line", "other", 2) >= 0).select("h1", "h2").distinct()
+    every = _verified(_earlier(rows.select("me", "v.role", "v.key"), 2), candidates, 2)
+    for more in found:
+        every = every.union(more)
+    return every.distinct()
 
 
-def _dropped(docs: DataFrame, id_col: str, text_col: str, edits: int) -> DataFrame:
-    """``(_doc, drop)``: of each document that loses lines, the (number, hash) of those."""
+def _dropped(docs: DataFrame, id_col: str, text_col: str, edits: int, shortest: int) -> DataFrame:
+    """``(_doc, _th, drop)``: of each text that loses lines, their sorted numbers."""
     lines = _lines(docs, id_col, text_col)
     n = F.length("line").cast("int")
     if edits == 1:
@@ -237,35 +258,46 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str, edits: int) -> DataFra
         likely = places.select("h1", "h2").distinct()
     known = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "no")).alias("at"), F.count("*").alias("copies"), F.first("line").alias("line"))
     known = known.join(likely.withColumn("candidate", F.lit(True)).hint("shuffle_hash"), ["h1", "h2"], "left")
-    known = written(known.select("h1", "h2", "at", "copies", F.when(F.col("candidate"), F.col("line")).alias("line")), "known")
+    is_short = (n >= shortest) & (n < SHORTEST + edits) if shortest < SHORTEST else F.lit(False)
+    known = written(known.select("h1", "h2", "at", "copies", F.when(F.col("candidate") | is_short, F.col("line")).alias("line")), "known")
     candidates = known.where("line IS NOT NULL").select("h1", "h2", F.length("line").cast("int").alias("n"), "at", "line")
+    gridded = candidates.where(F.col("n") >= SHORTEST)
     if edits == 1:
-        near = _near(candidates)
+        near = _near(gridded)
     else:
         pair = F.col("place") % 3
         open_ = places.select("h1", F.floor(F.col("place") / 3).cast("int").alias("c"), F.when(pair == 1, 1).otherwise(0).alias("j1"), F.when(pair == 0, 1).otherwise(2).alias("j2"))
-        near = _near_two(candidates, open_)
+        near = _near_two(gridded, open_)
+    if shortest < SHORTEST:
+        near = near.union(_near_short(candidates, shortest, edits)).distinct()
     near = written(near, "near").withColumn("near", F.lit(True))
     repeated = written(known.select("h1", "h2", "at", "copies").join(near, ["h1", "h2"], "left").where("copies > 1 OR near"), "repeated")
-    hit = lines.select("h1", "h2", "id", "no").join(repeated.hint("shuffle_hash"), ["h1", "h2"])
+    hit = lines.select("h1", "h2", "id", "th", "no").join(repeated.hint("shuffle_hash"), ["h1", "h2"])
     hit = hit.where(F.coalesce("near", F.lit(False)) | (F.struct("id", "no") > F.col("at")))
-    return hit.groupBy(F.col("id").alias("_doc")).agg(F.collect_set(F.struct("no", "h1")).alias("drop"))
+    return hit.groupBy(F.col("id").alias("_doc"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_set("no")).alias("drop"))
+
+
+def _kept(lines: Column, drop: Column) -> Column:
+    """The lines but those of the sorted numbers, as the slices between these: a text costs its length however many it loses."""
+    edges = F.concat(F.array(F.lit(-1)), drop, F.array(F.size(lines)))
+    slices = F.transform(drop, lambda d, i: F.slice(lines, F.get(edges, i) + 2, d - F.get(edges, i) - 1))
+    rest = F.slice(lines, F.element_at(drop, -1) + 2, F.size(lines))
+    return F.concat(F.flatten(slices), rest)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, edits: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, edits: int = 1, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` without their repeated lines, equal or at most ``edits`` (1 or 2) apart; with ``counts`` also ``n_lines`` and ``n_dropped``, which replace columns of the same name."""
-    if edits not in (1, 2):
-        raise ValueError("edits must be 1 or 2")
+    if edits not in (1, 2) or shortest < 1:
+        raise ValueError("edits must be 1 or 2, shortest 1 or more")
     own = {"_id": id_col, "_text": text_col}
-    drop = _dropped(docs, id_col, text_col, edits)
-    rows = packed(docs, **own).withColumn("_text", F.col("_text").cast("string")).join(drop.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_doc")), "left")
-    split = F.split("_text", "\n", -1)
-    kept = F.filter(split, lambda x, i: ~F.array_contains("drop", F.struct(i.alias("no"), F.xxhash64(x).alias("h1"))))
-    new = F.when(F.col("drop").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    drop = _dropped(docs, id_col, text_col, edits, shortest)
+    rows = packed(docs, **own).withColumn("_text", F.col("_text").cast("string"))
+    rows = rows.join(drop.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_text") == F.col("_th")), "left")
+    rows = rows.withColumn("_lines", F.split("_text", "\n", -1))
+    new = F.when(F.col("drop").isNull(), F.col("_text")).otherwise(F.array_join(_kept(F.col("_lines"), F.col("drop")), "\n"))
     more = ()
     if counts:
         more = ("n_lines", "n_dropped")
-        before = F.when(F.col("_text").isNull(), 0).otherwise(F.size(split))
-        after = F.when(F.col("drop").isNull(), before).otherwise(F.size(kept))
-        rows = rows.withColumns({"n_lines": before.cast("long"), "n_dropped": (before - after).cast("long")})
+        before = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines"))
+        rows = rows.withColumns({"n_lines": before.cast("long"), "n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("long")})
     return unpacked(rows.withColumn("_text", new), docs, own, *more)

@@ -125,7 +125,7 @@ def edit_at_most(a, b, k):
     return edit_at_most(a[1:], b[1:], k - 1) or edit_at_most(a[1:], b, k - 1) or edit_at_most(a, b[1:], k - 1)
 
 
-@pytest.mark.parametrize("few", [0, 8])
+@pytest.mark.parametrize("few", [0, 5])
 def test_lines_two_edits_apart_against_all_pairs(spark, monkeypatch, few):
     monkeypatch.setattr(lines, "FEW", few)  # 0: all by halving and variants
     rng = random.Random(40)
@@ -149,6 +149,26 @@ def test_lines_two_edits_apart_against_all_pairs(spark, monkeypatch, few):
     assert [r.text for r in sorted(got)[-3:]] == [texts[-3], "", ""]
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_short_lines_when_asked_for(spark, edits):
+    rng = random.Random(41)
+    texts = ["\n".join("".join(rng.choice("ab") for _ in range(rng.randrange(3, 20))) for _ in range(3)) for _ in range(50)]
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), edits=edits, shortest=6).collect()
+    every = [(d, n, x) for d, t in enumerate(texts) for n, x in enumerate(t.split("\n"))]
+    kept = {}
+    for d, n, x in every:
+        if not any((e, m) < (d, n) and (x == y or min(len(x), len(y)) >= 6 and edit_at_most(x, y, edits)) for e, m, y in every):
+            kept.setdefault(d, []).append(x)
+    assert {r.doc_id: r.text for r in got} == {d: "\n".join(kept.get(d, [])) for d in range(len(texts))}
+
+
+def test_a_text_of_very_many_lines(spark):
+    n = 60_000
+    df = spark.createDataFrame([(1, "a line of its own\n" + "the same line again\n" * n), (None, "the same line again\nx"), (None, "y\nthe same line again")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_lines, r.text, r.n_dropped) for r in lines.dedup_lines(df, counts=True).collect())
+    assert got == [(0, 2, "the same line again\nx", 0), (0, 2, "y", 1), (1, n + 2, "a line of its own\n", n)]
+
+
 # ------------------------------------------------------------------ 2 mixing
 
 
