@@ -279,8 +279,8 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str, edits: int, shortest:
 
 def _kept(lines: Column, drop: Column) -> Column:
     """The lines but those of the sorted numbers, as the slices between these: a text costs its length however many it loses."""
-    edges = F.concat(F.array(F.lit(-1)), drop, F.array(F.size(lines)))
-    slices = F.transform(drop, lambda d, i: F.slice(lines, F.get(edges, i) + 2, d - F.get(edges, i) - 1))
+    before = lambda i: F.when(i == 0, -1).otherwise(F.get(drop, i - 1))
+    slices = F.transform(drop, lambda d, i: F.slice(lines, before(i) + 2, d - before(i) - 1))
     rest = F.slice(lines, F.element_at(drop, -1) + 2, F.size(lines))
     return F.concat(F.flatten(slices), rest)
 
