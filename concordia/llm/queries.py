@@ -81,12 +81,15 @@ def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(_table(spark, sf_dir, "documents"))
 
 
+def usable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(_finite(F.col("embedding")))
+    return usable.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double"))).alias("v"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordia.llm.topk import exact_topk
 
-    usable = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(_finite(F.col("embedding")))
-    vectors = usable.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double"))).alias("v"))
-    return exact_topk(vectors, F.col("vec_id") % 20 == 0, k=20, every_row=True)
+    return exact_topk(usable_vectors(spark, sf_dir), F.col("vec_id") % 20 == 0, k=20, every_row=True)
 
 
 def _finite(vector: Column) -> Column:

@@ -1,28 +1,34 @@
 """Exact top-k search by inner product: columnar branch and bound.
 
-The vectors of a group are stored by dimension (all values of dimension 0, then of dimension 1
-...), dimensions with the most mass first.  For a block of queries the scores of a group are
-accumulated a few dimensions at a time; after each block of dimensions a candidate whose score
-so far plus the most that the remaining dimensions can add, by the Cauchy-Schwarz bound on the
-remaining masses of query and candidate, is below the query's k-th best known score cannot be a
-result.  Candidates that no query of the block needs any more are compacted away.
-
-The queries are a stated set: they are dealt into blocks, every group of candidates is copied to
-every block of queries, and one task scores one block against one group, so memory is bounded
-by both sizes.  Each task leaves at most k rows a query, from which the k best are chosen.
-
-All arithmetic is exact: on integers held in float64, or for the long queries and candidates whose
-inner product could pass 2**53 on 64-bit or Python integers.  A result's score that a bigint can't
-hold is an error.
-
-Defined results: null vectors take no part; rows with equal ids are one vector, the least of them,
-or with ``every_row`` each take part, but not as candidates of a query of that id, and share its k
-results; vectors of different lengths are padded with zeros; ties go to the smaller id; fewer
-candidates than k are all returned; an empty table gives no rows.
+Vectors are brought to unit length and turned into the axes of the most mass, found on a bounded
+sample, and lie by dimension.  For a chunk of candidates and a block of queries the products are
+accumulated block by block of dimensions; after each, a candidate whose product so far plus the
+most that the remaining dimensions can add, by the Cauchy-Schwarz bound on the remaining masses
+of query and candidate, is below the query's k-th best known score cannot be a result.  While
+most pairs survive, whole columns go on; once few do, the survivors are compacted into a list of
+pairs, and only these go on.  Pairs that are left at the end are scored in exact integers.
+
+Bounds.  A first round scores every query against a sample of ``SAMPLE`` candidates, so every task
+starts from a k-th best score that is known to exist, and a task raises it as it goes.
+
+The queries are a stated set: they reach the tasks in blocks of ``QUERIES``, each broadcast of
+``BLOCK_BYTES`` at most.  The candidates stay where they are and are read once for all blocks, so
+the shuffle is one deal of the table and the results, and each task leaves at most k rows a query.
+
+Integers are stored in as few bytes as the largest component needs.  The bounds are floating
+point with room for rounding; scores are exact, in 64-bit integers or, for vectors whose product
+could pass those, in Python integers.  A result's score that a bigint can't hold is an error.
+
+Defined results: null vectors and rows without an id take no part; rows with equal ids are one
+vector, the least of them, or with ``every_row`` each take part, but not as candidates of a query
+of that id, and share its k results; vectors of different lengths are padded with zeros; ties go
+to the smaller id; fewer candidates than k are all returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,111 +37,228 @@ from pyspark.sql import functions as F
 
 from concordia.llm.common import written
 
-#: Queries in a block, candidates in a group (on average), dimensions accumulated between two bounds.
-QUERIES, CANDIDATES, DIMENSIONS = 512, 8192, 16
-
-
-def _pack(key, table):
-    """A group's vectors by dimension, as bytes, in order of id."""
-    ids = table.column("id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    lists = table.column("v").combine_chunks()
-    flat, off = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
-    dims = int(off.max()) if len(off) else 0
-    m = np.zeros((len(ids), dims), np.int64)
-    m[np.arange(dims) < off[:, None]] = flat
-    return pa.table({"part": [key[0].as_py()], "n": [len(ids)], "ids": [ids[order].tobytes()], "data": [np.ascontiguousarray(m[order].T).tobytes()]})
-
-
-def _unpack(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(data, np.int64).reshape(-1, len(i)) if len(i) else np.empty((0, 0), np.int64)
-
-
-#: Bound of the products of norms below which float64 and 64-bit integers are exact, with room for rounded norms.
-_FLOATS, _INTS = 2.0**53 * (1 - 1e-9), 2.0**63 * (1 - 1e-9)
-
-
-def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of the best candidates of each query, k or for long ones up to 2 k; q and c are by dimension, c in order of id."""
-    norm = lambda x: np.sqrt((x.astype(float) ** 2).sum(axis=0))
-    q_norm, c_norm = norm(q), norm(c)
-    long_q = q_norm * c_norm.max(initial=0) >= _FLOATS
-    if not long_q.any():
-        return _bounded(q_ids, q, c_ids, c, k)
-    long_c = q_norm.max() * c_norm >= _FLOATS
-    parts = [_bounded(q_ids[~long_q], q[:, ~long_q], c_ids, c, k)] if not long_q.all() else []
-    if not long_c.all():
-        parts.append(_bounded(q_ids[long_q], q[:, long_q], c_ids[~long_c], c[:, ~long_c], k))
-    kind = np.int64 if q_norm.max() * c_norm.max() < _INTS else object
-    dims = min(len(q), len(c))
-    left, right, ids = q[:dims, long_q].T.astype(kind), c[:dims, long_c].astype(kind), c_ids[long_c]
-    for name, row in zip(q_ids[long_q], left, strict=True):
-        score = row @ right
-        best = [j for j in np.argsort(-score, kind="stable").tolist() if ids[j] != name][:k]
-        parts.append((np.full(len(best), name), ids[best], np.array([int(score[j]) for j in best], np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def _bounded(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of the k best candidates of each query; q and c are by dimension, c in order of id."""
-    dims = max(len(q), len(c))
-    q, c = (np.concatenate([x, np.zeros((dims - len(x), x.shape[1]), np.int64)]).astype(float) for x in (q, c))
-    order = np.argsort(-(q * q).sum(axis=1), kind="stable")
-    q, c = q[order], c[order]
-    tail = lambda x: np.sqrt(np.concatenate([np.cumsum((x * x)[::-1], axis=0)[::-1], np.zeros((1, x.shape[1]))]))
-    q_rest, c_rest = tail(q), tail(c)
-    own = q_ids[:, None] == c_ids
-    # a first bound: the k-th best of the longest candidates
-    first = np.argpartition(-c_rest[0], min(4 * k, len(c_ids) - 1))[: 4 * k] if len(c_ids) > 4 * k else np.arange(len(c_ids))
-    known = np.where(own[:, first], -np.inf, q.T @ c[:, first])
-    least = np.sort(known, axis=1)[:, -k] if known.shape[1] >= k else np.full(len(q_ids), -np.inf)
-    live, score = np.arange(len(c_ids)), np.zeros((len(q_ids), len(c_ids)))
-    for lo in range(0, dims, DIMENSIONS):
-        hi = min(dims, lo + DIMENSIONS)
-        score += q[lo:hi].T @ c[lo:hi][:, live]
-        if hi < dims:
-            reach = score + q_rest[hi][:, None] * c_rest[hi][live] * (1 + 1e-12)
-            wanted = (reach >= least[:, None]).any(axis=0)
-            if wanted.mean() < 0.8:
-                live, score = live[wanted], np.ascontiguousarray(score[:, wanted])
-    score[own[:, live]] = -np.inf
-    ids, take = c_ids[live], min(k, len(live))
-    out = []
-    for i in range(len(q_ids)):  # live is in order of id, so a stable sort leaves ties to the smaller id
-        s = score[i]
-        if take and len(live) > take:
-            bar = np.partition(s, len(live) - take)[len(live) - take]
-            some = np.flatnonzero(s >= bar)
-        else:
-            some = np.arange(len(live))
-        best = some[np.argsort(-s[some], kind="stable")][:take]
-        best = best[np.isfinite(s[best])]
-        out.append((np.full(len(best), q_ids[i]), ids[best], s[best].astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
-
-
-def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "v", every_row: bool = False) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for every query row, the k candidates of the highest inner product but itself."""
+#: Queries in a block and bytes of it, candidates in a chunk, dimensions between two bounds, candidates of the first round.
+QUERIES, BLOCK_BYTES, CANDIDATES, DIMENSIONS, SAMPLE = 4096, 1 << 25, 2048, 8, 4096
+#: Share of surviving pairs below which they become a list; dimensions up to which axes are turned.
+SPARSE, TURNED = 0.3, 1024
+#: Room for rounding in products of unit vectors held in 32 bits.
+_SLACK = 1e-5
+
+
+def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
+    """The vectors as rows of one width."""
+    flat, size = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(size), dims), flat.dtype)
+    out[np.arange(dims) < size[:, None]] = flat
+    return out
+
+
+@dataclass
+class Axes:
+    """The turn into axes of falling mass, or for very long vectors an order of dimensions."""
+
+    turn: np.ndarray
+
+    @classmethod
+    def of(cls, sample: np.ndarray, dims: int) -> Axes:
+        x = sample.astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        if dims <= TURNED and len(x):
+            return cls(np.linalg.eigh(x.T @ x)[1][:, ::-1].astype(np.float32))
+        return cls(np.argsort(-(x * x).sum(axis=0), kind="stable"))
+
+    def unit(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors by dimension, the mass of each from dimension d on, and the norms."""
+        x = m.astype(float)
+        norm = np.linalg.norm(x, axis=1)
+        x = (x / np.maximum(norm, 1e-300)[:, None]).astype(np.float32)
+        x = np.ascontiguousarray((x @ self.turn if self.turn.ndim == 2 else x[:, self.turn]).T)
+        rest = np.sqrt(np.concatenate([np.cumsum((x * x)[::-1], axis=0)[::-1], np.zeros((1, x.shape[1]), np.float32)]))
+        return x, rest, norm
+
+
+def exact_scores(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray, largest: float) -> np.ndarray:
+    """Inner products of the rows q[i] and c[j]; ``largest`` bounds the product of their norms."""
+    if largest < 2.0**62:
+        out = np.empty(len(i), np.int64)
+        for lo in range(0, len(i), 1 << 16):
+            at = slice(lo, lo + (1 << 16))
+            out[at] = np.einsum("nd,nd->n", q[i[at]].astype(np.int64), c[j[at]].astype(np.int64))
+        return out
+    return np.array([sum(a * b for a, b in zip(q[x].tolist(), c[y].tolist(), strict=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], object)
+
+
+def survivors(q: tuple, c: tuple, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (query, candidate) whose product may reach the query's bound, and how many products of components were made.
+
+    ``q`` and ``c`` are what ``Axes.unit`` gives.
+    """
+    (qx, q_rest, q_norm), (cx, c_rest, c_norm) = q, c
+    dims, work = len(qx), 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bar = np.where(q_norm > 0, least / q_norm, np.where(least > 0, np.inf, -np.inf))
+        bar = (bar[:, None] / c_norm).astype(np.float32)  # of the unit vectors' product
+    zero = c_norm == 0
+    if zero.any():
+        bar[:, zero] = np.where(least > 0, np.inf, -np.inf)[:, None]
+    bar -= np.float32(_SLACK)
+    total = np.zeros((qx.shape[1], cx.shape[1]), np.float32)
+    d = 0
+    while d < dims:
+        to = min(dims, d + DIMENSIONS)
+        total += qx[d:to].T @ cx[d:to]
+        work += total.size * (to - d)
+        d = to
+        if 2 * d < dims and d < dims:  # nearly all survive until half of the mass is in
+            continue
+        open_ = total + np.outer(q_rest[d], c_rest[d]) >= bar
+        if d == dims or open_.mean() < SPARSE:
+            break
+    i, j = np.nonzero(open_)
+    if d < dims:
+        part, qt, ct = total[i, j], np.ascontiguousarray(qx.T), np.ascontiguousarray(cx.T)
+        while d < dims and len(i):
+            to = min(dims, d + DIMENSIONS)
+            part += np.einsum("nd,nd->n", qt[i, d:to], ct[j, d:to])
+            work += len(i) * (to - d)
+            d = to
+            keep = part + q_rest[d][i] * c_rest[d][j] >= bar[i, j]
+            i, j, part = i[keep], j[keep], part[keep]
+    return i, j, work
+
+
+def _best(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query i: highest score, then smallest id."""
+    order = np.lexsort((ids, -score, i)) if score.dtype != object else np.array(sorted(range(len(i)), key=lambda n: (i[n], -score[n], ids[n])), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(i[order]) != 0])) if len(i) else np.empty(0, np.int64)
+    rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+    return order[rank < k]
+
+
+@dataclass
+class Block:
+    """Some queries: ids, integers, unit vectors with their masses, and for each a score that k candidates reach."""
+
+    ids: np.ndarray
+    ints: np.ndarray
+    unit: tuple
+    least: np.ndarray
+
+    def search(self, c_ids: np.ndarray, c: np.ndarray, unit: tuple, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query's place, id, score) of the best candidates that reach the bounds ``least``."""
+        i, j, work = survivors(self.unit, unit, least)
+        other = self.ids[i] != c_ids[j]
+        i, j = i[other], j[other]
+        largest = float(self.unit[2].max(initial=0)) * float(unit[2].max(initial=0))
+        score = exact_scores(self.ints, c, i, j, largest * 1.001)
+        top = _best(i, c_ids[j], score, k)
+        return i[top], c_ids[j[top]], score[top], work
+
+
+def _raised(least: np.ndarray, held: tuple, found: tuple, k: int) -> tuple[np.ndarray, tuple]:
+    """Higher bounds from what a task has found so far."""
+    i, ids, score = (np.concatenate(x) for x in zip(held, found, strict=True))
+    top = _best(i, ids, score, k)
+    i, ids, score = i[top], ids[top], score[top]
+    count = np.bincount(i, minlength=len(least))
+    last = np.cumsum(count) - 1
+    full = count >= k
+    least = least.copy()
+    least[full] = np.maximum(least[full], score[last[full]].astype(float))
+    return least, (i, ids, score)
+
+
+def _narrowest(most: int) -> str:
+    return next((t for t, bits in (("tinyint", 7), ("smallint", 15), ("int", 31)) if most < 1 << bits), "bigint")
+
+
+def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "v", every_row: bool = False, counter=None) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: for every query row, the k candidates of the highest inner product but itself.
+
+    An accumulator given as ``counter`` gets the number of products of components that were made.
+    """
     rows = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.struct(F.col(vector_col).cast("array<bigint>").alias("v"), is_query.alias("q")).alias("r"))
     if not every_row:
         rows = rows.groupBy("id").agg(F.min("r").alias("r"))
-    rows = written(rows.select("id", "r.v", "r.q"), "vectors")
-    n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
-    groups, blocks = max(1, -(-n // CANDIDATES)), max(1, -(-n_queries // QUERIES))
+    rows = rows.select("id", "r.v", "r.q")
+    size = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.greatest(F.array_max("v").cast("double"), -F.array_min("v").cast("double")))).first()
+    n, dims, most = (int(x or 0) for x in size)
+    spark = vectors.sparkSession
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    kind = _narrowest(most)
+    # dealt once by a hash, so that no task gets more than its share of the chunks
+    rows = written(rows.select("id", F.col("v").cast(f"array<{kind}>").alias("v"), "q").repartition(max(1, -(-n // (2 * CANDIDATES))), "id", F.xxhash64("v")), "vectors")
+    few = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v").toArrow()  # SAMPLE rows
+    sample_ids, sample = few.column("id").to_numpy(), _matrix(pa.concat_arrays(few.column("v").chunks), dims)
+    axes = Axes.of(sample, dims)
+    first = spark.sparkContext.broadcast((sample_ids, sample, axes))
+
+    def bounds(batches):
+        ids, m, axes = first.value
+        unit = axes.unit(m)
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                own, q = b.column(0).slice(lo, 512), b.column(1).slice(lo, 512)
+                ints = _matrix(q, dims)
+                block = Block(own.to_numpy(), ints, axes.unit(ints), np.full(len(ints), -np.inf))
+                score = (block.unit[0].T @ unit[0]) * np.outer(block.unit[2], unit[2]) - _SLACK * np.outer(block.unit[2], unit[2])  # never above the exact one
+                score[block.ids[:, None] == ids] = -np.inf
+                least = np.sort(score, axis=1)[:, -k] if score.shape[1] >= k else block.least
+                yield pa.RecordBatch.from_arrays([own, q, pa.array(least)], ["id", "v", "least"])
+
+    queries = written(rows.where("q").select("id", "v").mapInArrow(bounds, f"id long, v array<{kind}>, least double"), "queries")
+    width = min(QUERIES, max(1, BLOCK_BYTES // (12 * max(dims, 1))))
+    blocks, held = [], []
+
+    def send() -> None:
+        ids, v, least = zip(*held, strict=True)
+        ints = _matrix(pa.array(v, rows_type), dims)
+        blocks.append(spark.sparkContext.broadcast(Block(np.array(ids, np.int64), ints, axes.unit(ints), np.array(least))))
+        held.clear()
+
+    rows_type = pa.list_({"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}[kind])
+    for r in queries.toLocalIterator():  # a block at a time
+        held.append((r["id"], r["v"], r["least"]))
+        if len(held) == width:
+            send()
+    if held:
+        send()
 
-    def packed(some: DataFrame, parts: int) -> DataFrame:
-        return some.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("long").alias("part"), "id", "v").groupBy("part").applyInArrow(_pack, "part long, n long, ids binary, data binary")
+    def search(batches):
+        axes, state = first.value[2], [None] * len(blocks)
 
-    queries = packed(rows.where("q"), blocks).select(F.col("part").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"), F.lit(0).alias("side"), "ids", "data")
-    others = packed(rows, groups).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("part").alias("grp"), F.lit(1).alias("side"), "ids", "data")
+        def chunks():
+            ids, parts, held = [], [], 0
+            for b in batches:
+                ids.append(b.column(0).to_numpy())
+                parts.append(_matrix(b.column(1), dims))
+                held += b.num_rows
+                if held >= CANDIDATES:
+                    yield np.concatenate(ids), np.concatenate(parts)
+                    ids, parts, held = [], [], 0
+            if held:
+                yield np.concatenate(ids), np.concatenate(parts)
 
-    def score(key, table):
-        sides = {s: _unpack(i, d) for s, i, d in zip(*(table.column(c).to_pylist() for c in ("side", "ids", "data")), strict=True)}
-        found = search(*sides[0], *sides[1], k) if len(sides) == 2 else (np.empty(0, np.int64),) * 3
-        return pa.table({"query_id": found[0].astype(np.int64), "vec_id": found[1].astype(np.int64), "score": found[2].astype(np.int64)})
+        for ids, m in chunks():
+            for lo in range(0, len(ids), CANDIDATES):
+                c_ids, c = ids[lo : lo + CANDIDATES], m[lo : lo + CANDIDATES]
+                unit = axes.unit(c)
+                for n_block, shared in enumerate(blocks):
+                    block = shared.value
+                    least, best = state[n_block] or (block.least, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)))
+                    *found, work = block.search(c_ids, c, unit, least, k)
+                    state[n_block] = _raised(least, best, tuple(found), k)
+                    if counter is not None:
+                        counter.add(work)
+                    if len(blocks) > 1 and hasattr(shared, "_value"):  # hold one block at a time
+                        del shared._value
+        for shared, held in zip(blocks, state, strict=True):
+            if held is not None and len(held[1][0]):
+                i, ids, score = held[1]
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.ids[i]), pa.array(ids), pa.array(score.tolist(), pa.int64())], ["query_id", "vec_id", "score"])
 
-    best = queries.unionByName(others).groupBy("block", "grp").applyInArrow(score, "query_id long, vec_id long, score long")
+    best = rows.select("id", "v").mapInArrow(search, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -330,15 +330,23 @@ def test_topk_against_all_scores(spark):
     assert topk.exact_topk(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_blocks_of_dimensions_lose_nothing():
+def block_of(ids, q, axes, least=-np.inf):
+    return topk.Block(np.asarray(ids), q, axes.unit(q), np.full(len(q), float(least)))
+
+
+def test_bounds_lose_nothing_and_leave_most_out():
     rng = np.random.default_rng(9)
-    c = np.concatenate([rng.integers(-60, 60, (64, 50)) * 10, rng.integers(-3, 3, (64, 3000))], axis=1)  # few long vectors, many short ones
-    q = rng.integers(-50, 50, (64, 30))
-    got = topk.search(np.arange(-30, 0), q, np.arange(c.shape[1]), c, 5)
-    scores = q.T @ c
-    for i in range(30):
-        want = sorted(range(c.shape[1]), key=lambda j: (-scores[i, j], j))[:5]
-        assert got[1][got[0] == i - 30].tolist() == want
+    centre = rng.normal(size=(30, 64)) * np.linspace(3, 0.1, 64)
+    c = np.floor(20 * (centre[rng.integers(0, 30, 3000)] + 0.3 * rng.normal(size=(3000, 64)))).astype(np.int64)
+    q, axes = c[::100], topk.Axes.of(c[:500], 64)
+    scores = q @ c.T
+    least = np.sort(scores, axis=1)[:, -20].astype(float)
+    block = topk.Block(np.arange(-30, 0), q, axes.unit(q), least)
+    i, ids, score, work = block.search(np.arange(3000), c, axes.unit(c), least, 5)
+    for n in range(30):
+        want = sorted(range(3000), key=lambda j: (-scores[n, j], j))[:5]
+        assert ids[i == n].tolist() == want and score[i == n].tolist() == scores[n, want].tolist()
+    assert work < 0.7 * 30 * 3000 * 64
 
 
 def test_long_vectors_are_scored_exactly(spark):
@@ -349,8 +357,29 @@ def test_long_vectors_are_scored_exactly(spark):
     dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
     want = {(q, r + 1, i, -s) for q in (0, 20, 40) for r, (s, i) in enumerate(sorted((-dot(q, i), i) for i in v if i != q)[:7])}
     assert {tuple(r) for r in got} == want
-    found = topk.search(np.array([1]), np.array([[2**40], [2**40]]), np.array([2, 3]), np.array([[2**40, 2], [-(2**40), 1]]), 2)  # sums pass 64 bits on the way
-    assert [x.tolist() for x in found] == [[1, 1], [3, 2], [3 * 2**40, 0]]
+    c = np.array([[2**40, -(2**40)], [2, 1]])
+    axes = topk.Axes.of(c, 2)
+    i, ids, score, _ = block_of([1], np.array([[2**40, 2**40]]), axes).search(np.array([2, 3]), c, axes.unit(c), np.array([-np.inf]), 2)  # sums pass 64 bits on the way
+    assert (i.tolist(), ids.tolist(), score.tolist()) == ([0, 0], [3, 2], [3 * 2**40, 0])
+
+
+def test_zero_vectors_and_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    rng = np.random.default_rng(22)
+    v = {i: ([0, 0, 0] if i % 9 == 0 else rng.integers(-5, 5, 3).tolist()) for i in range(0, 400, 2)}
+    got = topk.exact_topk(spark.createDataFrame(list(v.items()), "vec_id long, v array<long>"), F.col("vec_id") % 20 == 0, 6).collect()
+    score = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
+    assert {tuple(r) for r in got} == {(q, r + 1, i, -s) for q in v if q % 20 == 0 for r, (s, i) in enumerate(sorted((-score(q, i), i) for i in v if i != q)[:6])}
+
+
+def test_bounds_leave_products_out_on_the_test_table(spark):
+    from concordia.llm.queries import usable_vectors
+
+    vectors = usable_vectors(spark, "/root/testdata/sf0.1")
+    n, done = vectors.count(), spark.sparkContext.accumulator(0)
+    topk.exact_topk(vectors, F.col("vec_id") % 20 == 0, counter=done, every_row=True).count()
+    assert 0 < done.value < 0.9 * 64 * n * vectors.where("vec_id % 20 = 0").count()  # directions are even there: no bound bites before most of the mass is in
 
 
 def test_every_row_of_an_id_takes_part(spark):
