@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,38 @@ PIECE = 1 << 20
 
 _local: dict[str, str] = {}
 _made: list[str] = []
+_owner: ContextVar[list[str]] = ContextVar("owner", default=_made)
+
+
+@contextmanager
+def owned(tables: list[str]):
+    """Inside, ``written`` notes its folders in ``tables``, for ``release`` once nothing reads them any more; each thread has its own."""
+    before = _owner.set(tables)
+    try:
+        yield tables
+    finally:
+        _owner.reset(before)
+
+
+@contextmanager
+def interim(spark: SparkSession):
+    """Deletes at its end the tables written inside, but those that are passed through the function it gives."""
+    outer, mine, kept = _owner.get(), [], []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(mine[-1])
+        return table
+
+    with owned(mine):
+        try:
+            yield keep
+        except BaseException:
+            kept.clear()
+            raise
+        finally:
+            outer += kept
+            release(spark, [f for f in mine if f not in kept])
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``; only a local session may go without it."""
@@ -38,7 +72,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     folder = shared_folder(df.sparkSession)
-    _made.append(folder)
+    _owner.get().append(folder)
     path = f"{folder}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -46,25 +80,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Delete what ``written`` made, once nothing will read it again."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def made() -> list[str]:
-    """The folders of the tables that ``written`` has made in this process and that ``release`` has not deleted."""
-    return list(_made)
+    folders = {f.rsplit("/", 2)[0] for f in df.inputFiles()}
+    release(df.sparkSession, [f for f in folders if f.rsplit("/", 1)[1].startswith("concordia-")])
 
 
 def release(spark: SparkSession, folders: list[str]) -> None:
-    """Delete some of ``made()``, for a caller who knows that nothing will read them again."""
+    """Delete folders that ``written`` has made."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in folders:
+    for folder in list(folders):
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
-        _made.remove(folder)
+        for held in (folders, _owner.get()):
+            name = folder.rsplit("/", 1)[1]
+            held[:] = [f for f in held if f.rsplit("/", 1)[1] != name]
 
 
 # ---------------------------------------------------------------- columns

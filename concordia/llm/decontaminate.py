@@ -8,8 +8,11 @@ training suffixes that continue it for a whole window.  The longest verbatim mat
 from the first word of each matching run.
 
 The benchmark is the stated query set.  It reaches the executors in blocks of at most
-``BLOCK_WORDS`` words (8 bytes each), so a broadcast never exceeds that bound however large the
-benchmark is; the results of all blocks are merged inside the task that holds the documents.
+``BLOCK_WORDS`` words, under 20 bytes each with all that is kept of them, and two filters of 4 MB,
+so a broadcast never exceeds 32 MB however large the benchmark is.  An item longer than a block is
+cut into pieces that overlap by all but one word of a window, so that no window is lost (a match
+is then grown within a piece).  The results of all blocks are merged inside the task that holds
+the documents.
 
 Defined results: a null or empty text has no words and is never contaminated; a null benchmark
 text, or one without words, has no window; an item id that occurs in several rows counts once;
@@ -30,8 +33,8 @@ from pyspark.sql import types as T
 
 from concordia.llm.common import grams, packed, quoted, spread, texts, unpacked, words
 
-#: Words of the benchmark in one broadcast: 4 Mi words are 32 MB of hashes.
-BLOCK_WORDS = 1 << 22
+#: Words of the benchmark in one broadcast.
+BLOCK_WORDS = 1 << 20
 _FILTER_BITS = 22
 _LEAD = 4
 
@@ -43,11 +46,10 @@ class Block:
         self.ids = [i for i, _ in items]
         self.words = np.concatenate([w for _, w in items] + [np.zeros(window, np.uint64)])
         size = np.array([len(w) for _, w in items], np.int64)
-        self.item, rank = spread(np.maximum(size - window + 1, 1))
-        first = np.cumsum(size) - size
-        self.start = first[self.item] + rank
-        self.depth = np.minimum(size, window)[self.item]
-        self.begin, self.end = first[self.item], (first + size)[self.item]
+        item, rank = spread(np.maximum(size - window + 1, 1))
+        self.first, self.size = np.cumsum(size) - size, size  # of each item
+        self.item, self.start = item.astype(np.int32), (self.first[item] + rank).astype(np.int32)
+        self.depth = np.minimum(size, window)[item].astype(np.int32 if window > 127 else np.int8)
         short = self.depth < _LEAD
         self.any_short = bool(short.any())
         self.lead = np.zeros(1 << _FILTER_BITS, bool)
@@ -75,11 +77,15 @@ def benchmark_blocks(bench: DataFrame, item_col: str, text_col: str, window: int
     rows = bench.select(F.coalesce(F.col(quoted(item_col)).cast("string"), F.lit("")).alias("item"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(hashed, "item string, words binary")
     held, n = [], 0
     for item, w in rows.where(F.length("words") > 0).toLocalIterator():
-        held.append((item, np.frombuffer(bytes(w), np.uint64)))
-        n += len(held[-1][1])
-        if n >= BLOCK_WORDS:
-            yield Block(held, window)
-            held, n = [], 0
+        every = np.frombuffer(bytes(w), np.uint64)
+        step = max(1, BLOCK_WORDS - window + 1)
+        for lo in range(0, max(1, len(every) - window + 1), step):
+            piece = every[lo : lo + step + window - 1]
+            if held and n + len(piece) > BLOCK_WORDS:
+                yield Block(held, window)
+                held, n = [], 0
+            held.append((item, piece))
+            n += len(piece)
     if held:
         yield Block(held, window)
 
@@ -162,9 +168,9 @@ class Hits:
         for d, i in pairs.T.tolist():
             self.items[d].add(block.ids[i])
         q = block.start[j]
-        head = (p == bound[doc]) | (q == block.begin[j]) | (h[np.maximum(p - 1, 0)] != block.words[np.maximum(q - 1, 0)])
+        head = (p == bound[doc]) | (q == block.first[block.item[j]]) | (h[np.maximum(p - 1, 0)] != block.words[np.maximum(q - 1, 0)])
         p, q, doc, j = p[head], q[head], doc[head], j[head]
-        length, end_p, end_q = block.depth[j].copy(), bound[doc + 1], block.end[j]
+        length, end_p, end_q = block.depth[j].astype(np.int64), bound[doc + 1], (block.first + block.size)[block.item[j]]
         live = np.arange(len(p))
         while len(live):
             a, b = p[live] + length[live], q[live] + length[live]

@@ -38,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import packed, quoted, unpacked, written
+from concordia.llm.common import interim, packed, quoted, unpacked, written
 
 #: Characters of the shortest line that a grid is laid over, and the width of a length class.
 SHORTEST, CLASS = 16, 16
@@ -248,30 +248,31 @@ def _near_two(candidates: DataFrame, open_: DataFrame) -> DataFrame:
 def _dropped(docs: DataFrame, id_col: str, text_col: str, edits: int, shortest: int) -> DataFrame:
     """``(_doc, _th, drop)``: of each text that loses lines, their sorted numbers."""
     lines = _lines(docs, id_col, text_col)
-    n = F.length("line").cast("int")
-    if edits == 1:
-        halves = lines.where(n >= SHORTEST).select("h1", "h2", F.explode(_half_keys(F.col("line"), n)).alias("key"))
-        likely = written(halves.join(_shared(halves).hint("shuffle_hash"), "key", "left_semi").select("h1", "h2").distinct(), "likely")
-    else:
-        thirds = lines.where(n >= SHORTEST).select("h1", "h2", F.explode(_third_keys(F.col("line"), n)).alias("k")).select("h1", "h2", "k.*")
-        places = written(thirds.join(_shared(thirds).hint("shuffle_hash"), "key", "left_semi").select("h1", "h2", "place").distinct(), "places")
-        likely = places.select("h1", "h2").distinct()
-    known = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "no")).alias("at"), F.count("*").alias("copies"), F.first("line").alias("line"))
-    known = known.join(likely.withColumn("candidate", F.lit(True)).hint("shuffle_hash"), ["h1", "h2"], "left")
-    is_short = (n >= shortest) & (n < SHORTEST + edits) if shortest < SHORTEST else F.lit(False)
-    known = written(known.select("h1", "h2", "at", "copies", F.when(F.col("candidate") | is_short, F.col("line")).alias("line")), "known")
-    candidates = known.where("line IS NOT NULL").select("h1", "h2", F.length("line").cast("int").alias("n"), "at", "line")
-    gridded = candidates.where(F.col("n") >= SHORTEST)
-    if edits == 1:
-        near = _near(gridded)
-    else:
-        pair = F.col("place") % 3
-        open_ = places.select("h1", F.floor(F.col("place") / 3).cast("int").alias("c"), F.when(pair == 1, 1).otherwise(0).alias("j1"), F.when(pair == 0, 1).otherwise(2).alias("j2"))
-        near = _near_two(gridded, open_)
-    if shortest < SHORTEST:
-        near = near.union(_near_short(candidates, shortest, edits)).distinct()
-    near = written(near, "near").withColumn("near", F.lit(True))
-    repeated = written(known.select("h1", "h2", "at", "copies").join(near, ["h1", "h2"], "left").where("copies > 1 OR near"), "repeated")
+    with interim(docs.sparkSession) as keep:
+        n = F.length("line").cast("int")
+        if edits == 1:
+            halves = lines.where(n >= SHORTEST).select("h1", "h2", F.explode(_half_keys(F.col("line"), n)).alias("key"))
+            likely = written(halves.join(_shared(halves).hint("shuffle_hash"), "key", "left_semi").select("h1", "h2").distinct(), "likely")
+        else:
+            thirds = lines.where(n >= SHORTEST).select("h1", "h2", F.explode(_third_keys(F.col("line"), n)).alias("k")).select("h1", "h2", "k.*")
+            places = written(thirds.join(_shared(thirds).hint("shuffle_hash"), "key", "left_semi").select("h1", "h2", "place").distinct(), "places")
+            likely = places.select("h1", "h2").distinct()
+        known = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "no")).alias("at"), F.count("*").alias("copies"), F.first("line").alias("line"))
+        known = known.join(likely.withColumn("candidate", F.lit(True)).hint("shuffle_hash"), ["h1", "h2"], "left")
+        is_short = (n >= shortest) & (n < SHORTEST + edits) if shortest < SHORTEST else F.lit(False)
+        known = written(known.select("h1", "h2", "at", "copies", F.when(F.col("candidate") | is_short, F.col("line")).alias("line")), "known")
+        candidates = known.where("line IS NOT NULL").select("h1", "h2", F.length("line").cast("int").alias("n"), "at", "line")
+        gridded = candidates.where(F.col("n") >= SHORTEST)
+        if edits == 1:
+            near = _near(gridded)
+        else:
+            pair = F.col("place") % 3
+            open_ = places.select("h1", F.floor(F.col("place") / 3).cast("int").alias("c"), F.when(pair == 1, 1).otherwise(0).alias("j1"), F.when(pair == 0, 1).otherwise(2).alias("j2"))
+            near = _near_two(gridded, open_)
+        if shortest < SHORTEST:
+            near = near.union(_near_short(candidates, shortest, edits)).distinct()
+        near = written(near, "near").withColumn("near", F.lit(True))
+        repeated = keep(written(known.select("h1", "h2", "at", "copies").join(near, ["h1", "h2"], "left").where("copies > 1 OR near"), "repeated"))
     hit = lines.select("h1", "h2", "id", "th", "no").join(repeated.hint("shuffle_hash"), ["h1", "h2"])
     hit = hit.where(F.coalesce("near", F.lit(False)) | (F.struct("id", "no") > F.col("at")))
     return hit.groupBy(F.col("id").alias("_doc"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_set("no")).alias("drop"))

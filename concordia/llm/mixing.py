@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from concordia.llm.common import packed, quoted, unpacked, written
+from concordia.llm.common import interim, packed, quoted, unpacked, written
 
 _LEVELS = 512
 #: A side of up to so many sources (one short row each) is broadcast, else joined by a shuffle.
@@ -196,20 +196,20 @@ def balanced_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with ``size``, ``source_size``, ``target`` (its source's), ``rate``, ``copies`` and ``taken``, which replace columns of the same name."""
     own = {"_id": id_col, "_text": text_col, "_source": source_col}
     text_hash = F.xxhash64(F.col("_text").cast("string"))
-    narrow = packed(docs, **own).select(F.col("_id").alias("id"), text_hash.alias("th"), F.col("_source").alias("source"), word_count(F.col("_text")).alias("size"))
-    narrow = written(narrow, "narrow")
-    sizes = written(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
-    sources = sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("docs"))
-    sources = targets(sources, share, cap, weights).withColumn("mean", F.greatest(F.col("words") / F.col("docs"), F.lit(1e-9)))
-    sources = written(sources.select(F.col("source").alias("_of"), "words", "mean", "target"), "sources")
-    solved = _multipliers(_with(sizes, sources), cap).withColumnRenamed("source", "_s")
-    known = sources.join(solved, F.col("_of").eqNullSafe(F.col("_s"))).select("_of", "words", "mean", "target", "a", (F.col("target") - F.col("whole")).alias("goal"))
-    known = written(known, "known")
-
-    rate = F.when(F.col("target") > 0, _rate(F.col("a"), F.col("size"), F.col("mean"), cap)).otherwise(0.0)
-    rows = _with(narrow, known).where("size > 0").withColumn("place", _place(rate, F.col("id"), F.col("th"))).where("place IS NOT NULL")
-    rows = rows.select("source", "goal", "size", "place")
-    rounding = _turned(rows, _cut(rows))
+    with interim(docs.sparkSession) as keep:
+        narrow = packed(docs, **own).select(F.col("_id").alias("id"), text_hash.alias("th"), F.col("_source").alias("source"), word_count(F.col("_text")).alias("size"))
+        narrow = written(narrow, "narrow")
+        sizes = written(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
+        sources = sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("docs"))
+        sources = targets(sources, share, cap, weights).withColumn("mean", F.greatest(F.col("words") / F.col("docs"), F.lit(1e-9)))
+        sources = written(sources.select(F.col("source").alias("_of"), "words", "mean", "target"), "sources")
+        solved = _multipliers(_with(sizes, sources), cap).withColumnRenamed("source", "_s")
+        known = sources.join(solved, F.col("_of").eqNullSafe(F.col("_s"))).select("_of", "words", "mean", "target", "a", (F.col("target") - F.col("whole")).alias("goal"))
+        known = keep(written(known, "known"))
+        rate = F.when(F.col("target") > 0, _rate(F.col("a"), F.col("size"), F.col("mean"), cap)).otherwise(0.0)
+        rows = _with(narrow, known).where("size > 0").withColumn("place", _place(rate, F.col("id"), F.col("th"))).where("place IS NOT NULL")
+        rows = rows.select("source", "goal", "size", "place")
+        rounding = keep(_turned(rows, _cut(rows)))
 
     mixed = packed(docs, **own).withColumn("size", word_count(F.col("_text")))
     mixed = _with(_with(mixed, known, "_source"), rounding, "_source").withColumn("rate", rate)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordia.llm.common import PIECE, drop_table, grams, mix, packed, quoted, spread, texts, unpacked, words, written
+from concordia.llm.common import PIECE, grams, interim, mix, packed, quoted, spread, texts, unpacked, words, written
 from concordia.llm.components import components
 
 #: Texts, and shingles of them, that a verification task holds of each of its two blocks, about.
@@ -296,8 +296,6 @@ def candidate_ties(classes: DataFrame, forest: Forest, threshold: float, recall:
     members = members.join(classes.select("h1", F.substring("digits", 1, COMPARED).alias("digits")), "h1").select("grp", "h1", "digits")
     need = math.ceil(COMPARED * threshold - SIGMAS * math.sqrt(COMPARED * threshold * (1 - threshold)))
     ties = written(_ties(members.repartition("grp").sortWithinPartitions("grp"), need, counter).where("a <> b").distinct(), "ties")
-    for table in (shared, together, sizes, places, open_):
-        drop_table(table)
     return ties
 
 
@@ -374,37 +372,36 @@ def _verify(k: int, threshold: float):
 def _classed(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, recall: float, trees: int, counter=None) -> DataFrame:
     """``(id, th, class_id, n_links)`` of every row; th is the hash of its text."""
     forest = Forest(trees)
-    signed = written(_signatures(docs, id_col, text_col, forest, k), "signed")
-    firsts = [F.first(c).alias(c) for c in ("h1", "size", "digits")]
-    classes = written(signed.where("size > 0 AND id IS NOT NULL").groupBy("name").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("n"), *firsts), "classes")
-    ties = candidate_ties(classes, forest, threshold, recall, counter)
-    tied = components(ties, "a", "b")
-    tied = tied.union(tied.select(F.col("root").alias("node"), "root").distinct())
-    members = classes.drop("digits").join(tied, F.col("h1") == F.col("node")).select("name", "rep", "n", "size", "root")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = written(members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")), "dealt")
-    many = (dealt.agg(F.max("blocks")).first()[0] or 0) > 1
-    pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    text = F.col(quoted(text_col)).cast("string")
-    text = docs.select(F.struct(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("th")).alias("rep"), text.alias("text"))
-    # the text is shuffled once at every size; a broadcast of the classes would grow with the corpus
-    tasks = text.join(dealt.hint("shuffle_hash"), "rep").select("*", pair.alias("other"))
-    tasks = tasks.select("root", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "name", "n", "block", "text")
-    checked = written(tasks.groupBy("root", "bi", "bj").applyInArrow(_verify(k, threshold), "name binary, links long, label binary"), "checked")
-    if many:  # a class may run over several tasks
-        label = components(checked.select("name", "label"), "name", "label").select(F.col("node").alias("name"), F.col("root").alias("label"))
-    else:
-        label = checked.select("name", "label")
-    found = checked.groupBy("name").agg(F.sum("links").alias("links")).join(label, "name", "left")
-    found = found.select("name", "links", F.coalesce("label", "name").alias("label")).join(classes.select("name", "rep.id"), "name")
-    found = written(found, "found")
-    least = written(found.groupBy("label").agg(F.min("id").alias("class_id")), "least")
-    found = found.join(least, "label").select("name", "links", "class_id")
-    of_class = classes.select("name", "rep", "n").join(found, "name", "left")
-    of_class = of_class.select("name", F.coalesce("class_id", "rep.id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    of_class = written(of_class, "of_class")  # so that the join is between two shuffles and a text with very many copies can be split
-    for table in (classes, ties, dealt, checked, least):
-        drop_table(table)
+    with interim(docs.sparkSession) as keep:
+        signed = keep(written(_signatures(docs, id_col, text_col, forest, k), "signed"))
+        firsts = [F.first(c).alias(c) for c in ("h1", "size", "digits")]
+        classes = written(signed.where("size > 0 AND id IS NOT NULL").groupBy("name").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("n"), *firsts), "classes")
+        ties = candidate_ties(classes, forest, threshold, recall, counter)
+        tied = components(ties, "a", "b")
+        tied = tied.union(tied.select(F.col("root").alias("node"), "root").distinct())
+        members = classes.drop("digits").join(tied, F.col("h1") == F.col("node")).select("name", "rep", "n", "size", "root")
+        sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        dealt = written(members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")), "dealt")
+        many = (dealt.agg(F.max("blocks")).first()[0] or 0) > 1
+        pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        text = F.col(quoted(text_col)).cast("string")
+        text = docs.select(F.struct(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("th")).alias("rep"), text.alias("text"))
+        # the text is shuffled once at every size; a broadcast of the classes would grow with the corpus
+        tasks = text.join(dealt.hint("shuffle_hash"), "rep").select("*", pair.alias("other"))
+        tasks = tasks.select("root", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "name", "n", "block", "text")
+        checked = written(tasks.groupBy("root", "bi", "bj").applyInArrow(_verify(k, threshold), "name binary, links long, label binary"), "checked")
+        if many:  # a class may run over several tasks
+            label = components(checked.select("name", "label"), "name", "label").select(F.col("node").alias("name"), F.col("root").alias("label"))
+        else:
+            label = checked.select("name", "label")
+        found = checked.groupBy("name").agg(F.sum("links").alias("links")).join(label, "name", "left")
+        found = found.select("name", "links", F.coalesce("label", "name").alias("label")).join(classes.select("name", "rep.id"), "name")
+        found = written(found, "found")
+        least = written(found.groupBy("label").agg(F.min("id").alias("class_id")), "least")
+        found = found.join(least, "label").select("name", "links", "class_id")
+        of_class = classes.select("name", "rep", "n").join(found, "name", "left")
+        of_class = of_class.select("name", F.coalesce("class_id", "rep.id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+        of_class = keep(written(of_class, "of_class"))  # so that the join is between two shuffles and a text with very many copies can be split
     rows = signed.select("id", "th", "name").join(of_class, "name", "left")
     known = F.col("id").isNotNull()
     return rows.select("id", "th", F.when(known, F.coalesce("class_id", "id")).alias("class_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))

@@ -15,7 +15,8 @@ id; shape, words and weights are a few hundred numbers.  Scores and site statist
 document.
 
 Defined results: a null or empty text has no words and gets the evidence of its shape alone;
-null host or path is a site like any other; label rows with a null id or quality are left out,
+null host or path is a site like any other; of documents with one id the least text is fitted on,
+and labels of one id that differ count as not clean; label rows with a null id or quality are left out,
 a null toxic label is 0; without labels of both classes every document's evidence is even and
 all are kept; repeated rows are scored one by one and all count in their site.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordia.llm.common import PIECE, mix, packed, quoted, texts, unpacked, words, written
+from concordia.llm.common import PIECE, interim, mix, packed, quoted, texts, unpacked, words, written
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -120,12 +121,17 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
     clean = ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")
     few = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(clean).alias("clean"))
     few = few.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    # at most SAMPLE rows of two numbers
-    return docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(few), "_id").select("text", "clean")
+    # at most SAMPLE rows of two numbers; of rows with one id the least text is taken, so that as many documents come out
+    labelled = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(few), "_id")
+    return labelled.groupBy("_id").agg(F.min("text").alias("text"), F.first("clean").alias("clean")).select("text", "clean")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    sample = written(_sample(docs, labels, id_col, text_col), "sample")
+    with interim(docs.sparkSession):
+        return _fitted(written(_sample(docs, labels, id_col, text_col), "sample"))
+
+
+def _fitted(sample: DataFrame) -> Model:
     total = {r["clean"]: r["n"] for r in sample.groupBy("clean").agg(F.count("*").alias("n")).collect()}
     good, bad = total.get(1, 0), total.get(0, 0)
     if not good or not bad:
@@ -226,8 +232,9 @@ def site_shares(evidence: DataFrame) -> tuple[DataFrame, float, float]:
 def _judged(docs: DataFrame, model: Model, host_col: str, path_col: str, text_col: str, only_kept: bool) -> tuple[DataFrame, dict[str, str]]:
     """The text is scored twice, once for the sites' sums and once for the rows: that costs less than carrying it through a shuffle."""
     own = {"_host": host_col, "_path": path_col, "_text": text_col}
-    sites, strength, mean = site_shares(_evidence(packed(docs, **own).drop("_row"), model))
-    sites = written(sites, "sites")
+    with interim(docs.sparkSession) as keep:
+        sites, strength, mean = site_shares(_evidence(packed(docs, **own).drop("_row"), model))
+        sites = keep(written(sites, "sites"))
     if sites.count() <= _BROADCAST_SITES:  # else the texts are shuffled by site and skewed sites are split
         sites = F.broadcast(sites)
     rows = _evidence(packed(docs, **own), model)

@@ -10,7 +10,8 @@ The vocabulary is a public rank file (under 2 MB); it is read on the driver and
 Defined results: a null or empty text has no tokens and no sections; sections are a text's lines,
 each with its line break, unless a column gives them; given sections may overlap or leave gaps
 (each counts the tokens allocated inside it) and are cut to the text; null sections are none;
-bytes that aren't UTF-8 are read as U+FFFD; repeated rows are counted one by one.
+bytes that aren't UTF-8 are read as U+FFFD; repeated rows are counted one by one; other columns are
+not used, and a result named like the id column gets an underscore after its name.
 """
 
 from __future__ import annotations
@@ -106,7 +107,9 @@ def section_tokens(
     if given:
         columns.append(F.transform(F.col(quoted(sections_col)), lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))).alias("sections"))
     schema = f"id {id_type}, section long, start long, end long, n_tokens long, doc_tokens long"
-    return docs.select(*columns).mapInArrow(count, schema).withColumnRenamed("id", id_col)
+    found = docs.select(*columns).mapInArrow(count, schema)
+    named = lambda c: c + "_" if c == id_col else c
+    return found.select(F.col("id").alias(id_col), *[F.col(c).alias(named(c)) for c in found.columns[1:]])
 
 
 def _batch(b: pa.RecordBatch, out: list) -> pa.RecordBatch:

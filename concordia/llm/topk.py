@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from concordia.llm.common import written
+from concordia.llm.common import drop_table, written
 
 #: Queries in a block and bytes of it, candidates in a chunk, dimensions between two bounds, candidates of the first round.
 QUERIES, BLOCK_BYTES, CANDIDATES, DIMENSIONS, SAMPLE = 4096, 1 << 25, 2048, 8, 4096
@@ -225,6 +225,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
             send()
     if held:
         send()
+    drop_table(queries)
 
     def search(batches):
         axes, state = first.value[2], [None] * len(blocks)

@@ -294,6 +294,55 @@ def test_classifier_on_held_out_documents(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.keep}
 
 
+def plain_scores(rows):
+    """(host, path, evidence) to (site share, score): shrunk shares by the method of moments, a document's own evidence left out."""
+
+    def strength(groups, mean):
+        n = sum(map(len, groups))
+        if len(groups) < 2 or n <= len(groups):
+            return 100.0
+        shares = [sum(g) / len(g) for g in groups]
+        between = sum(len(g) * (m - mean) ** 2 for g, m in zip(groups, shares, strict=True))
+        noise = sum((p - m) ** 2 for g, m in zip(groups, shares, strict=True) for p in g) / (n - len(groups))
+        spread = (between - (len(groups) - 1) * noise) / (n - sum(len(g) ** 2 for g in groups) / n)
+        return min(max(mean * (1 - mean) / max(spread, 1e-9) - 1, 1.0), 1e6)
+
+    hosts, paths = {}, {}
+    for h, q, p in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, q), []).append(p)
+    mean = sum(p for *_, p in rows) / len(rows)
+    of_host, of_path = strength(list(hosts.values()), mean), strength(list(paths.values()), mean)
+    out = []
+    for h, q, p in rows:
+        host = (sum(hosts[h]) + of_host * mean) / (len(hosts[h]) + of_host)
+        share = min(max((sum(paths[h, q]) - p + of_path * host) / (len(paths[h, q]) - 1 + of_path), 1e-3), 1 - 1e-3)
+        z = np.log(p / (1 - p)) + np.log(share / (1 - share)) - np.log(mean / (1 - mean))
+        out.append((share, 1 / (1 + np.exp(-z))))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_scores_equal_plain_arithmetic(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality, "_BROADCAST_SITES", broadcast)
+    rng = random.Random(23)
+    rows = [(i, sentence(rng, 30) + (" bad" * 3 if rng.random() < (0.6 if i % 3 else 0.1) else ""), rng.choice(["en", "fr", None]), rng.choice(["a", "b", "c", None]), 0) for i in range(400)]
+    rows += [rows[5]] * 3 + [(None, None, "en", "a", 0)]
+    df = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(i, int("bad" not in t), None) for i, t, *_ in rows[:200]], "doc_id long, quality int, toxic int")
+    got = quality.judged(df, quality.fit(df, labels)).collect()
+    assert len(got) == len(rows)
+    want = plain_scores([(r.source, r.lang, r.evidence) for r in got])
+    assert all(r.site_share == pytest.approx(a, rel=1e-6) and r.score == pytest.approx(b, rel=1e-6) and r.keep == (r.score >= 0.5) for r, (a, b) in zip(got, want, strict=True))
+
+
+def test_a_label_takes_one_document_of_its_id(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 2)
+    df = spark.createDataFrame([(1, f"text {i}", "en", "s", 1) for i in range(500)] + [(i, "x", "en", "s", 1) for i in range(2, 9)], DOC)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 9)] + [(1, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality._sample(df, labels, "doc_id", "text").count() == 2
+
+
 def test_sparse_sites_shrink_to_the_corpus(spark):
     rows = [(0.9, "a", "x")] * 500 + [(0.1, "b", "x")] * 500 + [(0.1, "c", "y")]
     e = spark.createDataFrame([(float(np.log(p / (1 - p))), h, q) for p, h, q in rows], "_logit double, _host string, _path string")
@@ -569,9 +618,81 @@ def test_longest_match_and_its_place(spark):
     assert got == {1: (25, 2, "7"), 2: (0, -1, None), 3: (40, 0, "7")}
 
 
+def test_an_item_longer_than_a_block_keeps_every_window(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 25)
+    item = [f"q{i}" for i in range(100)]
+    df = spark.createDataFrame([(i, " ".join(item[i : i + 10])) for i in range(91)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "a b")], "item_id long, text string")
+    got = decontaminate.contamination(df, bench).collect()
+    assert len(got) == 91 and all(r.n_hit == 10 and r["items"] == "7" for r in got)
+    assert max(len(b.words) - 10 for b in decontaminate.benchmark_blocks(bench, "item_id", "text", 10)) <= 25
+
+
 # ------------------------------------------------------------------ the pipeline
 
 
+def plain_pipeline(rows, clean, bench):
+    """Ids that reach the mix, and the texts they have by then: the stages one after another, each by all pairs."""
+    rows = [r for r in rows if r[0] in clean]
+    every = [(d, n, x) for d, t, *_ in rows if t is not None for n, x in enumerate(t.split("\n"))]
+    kept = {d: [] for d, *_ in rows}
+    for d, n, x in every:
+        near = lambda y: x == y or min(len(x), len(y)) >= lines.SHORTEST and edit_at_most(x, y, 2)  # noqa: B023, E731
+        if not x.strip(" ") or not any((e, m) < (d, n) and near(y) for e, m, y in every):
+            kept[d].append(x)
+    text = {d: t if t is None else "\n".join(kept[d]) for d, t, *_ in rows}
+    was = {d: t for d, t, *_ in rows}
+    text = {d: t for d, t in text.items() if t == was[d] or t.replace("\n", " ").strip(" ")}
+    sets = {}
+    for d, t in text.items():
+        w = words(t)
+        sets[d] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else None
+    group = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    text = {d: t for d, t in text.items() if group[d] == d}
+    return {d: text[d] for d, _, hit, _ in plain_contamination(list(text.items()), bench) if not hit}
+
+
+def test_pipeline_against_a_plain_one(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(24)
+    base = ["\n".join(sentence(rng, rng.randrange(8, 25), 3000) for _ in range(3)) for _ in range(30)]
+    bench = [(1, sentence(rng, 25, 9000)), (2, "tiny item")]
+    texts = base + [base[0], base[1] + " end", base[2].replace("w1", "v1"), base[3] + "\n" + bench[0][1], None, "", "\n", "a tiny item here", base[4].split("\n")[0] + "x\nfresh words of its own"]
+    texts += [" ".join(w + "###" for w in sentence(rng, 40).split()) for _ in range(12)]
+    rows = [(i, t, "en", ["s0", "s1", None][i % 3], len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int("###" not in (t or "")), 0) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, DOC)
+    clean = {r.doc_id for r in quality.keep_clean(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    assert clean >= {i for i, t in enumerate(texts) if t and "###" not in t} and not {i for i, t in enumerate(texts) if t and "###" in t} & clean
+    want, got = plain_pipeline(rows, clean, bench), {}
+    size, source, taken = {}, {r[0]: r[3] for r in rows}, {}
+    for r in P.run(spark, str(tmp_path)).collect():
+        assert r.text == want[r.doc_id] and r.n_chars == len(r.text or "") and r.source == source[r.doc_id]
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+        taken[r.source] = taken.get(r.source, 0) + len((r.text or "").split())
+    for d, t in want.items():
+        size[source[d]] = size.get(source[d], 0) + len((t or "").split())
+    longest = max(len((t or "").split()) for t in want.values())
+    assert all(abs(taken[s] - t) <= longest for s, t in plain_targets(size).items()) and max(got.values()) <= 2
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_do_what_their_operators_do(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -191,6 +191,20 @@ def test_chat_query_counts_its_own_conversation(spark, tmp_path):
     assert got[-7].loss_chars == len(x) and got[-7].loss_sha256 == hashlib.sha256(x.encode()).hexdigest() and got[1].loss_chars == 0
 
 
+def test_very_long_urls_conversations_and_repeated_rows(spark):
+    long = "https://a.example.com/en/" + "x/" * 50_000 + "casino/"
+    df = spark.createDataFrame([(1, long), (1, long), (2, "https://a.org/" + "y" * 100_000)], "page_id long, url string")
+    assert sorted((r.page_id, r.rule, r.verdict) for r in urls.judged(df, SITES).collect()) == [(1, "example.com/en/", "block"), (1, "example.com/en/", "block"), (2, None, "allow")]
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("<s>hi").alias("text"))
+    back = chat.read_back(chat.formatted(turns)).select(F.size("turns").alias("n"), F.length("loss_text").alias("m")).first()
+    assert (back.n, back.m) == (20_000, 50_000)
+    twice = docs(spark, ["mail a@b.cc", "mail a@b.cc"]).unionByName(docs(spark, ["mail a@b.cc"]))
+    assert [len(r.base) for r in pii.find(twice).collect()] == [1, 1, 1]
+    odd = docs(spark, ["one\ntwo", "one\ntwo"]).withColumnRenamed("doc_id", "section").withColumn("start", F.lit(1))
+    got = tokens.section_tokens(odd.unionByName(odd), id_col="section")
+    assert got.columns == ["section", "section_", "start", "end", "n_tokens", "doc_tokens"] and got.count() == 8
+
+
 def test_schema_of_an_empty_table(spark):
     empty = spark.createDataFrame([], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
     assert tokens.section_tokens(empty).collect() == []
