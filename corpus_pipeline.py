@@ -7,21 +7,22 @@ tables of the stage before it, whose result is written by then.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.common import made, release, written
+from concordia.llm.common import drop_table, owned, release, written
 from concordia.llm.decontaminate import decontaminate
 from concordia.llm.lines import dedup_lines
 from concordia.llm.mixing import take
 from concordia.llm.neardup import keep_one
 from concordia.llm.quality import keep_clean
 
-
-_scratch: list[str] = []
+#: Of each thread: the scratch tables of the stage it called last.
+_last = threading.local()
 
 
 def stage(f: Callable) -> Callable:
@@ -29,12 +30,10 @@ def stage(f: Callable) -> Callable:
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        before = set(made())
         if f.__name__ != "quality":  # the first stage leaves a former run's last result alone
-            release(spark, [x for x in _scratch if x in before])
-        out = f(spark, docs, sf_dir)
-        _scratch[:] = [x for x in made() if x not in before]
-        return out
+            release(spark, getattr(_last, "tables", []))
+        with owned([]) as _last.tables:
+            return f(spark, docs, sf_dir)
 
     return run_stage
 
@@ -49,7 +48,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand, but for two characters at most, earlier; those left blank by that go."""
     rows = dedup_lines(docs, counts=True, edits=2).where((F.col("n_dropped") == 0) | (F.trim(F.translate("text", "\n", " ")) != ""))
-    rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    rows = rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 
@@ -84,9 +83,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents; a stage's table is deleted once the next one's is written, so that the last input alone stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, f"stage{i}")
+            if i:
+                drop_table(before)
     return docs
