@@ -1,6 +1,7 @@
-"""Command line: status, init, plan, schema, load, sync, verify, cutover, check, reset (WFL9, WFL10).
+"""Command line: status, init, plan, schema, load, sync, verify, cutover, check, reset, vacuum (WFL9, WFL10).
 
-Sources are folders of Parquet tables, with the catalog as JSON beside them.
+Sources are folders of Parquet tables with the catalog as JSON beside them, or databases read by
+JDBC with the catalog in a file; changes are envelopes in a folder.
 """
 
 from __future__ import annotations
@@ -8,18 +9,21 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from decimal import Decimal
 from pathlib import Path
 
+from concordia.operators import sequences
 from concordia.plans import cutover as co
 from concordia.plans import ddl, planner
 from concordia.plans import rules as R
 from concordia.plans.load import Loader, create_tables, explained, safe
 from concordia.plans.model import Catalog, Column, ForeignKey, Index, Sequence, Table
 from concordia.sources import config as cfg
+from concordia.sources import tables as sources
 from concordia.sources.store import Refused, Store
 from concordia.streaming import sync
 
-COMMANDS = ("status", "init", "plan", "schema", "load", "sync", "verify", "cutover", "check", "reset")
+COMMANDS = ("status", "init", "plan", "schema", "load", "sync", "verify", "cutover", "check", "reset", "vacuum")
 
 
 def catalog_of(raw: dict) -> Catalog:
@@ -39,6 +43,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", default="plan")
     p.add_argument("--tables", nargs="*")
     p.add_argument("--replace", action="store_true")
+    p.add_argument("--reset", action="store_true", help="with load: empty the tables first")
     p.add_argument("--max-wait", type=float, default=600)
     try:
         a = p.parse_args(argv)
@@ -47,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         c = cfg.load(a.config)
         rules = R.load(c["rules"])
-        catalog = catalog_of(json.loads(Path(f"{c['source']}/catalog.json").read_text(encoding="utf-8")))
+        catalog = catalog_of(json.loads(Path(c["catalog"] or f"{c['source']}/catalog.json").read_text(encoding="utf-8")))
     except (cfg.ConfigError, R.RuleError, OSError, KeyError, TypeError, json.JSONDecodeError) as e:
         print(safe(e), file=sys.stderr)
         return co.BAD_CONFIG
@@ -76,33 +81,51 @@ def main(argv: list[str] | None = None) -> int:
         return co.FAILED
 
 
+def sequence_state(store: Store, plan, target):
+    """AGG10, MSC6: a row per identity column and sequence: ``(sequence, last, seed, increment, target_end)``."""
+    rows = []
+    for p in plan.tables:
+        for c in p.columns:
+            if c.source.identity is not None:
+                seed, step, last = c.source.identity
+                rows.append((f"{p.schema}.{p.name}.{c.name}", last, seed, step, sequences.target_ends(target(p), c.name, step).first()[0]))
+    rows += [(f"{schema}.{name}", s.current, s.start, s.increment, None) for s, schema, name in plan.sequences]
+    rows = [tuple(None if v is None else v if isinstance(v, str) else Decimal(v) for v in r) for r in rows]
+    return store.spark.createDataFrame(rows, "sequence string, last decimal(38,0), seed decimal(38,0), increment decimal(38,0), target_end decimal(38,0)")
+
+
 def _run(a, c: dict, rules: dict, plan, store: Store) -> int:
     spark, plans = store.spark, plan.tables
     if a.tables:
         plans = [t for t in plans if t.name in a.tables or t.source.full in a.tables]
-    source = lambda t: spark.read.parquet(f"{c['source']}/{t.source.full}")
-    applier = sync.Applier(store, plan.tables, batch_size=c["batch_size"])
+    source = sources.reader(spark, c["source"], c["jdbc"])
+    applier = sync.Applier(store, plan.tables, c["rows_per_bucket"], c["batch_size"])
     target = lambda t: applier.read(t.name)
     capture = sync.Capture(store, plan.tables)
-    drain = lambda: sync.drain(lambda: capture.run(f"{c['source']}/changes", f"{store.root}/checkpoint").awaitTermination(), applier, a.max_wait)
+    changes = c["changes"] or f"{c['source']}/changes"
+    log = sync.source_status(spark, c["log"]) if c["log"] else None
+    drain = lambda: sync.drain(lambda: capture.run(changes, f"{store.root}/checkpoint").awaitTermination(), applier, a.max_wait, source=log)
     if a.command == "init":
         mark = cfg.fingerprint(c, rules)
         store.commit(lambda s: s.update(job=s.get("job", "PLANNED"), fingerprint=mark))
     elif a.command == "schema":
         create_tables(store, plans, a.replace)
     elif a.command == "status":
-        print(json.dumps({"job": store.manifest().get("job", "PLANNED"), **applier.status(), "tables": [r.asDict() for r in co.job_view(store).collect()]}, indent=1))
+        print(json.dumps({"job": store.manifest().get("job", "PLANNED"), **applier.status(), "tables": [r.asDict() for r in co.job_view(store).collect()], "state": [list(r) for r in co.full_view(store).collect()]}, indent=1))
     elif a.command == "load":
-        return co.FAILED if any(v != "LOADED" for v in Loader(store, plans, source, c["rows_per_chunk"], c["table_parallelism"], c["chunks_per_table"]).run().values()) else co.OK
+        if a.reset:
+            sync.reset(store, [p.name for p in plans])
+        loader = Loader(store, plans, source, c["rows_per_chunk"], c["table_parallelism"], c["chunks_per_table"], c["pause_seconds"])
+        return co.FAILED if any(v != "LOADED" for v in loader.run().values()) else co.OK
     elif a.command == "sync":
-        with store.lock("sync"):
+        with store.lock("sync"), sync.ticking(applier, c["status_seconds"]):
             return co.OK if drain() else co.TIMED_OUT
     elif a.command == "verify":
         run = co.verify_run(store, plans, source, target)
         print(json.dumps(run))
         return co.FAILED if run["mismatches"] else co.OK
     elif a.command == "cutover":
-        code, steps = co.Cutover(store, plan.tables, source, target, drain).run()
+        code, steps = co.Cutover(store, plan.tables, source, target, drain, lambda: sequence_state(store, plan, target)).run()
         print(json.dumps(steps, indent=1))
         return code
     elif a.command == "check":
@@ -111,6 +134,8 @@ def _run(a, c: dict, rules: dict, plan, store: Store) -> int:
         return co.FAILED if any(r["level"] == "ERROR" for r in rows) else co.OK
     elif a.command == "reset":
         sync.reset(store, a.tables)
+    elif a.command == "vacuum":
+        print(store.vacuum())
     return co.OK
 
 

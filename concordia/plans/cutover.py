@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordia.operators import constraints, sequences, verify
-from concordia.plans.load import Loader, safe
+from concordia.plans.load import Loader, chunk_states, safe
 from concordia.plans.model import TablePlan
 from concordia.sources.store import Store, log_event, require
 
@@ -101,6 +101,7 @@ class Cutover:
         def clear(s: dict) -> None:
             for p in bare:
                 s["chunks"].pop(p.name.lower(), None)
+                s["tables"][p.name.lower()] = {"status": "PLANNED", "files": None}
 
         self.store.commit(clear)
         loader = Loader(self.store, bare, self.source)
@@ -109,15 +110,7 @@ class Cutover:
 
     def post_load(self) -> tuple[str | None, int]:
         """WFL4: the unique keys and checks that the target would now create hold."""
-        bad = []
-        for p in self.plans:
-            df, new = self.target(p), {c.source.name: c.name for c in p.columns}
-            folded = {c.source.name for c in p.columns if c.source.case_insensitive}
-            for i in p.source.indexes:
-                keys = [k for k, _ in i.keys if k in new]
-                if i.kind != "INDEX" and keys and constraints.duplicates(df, [new[k] for k in keys], [new[k] for k in keys if k in folded]).limit(1).count():
-                    bad.append(f"{p.name}.{i.name}")
-            bad += [f"{p.name}.{c.name}" for c in p.columns if c.check and df.where(~F.expr(c.check.replace('"', "`"))).limit(1).count()]
+        bad = [name for name, rows in unique_and_checks(self.plans, self.target) if rows.limit(1).count()]
         return (f"violated: {', '.join(bad)}", FAILED) if bad else (None, OK)
 
     def verify(self) -> tuple[str | None, int]:
@@ -128,24 +121,62 @@ class Cutover:
         if self.sequence_state is not None:
             t = self.sequence_state()
             chosen = t.select("sequence", sequences.next_value(F.col("last"), F.col("seed"), F.col("increment"), F.col("target_end")).alias("next_value")).collect()  # a row per sequence
-            self.store.commit(lambda s: s.update(sequences={r["sequence"]: {"value": r["next_value"], "is_called": False} for r in chosen}))
+            self.store.commit(lambda s: s.update(sequences={r["sequence"]: {"value": int(r["next_value"]), "is_called": False} for r in chosen}))
         return None, OK
 
     def foreign_keys(self) -> tuple[str | None, int]:
-        by_source, bad = {p.source.full.lower(): p for p in self.plans}, []
-        for p in self.plans:
-            new = {c.source.name: c.name for c in p.columns}
-            for f in p.source.foreign_keys:
-                parent = by_source.get(f.ref_table.lower())
-                if parent is None or f.disabled:
-                    continue
-                ref = {c.source.name: c.name for c in parent.columns}
-                on = [(new[a], ref[b]) for a, b in zip(f.columns, f.ref_columns, strict=True)]
-                if constraints.orphans(self.target(p), self.target(parent), on).limit(1).count():
-                    bad.append(f"{p.name}.{f.name}")
+        bad = [name for name, rows in references(self.plans, self.target) if rows.limit(1).count()]
         return (f"violated: {', '.join(bad)}", FAILED) if bad else (None, OK)
 
 
+def unique_and_checks(plans: list[TablePlan], target: Callable[[TablePlan], DataFrame]) -> list[tuple[str, DataFrame]]:
+    """Each unique key and check by name, with the rows or keys that violate it."""
+    out = []
+    for p in plans:
+        df, new = target(p), {c.source.name: c.name for c in p.columns}
+        folded = {c.source.name for c in p.columns if c.source.case_insensitive}
+        for i in p.source.indexes:
+            keys = [k for k, _ in i.keys if k in new]
+            if i.kind != "INDEX" and keys:
+                out.append((f"{p.name}.{i.name}", constraints.duplicates(df, [new[k] for k in keys], [new[k] for k in keys if k in folded])))
+        out += [(f"{p.name}.{c.name}", df.where(~F.expr(c.check.replace('"', "`")))) for c in p.columns if c.check]
+    return out
+
+
+def references(plans: list[TablePlan], target: Callable[[TablePlan], DataFrame]) -> list[tuple[str, DataFrame]]:
+    """Each foreign key by name, with the rows that have no parent."""
+    by_source, out = {p.source.full.lower(): p for p in plans}, []
+    for p in plans:
+        new = {c.source.name: c.name for c in p.columns}
+        for f in p.source.foreign_keys:
+            parent = by_source.get(f.ref_table.lower())
+            if parent is None or f.disabled:
+                continue
+            ref = {c.source.name: c.name for c in parent.columns}
+            out.append((f"{p.name}.{f.name}", constraints.orphans(target(p), target(parent), [(new[a], ref[b]) for a, b in zip(f.columns, f.ref_columns, strict=True)])))
+    return out
+
+
+def probe_faults(p: TablePlan, df: DataFrame) -> list[str]:
+    """MUT9: columns whose NOT NULL, check or generated value the row of a test insert would break; nothing is written."""
+    key = p.key[0]
+    if df.schema[key].dataType.typeName() not in ("long", "integer", "short"):
+        return []
+    row = constraints.probe(df, {}, key)
+    wrong = {}
+    for c in p.columns:
+        bad = F.lit(False)
+        if not c.source.nullable:
+            bad = bad | F.col(c.name).isNull()
+        if c.check:
+            bad = bad | ~F.coalesce(F.expr(c.check.replace('"', "`")), F.lit(True))
+        if c.generated:
+            bad = bad | ~F.expr(f"`{c.name}` <=> CAST(({c.generated}) AS {_ddl(c)})")
+        wrong[c.name] = bad
+    got = row.select(*[F.coalesce(b, F.lit(False)).alias(n) for n, b in wrong.items()]).first()
+    return [] if got is None else [n for n in wrong if got[n]]
+
+
 def after_check(store: Store, plans: list[TablePlan], target: Callable[[TablePlan], DataFrame]) -> DataFrame:
     """WFL7: what to look at after the switch: ``(group, level, what, detail)``."""
     state, rows = store.manifest(), []
@@ -160,7 +191,13 @@ def after_check(store: Store, plans: list[TablePlan], target: Callable[[TablePla
         if generated:
             wrong = target(p).where(" OR ".join(f"NOT (`{c.name}` <=> CAST(({c.generated}) AS {_ddl(c)}))" for c in p.columns if c.generated)).count()
             rows.append(("generated", "OK" if not wrong else "ERROR", f"{p.name}: {', '.join(generated)}", f"{wrong} rows"))
+        if p.key:
+            faults = probe_faults(p, target(p))
+            rows.append(("probe", "OK" if not faults else "ERROR", p.name, ", ".join(faults)))
         rows += [("manual", "WARN", f"{p.source.full}", f"trigger {t}") for t in p.source.triggers]
+    for name, bad in [*unique_and_checks(plans, target), *references(plans, target)]:
+        n = bad.count()
+        rows.append(("constraint", "OK" if not n else "ERROR", name, f"{n} violations"))
     return store.spark.createDataFrame(rows, "group string, level string, what string, detail string")
 
 
@@ -171,10 +208,30 @@ def _ddl(c) -> str:
 
 
 def job_view(store: Store) -> DataFrame:
-    """WFL8: a row per table: status, chunks, rows, position."""
-    state, rows = store.manifest(), []
+    """WFL8: a row per table: status, ranges, rows, position."""
+    state, rows, counts = store.manifest(), [], None
     for t, s in sorted(state["tables"].items()):
-        chunks = state["chunks"].get(t, [])
-        done = [c for c in chunks if c["status"] == "DONE"]
-        rows.append((t, s["status"], len(chunks), len(done), sum(c["rows"] or 0 for c in done), (state["positions"].get(t) or [None])[0]))
-    return store.spark.createDataFrame(rows, "table_name string, status string, chunks int, done int, rows long, applied_lsn string")
+        rows.append((t, s["status"], (state["positions"].get(t) or [None])[0]))
+        if t in state["chunks"]:
+            done = F.col("status") == "DONE"
+            one = chunk_states(store, t, state).agg(F.count("*").cast("int").alias("chunks"), F.count_if(done).cast("int").alias("done"), F.count_if(F.col("status") == "FAILED").cast("int").alias("failed"), F.coalesce(F.sum(F.when(done, F.col("rows"))), F.lit(0)).alias("rows"))
+            one = one.select(F.lit(t).alias("table_name"), "*")
+            counts = one if counts is None else counts.unionByName(one)
+    tables = store.spark.createDataFrame(rows, "table_name string, status string, applied_lsn string")
+    if counts is None:
+        counts = store.spark.createDataFrame([], "table_name string, chunks int, done int, failed int, rows long")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "done", "failed", "rows")]
+    return tables.join(counts, "table_name", "left").select("table_name", "status", *zero, "applied_lsn")
+
+
+def full_view(store: Store) -> DataFrame:
+    """WFL8: all of a job's state in rows of (section, name, value): job, synchronisation, verification, switch, leases, last events."""
+    state = store.manifest()
+    rows = [("job", k, str(state.get(k))) for k in ("job", "version", "fingerprint")]
+    rows += [("sync", k, str(state.get(k))) for k in ("start_lsn", "stream_lsn", "src_max_at", "captured", "applied")]
+    rows += [("sync", f"watermark {k}", str(v)) for k, v in sorted((state.get("watermark") or {}).items())]
+    rows += [("verify", f"run {r['run_id']}", f"{r['status']}: {r['mismatches']} of {r['checks']}") for r in state["runs"][-3:]]
+    rows += [("cutover", x["step"], x["status"] + (f": {x['detail']}" if x["detail"] else "")) for x in state.get("cutover", [])]
+    rows += [("lease", n, v["owner"]) for n, v in sorted(state["leases"].items()) if n in store.held(state)]
+    rows += [("event", str(e[0]), f"{e[1]} {e[2]}") for e in state["events"][-15:]]
+    return store.spark.createDataFrame(rows, "section string, name string, value string")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
+import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from concordia.functions.values import TEXT_TYPES, has_nul, sentinel_value, text_rules
@@ -47,7 +50,7 @@ def create_tables(store: Store, plans: list[TablePlan], replace: bool = False) -
         if full and not replace:
             raise Refused(f"tables exist: {', '.join(full)}")
         for n in names:
-            s["tables"][n] = {"status": "PLANNED", "files": {}}
+            s["tables"][n] = {"status": "PLANNED", "files": None}
             s["chunks"].pop(n, None)
             s["positions"].pop(n, None)
         s["registered"] = {p.source.full: f"{p.schema}.{p.name}" for p in plans}
@@ -75,14 +78,34 @@ def with_generated(df: DataFrame, plan: TablePlan) -> DataFrame:
     return df.withColumns(own).select(*[c.name for c in plan.columns]) if own else df.select(*[c.name for c in plan.columns])
 
 
+CHUNK = "chunk_no long, status string, rows long, attempt int, error string"
+_PLAN = "chunk_no long, lower array<string>, upper array<string>"
+
+
+def chunk_states(store: Store, table: str, state: dict | None = None) -> DataFrame:
+    """SRT5: a row per planned range: ``(chunk_no, lower, upper, status, rows, attempts, error)``, from a file for each attempt."""
+    of = (state or store.manifest())["chunks"].get(table)
+    if of is None:
+        return store.spark.createDataFrame([], f"{_PLAN}, status string, rows long, attempts int, error string")
+    folder = f"{store.root}/chunks/{table}/{of['load']}"
+    plan = store.spark.read.schema(_PLAN).json(f"{folder}/plan.json")
+    tries = store.spark.read.schema(CHUNK).json(f"{folder}/tries")
+    last = tries.groupBy("chunk_no").agg(F.max_by(F.struct("status", "rows", "error"), "attempt").alias("x"), F.max("attempt").alias("attempts"))
+    rows = plan.join(last, "chunk_no", "left")
+    return rows.select(*plan.columns, F.coalesce("x.status", F.lit("PENDING")).alias("status"), "x.rows", F.coalesce("attempts", F.lit(0)).alias("attempts"), "x.error")
+
+
 class Loader:
-    def __init__(self, store: Store, plans: list[TablePlan], source: Callable[[TablePlan], DataFrame], rows_per_chunk: int = 1_000_000, tables_at_once: int = 4, chunks_at_once: int = 2) -> None:
+    def __init__(
+        self, store: Store, plans: list[TablePlan], source: Callable[[TablePlan], DataFrame], rows_per_chunk: int = 1_000_000, tables_at_once: int = 4, chunks_at_once: int = 2, pause: float = 0.0, lease: float = 60.0
+    ) -> None:
         self.store, self.plans, self.source = store, plans, source
         self.rows_per_chunk, self.tables_at_once, self.chunks_at_once = rows_per_chunk, tables_at_once, chunks_at_once
+        self.pause, self.lease = pause, lease  # seconds between two ranges of one worker, to spare the source
 
     def run(self) -> dict[str, str]:
-        """Table to status.  DONE chunks are not copied again; a failed chunk leaves the others."""
-        with self.store.lock("load"):
+        """Table to status.  Ranges that are DONE are not copied again, also after a kill; a failed one leaves the others."""
+        with self.store.lock("load", self.lease):
             require(self.store.manifest(), "load")
             self._check_registered()
             self.store.commit(lambda s: s.update(job="LOADING"))
@@ -115,57 +138,54 @@ class Loader:
         return [list(r) for r in C.ranges(starts)]
 
     def _table(self, plan: TablePlan) -> str:
-        name = plan.name.lower()
-        df = self.source(plan)
-        state = self.store.manifest()
+        name, df, store = plan.name.lower(), self.source(plan), self.store
+        state = store.manifest()
+        if state["tables"].get(name, {}).get("status") == "LOADED":
+            return "LOADED"
         if name not in state["chunks"]:  # planned once, so that a later run resumes the same ranges
-            bounds = self._bounds(plan, df)
-            new = [{"lower": lo, "upper": hi, "status": "PENDING", "rows": None, "path": None, "attempts": 0, "error": None} for lo, hi in bounds]
+            load, bounds = uuid.uuid4().hex, self._bounds(plan, df)
+            store._publish_in(f"chunks/{name}/{load}/plan.json", "\n".join(json.dumps({"chunk_no": i, "lower": lo, "upper": hi}) for i, (lo, hi) in enumerate(bounds)))
+            store._fs.mkdirs(store._path(f"chunks/{name}/{load}/tries"))
 
             def plan_chunks(s: dict) -> None:
-                s["chunks"][name] = new
-                s["tables"][name] = {"status": "LOADING", "files": {}}
+                s["chunks"][name] = {"load": load, "n": len(bounds)}
+                s["tables"][name] = {"status": "LOADING", "files": None}
 
-            state = self.store.commit(plan_chunks)
-        todo = [i for i, c in enumerate(state["chunks"][name]) if c["status"] != "DONE"]
+            state = store.commit(plan_chunks)
+        load = state["chunks"][name]["load"]
+        todo = chunk_states(store, name, state).where("status <> 'DONE'").orderBy("chunk_no").collect()  # a short row for each range
         with ThreadPoolExecutor(self.chunks_at_once) as pool:
-            list(pool.map(lambda i: self._chunk(plan, df, name, i, state["chunks"][name][i]), todo))
-
-        def finish(s: dict) -> None:
-            done = all(c["status"] == "DONE" for c in s["chunks"][name])
-            s["tables"][name] = {"status": "LOADED" if done else "FAILED", "files": {"-1": [c["path"] for c in s["chunks"][name]]} if done else {}}
-
-        if state["tables"][name]["status"] == "LOADED":
-            return "LOADED"
-        return self.store.commit(finish)["tables"][name]["status"]
-
-    def _chunk(self, plan: TablePlan, df: DataFrame, name: str, i: int, chunk: dict) -> None:
-        path = rows = error = None
+            list(pool.map(lambda c: self._chunk(plan, df, name, load, c), todo))
+        done, n, rows = chunk_states(store, name, state).agg(F.count_if(F.col("status") == "DONE"), F.count("*"), F.sum("rows")).first()
+        files = store.put_files(name, {"-1": [f"data/{name}/{load}/*"]}) if done == n else None
+        status = "LOADED" if done == n else "FAILED"
+        store.commit(lambda s: s["tables"].update({name: {"status": status, "files": files, "rows": rows or 0}}))
+        return status
+
+    def _chunk(self, plan: TablePlan, df: DataFrame, name: str, load: str, chunk) -> None:
+        """One range in one pass: counted and looked over for refused characters while it is written, seen only once it is moved to its place."""
+        i, rows, error, aside = chunk["chunk_no"], None, None, f"data/{name}/tmp-{uuid.uuid4().hex}"
         try:
             kinds = {c.source.name: c.source.type for c in plan.columns}
             key = [c.source.name for k in plan.key for c in plan.columns if c.name == k]
             bound = lambda b: None if b is None else [C.bound_value(v, kinds[k]) for v, k in zip(b, key, strict=True)]
             part = df.where(C.in_range(key, bound(chunk["lower"]), bound(chunk["upper"]))) if key else df
-            self._guard(part, plan)
-            path = self.store.save(with_generated(converted(part, plan), plan), name)
-            rows = self.store.spark.read.parquet(f"{self.store.root}/{path}").count()
-        except Exception as e:  # a chunk's failure is its own; the run reports it
-            error = safe(e)
-
-        def mark(s: dict) -> None:
-            c = s["chunks"][name][i]
-            c.update(status="FAILED" if error else "DONE", rows=rows, path=path, attempts=c["attempts"] + 1, error=error)
-            if error:
-                log_event(s, "ERROR", f"{name} chunk {i}: {error}")
-
-        self.store.commit(mark)
-
-    @staticmethod
-    def _guard(part: DataFrame, plan: TablePlan) -> None:
-        """VAL1: nothing of a range is written if a refused NUL is in it; the count is told, not the value."""
-        strict = [c for c in plan.load_columns if c.source.type in TEXT_TYPES and c.rule.nul_char == "fail"]
-        if strict:
-            found = part.agg(*[F.count_if(has_nul(F.col(c.source.name))).alias(c.name) for c in strict]).first().asDict()
-            bad = {k: v for k, v in found.items() if v}
-            if bad:
+            seen = Observation()
+            strict = [c for c in plan.load_columns if c.source.type in TEXT_TYPES and c.rule.nul_char == "fail"]
+            part = part.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(has_nul(F.col(c.source.name))).alias(f"nul_{c.name}") for c in strict])
+            with_generated(converted(part, plan), plan).write.parquet(f"{self.store.root}/{aside}")
+            got = seen.get
+            rows = got["rows"]
+            bad = {c.name: got[f"nul_{c.name}"] for c in strict if got[f"nul_{c.name}"]}
+            if bad:  # VAL1: nothing of the range is kept; the count is told, not the value
                 raise ValueError("NUL characters in " + ", ".join(f"{k} ({v} rows)" for k, v in bad.items()))
+            self.store.move(aside, f"data/{name}/{load}/{i}")
+        except Exception as e:  # a range's failure is its own; the run reports it
+            error = safe(e)
+            self.store.drop(aside)
+            self.store.commit(lambda s: log_event(s, "ERROR", f"{name} chunk {i}: {error}"))
+        attempt = chunk["attempts"] + 1
+        record = {"chunk_no": i, "status": "FAILED" if error else "DONE", "rows": None if error else rows, "attempt": attempt, "error": error}
+        self.store._publish_in(f"chunks/{name}/{load}/tries/{i}-{attempt}-{uuid.uuid4().hex[:8]}.json", json.dumps(record))
+        if self.pause:
+            time.sleep(self.pause)

@@ -10,7 +10,7 @@ from pathlib import Path
 
 from concordia.plans.rules import read
 
-DEFAULTS = {"rows_per_chunk": 1_000_000, "table_parallelism": 4, "chunks_per_table": 2, "batch_size": 1000, "status_seconds": 10, "include": [], "exclude": [], "rules": None}
+DEFAULTS = {"rows_per_chunk": 1_000_000, "table_parallelism": 4, "chunks_per_table": 2, "batch_size": 100_000, "rows_per_bucket": 50_000, "status_seconds": 10, "pause_seconds": 0, "include": [], "exclude": [], "rules": None, "catalog": None, "changes": None, "log": None, "jdbc": None}
 REQUIRED = ("source", "state", "job")
 _VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::([^}]*))?\}")
 
@@ -59,7 +59,7 @@ def load(path: str | Path) -> dict:
     if missing:
         raise ConfigError(f"missing settings: {', '.join(missing)}")
     out = DEFAULTS | raw
-    for k in ("rows_per_chunk", "table_parallelism", "chunks_per_table", "batch_size"):
+    for k in ("rows_per_chunk", "table_parallelism", "chunks_per_table", "batch_size", "rows_per_bucket"):
         if not isinstance(out[k], int) or out[k] < 1:
             raise ConfigError(f"{k} must be a whole number of at least 1")
     return out

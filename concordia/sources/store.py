@@ -1,21 +1,28 @@
 """Versioned tables under one root with an atomic manifest (SNK1-SNK4, SNK6, SNK7, MUT7, STR10).
 
 Data files are written under fresh names and nothing sees them until a manifest names them.
-Manifests are numbered; one is written aside and renamed to the next number, and a rename onto a
-number that exists fails, so of two writers one loses and must read again.  All file
-work goes through Hadoop's file systems, so the root may be on any of them.
+Manifests are numbered; a number can be published once, so of two writers one loses and must read
+again.  On a local disk the finished file is linked to its number; elsewhere it is created
+exclusively, and a newest manifest that stays unreadable for ``DEAD_AFTER`` seconds is one whose
+writer died, and is passed over.  The manifest holds what is of a table's size in files beside it
+(states of chunks, paths of buckets), and only the newest ``KEEP`` manifests stay.  All file work
+goes through Hadoop's file systems, so the root may be on any of them.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import threading
+import time
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-VERSION = 3
+VERSION = 4
+KEEP, DEAD_AFTER, LEASE = 20, 10.0, 60.0
 
 
 class Refused(RuntimeError):
@@ -27,12 +34,21 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         self._path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}")
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._local = self._fs.getUri().getScheme() == "file"
         self._fs.mkdirs(self._path("manifest"))
         state = self.manifest()
         if state["version"] > VERSION:
             raise Refused(f"the state is of version {state['version']}, newer than {VERSION}")
         if state["version"] < VERSION:  # SNK4: missing steps in order, one commit
-            self.commit(lambda s: s.update(version=VERSION, **{k: s.get(k, v) for k, v in (("tables", {}), ("chunks", {}), ("log", []), ("positions", {}), ("runs", []), ("events", []))}))
+            self.commit(self._upgrade)
+
+    @staticmethod
+    def _upgrade(s: dict) -> None:
+        for k, v in (("tables", {}), ("chunks", {}), ("log", []), ("positions", {}), ("runs", []), ("events", []), ("leases", {})):
+            s.setdefault(k, v)
+        if 0 < s["version"] < 4 and s["tables"]:
+            raise Refused("tables loaded under a state of version 3 have to be copied again")
+        s["version"] = VERSION
 
     # ------------------------------------------------------------ manifest
 
@@ -40,19 +56,41 @@ class Store:
         names = [f.getPath().getName() for f in self._fs.listStatus(self._path("manifest"))]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
+    def _newest(self) -> tuple[int, dict]:
+        """The greatest number, and the state in the newest manifest that is whole."""
+        while True:
+            numbers = self._numbers()
+            for n in reversed(numbers):
+                try:
+                    return (numbers[-1], json.loads(self._read(f"manifest/{n}.json")))
+                except json.JSONDecodeError:
+                    if time.time() - self._age_of(f"manifest/{n}.json") < DEAD_AFTER:
+                        break  # its writer may still be at it
+                except Exception as e:
+                    if "FileNotFound" not in str(e):
+                        raise
+                    break  # pruned meanwhile
+            else:
+                return (numbers[-1] if numbers else 0, {"version": 0})
+            time.sleep(0.2)
+
+    def _age_of(self, name: str) -> float:
+        try:
+            return self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+        except Exception:
+            return time.time()
+
     def manifest(self) -> dict:
-        numbers = self._numbers()
-        return json.loads(self._read(f"manifest/{numbers[-1]}.json")) if numbers else {"version": 0}
+        return self._newest()[1]
 
-    def commit(self, change: Callable[[dict], object], tries: int = 20) -> dict:
+    def commit(self, change: Callable[[dict], object], tries: int = 100) -> dict:
         """Apply ``change`` to the latest state and publish it; if another writer came first, start over from theirs."""
         for _ in range(tries):
-            numbers = self._numbers()
-            state = json.loads(self._read(f"manifest/{numbers[-1]}.json")) if numbers else {"version": 0}
+            last, state = self._newest()
             change(state)
-            aside = f"manifest/{uuid.uuid4().hex}.tmp"
-            self._write(aside, json.dumps(state, sort_keys=True))
-            if self._rename_new(aside, f"manifest/{(numbers[-1] if numbers else 0) + 1}.json"):
+            if self._publish(f"manifest/{last + 1}.json", json.dumps(state, sort_keys=True)):
+                for n in self._numbers()[:-KEEP]:
+                    self._fs.delete(self._path(f"manifest/{n}.json"), False)
                 return state
         raise Refused("too many writers")
 
@@ -68,17 +106,27 @@ class Store:
         out.write(bytearray(text.encode()))
         out.close()
 
-    def _rename_new(self, old: str, new: str) -> bool:
-        """Rename unless the new name exists; the check and the rename are guarded by an exclusive file."""
-        guard = new + ".guard"
+    def _publish(self, name: str, text: str) -> bool:
+        """Create the file with its whole content unless it exists."""
+        if self._local:
+            path = self._fs.pathToFile(self._path(name)).getPath()
+            aside = f"{os.path.dirname(path)}/{uuid.uuid4().hex}.tmp"
+            with open(aside, "w", encoding="utf-8") as f:
+                f.write(text)
+            try:
+                os.link(aside, path)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(aside)
         try:
-            self._fs.create(self._path(guard), False).close()
+            self._write(name, text)
+            return True
         except Exception as e:
-            if "exists" not in str(e).lower():
+            if "exist" not in str(e).lower():
                 raise
-            self._fs.delete(self._path(old), False)
             return False
-        return not self._fs.exists(self._path(new)) and self._fs.rename(self._path(old), self._path(new))
 
     # ------------------------------------------------------------ tables
 
@@ -100,27 +148,107 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in paths])
 
-    # ------------------------------------------------------------ locks
+    def move(self, path: str, to: str) -> None:
+        """Put a written folder in its place; what a dead writer left there goes."""
+        self._fs.delete(self._path(to), True)
+        self._fs.mkdirs(self._path(to).getParent())
+        if not self._fs.rename(self._path(path), self._path(to)):
+            raise OSError("a folder could not be moved")
+
+    def drop(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def put_files(self, table: str, files: dict[str, list[str]]) -> str:
+        """A table's paths by bucket, beside the manifest, which only names them."""
+        name = f"files/{table}/{uuid.uuid4().hex}.json"
+        self._publish_in(name, json.dumps(files))
+        return name
+
+    def files(self, state: dict, table: str) -> dict[str, list[str]]:
+        name = state["tables"].get(table, {}).get("files")
+        return json.loads(self._read(name)) if name else {}
+
+    def _publish_in(self, name: str, text: str) -> bool:
+        self._fs.mkdirs(self._path(name).getParent())
+        return self._publish(name, text)
+
+    def vacuum(self, age: float = 3600.0) -> int:
+        """Delete data that no kept manifest names and that is older than ``age`` seconds; the number of folders."""
+        named: set[str] = set()
+        for n in self._numbers():
+            state = json.loads(self._read(f"manifest/{n}.json"))
+            named |= {b["path"] for b in state["log"]} | {r[k] for r in state["runs"] for k in ("results", "diffs")}
+            named |= {f"data/{t}/{c['load']}" for t, c in state["chunks"].items()}
+            for t, s in state["tables"].items():
+                if s.get("files"):
+                    named |= {s["files"], *[p.removesuffix("/*") for ps in self.files(state, t).values() for p in ps]}
+        prefixes = {p.rsplit("/", i)[0] for p in named for i in range(3)} | named
+        gone = 0
+        for top in ("data", "files"):
+            if not self._fs.exists(self._path(top)):
+                continue
+            for table in self._names(top):
+                for one in self._names(f"{top}/{table}"):
+                    path = f"{top}/{table}/{one}"
+                    parts = [f"{path}/{x}" for x in self._names(path) if x.startswith("_b=")] if path in prefixes and path not in named else [path]
+                    for p in parts:
+                        if p not in prefixes and time.time() - self._age_of(p) >= age:
+                            self.drop(p)
+                            gone += 1
+        return gone
+
+    def _names(self, path: str) -> list[str]:
+        return [f.getPath().getName() for f in self._fs.listStatus(self._path(path))]
+
+    # ------------------------------------------------------------ leases
 
     @contextmanager
-    def lock(self, name: str):
-        """One holder at a time; the file is created exclusively and deleted at the end."""
-        self._fs.mkdirs(self._path("locks"))
-        path = self._path(f"locks/{name}")
-        try:
-            self._fs.create(path, False).close()
-        except Exception as e:
-            raise Refused(f"{name} is running") from e
+    def lock(self, name: str, seconds: float = LEASE):
+        """One holder at a time.  A holder renews its lease while it lives; that of a killed one runs out, and the next may begin.
+
+        The lease is part of the manifest, so taking it is one commit.  Clocks of the machines that
+        share a store must agree to within a few seconds.
+        """
+        me, stop = uuid.uuid4().hex, threading.Event()
+
+        def take(s: dict) -> None:
+            held = s["leases"].get(name)
+            if held and held["until"] > time.time():
+                raise Refused(f"{name} is running")
+            s["leases"][name] = {"owner": me, "until": time.time() + seconds}
+
+        def renew(s: dict) -> None:
+            if s["leases"].get(name, {}).get("owner") != me:
+                raise Refused(f"the lease on {name} was lost")
+            s["leases"][name]["until"] = time.time() + seconds
+
+        def keep() -> None:
+            while not stop.wait(seconds / 3):
+                try:
+                    self.commit(renew)
+                except Refused:
+                    return
+
+        self.commit(take)
+        thread = threading.Thread(target=keep, daemon=True)
+        thread.start()
         try:
-            yield
+            yield me
         finally:
-            self._fs.delete(path, False)
+            stop.set()
+            thread.join()
+            self.commit(lambda s: s["leases"].pop(name) if s["leases"].get(name, {}).get("owner") == me else None)
+
+    def held(self, state: dict | None = None) -> list[str]:
+        """Names of the leases that have not run out."""
+        return sorted(n for n, v in (state or self.manifest()).get("leases", {}).items() if v["until"] > time.time())
 
 
 # ---------------------------------------------------------------- job states
 
+#: Names of a job's states.
 STATES = ("PLANNED", "SCHEMA_DONE", "LOADING", "SYNCING", "CUTOVER", "VERIFIED", "DONE", "FAILED")
-#: WFL2: the states from which each command may start.
+#: WFL2, fixed values: the states from which each command may start.
 ALLOWED = {
     "load": ("SCHEMA_DONE", "LOADING", "SYNCING", "FAILED"),
     "sync": ("SCHEMA_DONE", "LOADING", "SYNCING", "FAILED"),

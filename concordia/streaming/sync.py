@@ -4,19 +4,23 @@ The two halves share only the log.  Capture is a stream whose batches are append
 whose number is committed already does nothing, and an event that is in the log, or at or before
 its table's applied position, is dropped.  Application takes the head of the pending events of
 loaded tables, nets it per key, rewrites the buckets it touches, and publishes the new files and
-positions in one commit; if anything is wrong with any event, nothing is published.
+positions in one commit; if anything is wrong with any event, nothing is published.  A captured
+batch whose events are all applied leaves the log with that commit.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordia.functions.values import TEXT_TYPES, sentinel_value, text_rules
 from concordia.operators import changes as ch
+from concordia.operators import views
 from concordia.plans.load import with_generated
 from concordia.plans.model import TablePlan
 from concordia.plans.planner import spark_type, struct_type
@@ -27,6 +31,10 @@ LOG = "commit_lsn string, change_lsn string, event_serial_no long, op string, ta
 _POSITIONS = "table_name string, commit_lsn string, change_lsn string, event_serial_no long"
 
 
+#: Buckets of one table, at most.
+MOST_BUCKETS = 65_536
+
+
 class BadBatch(RuntimeError):
     """Some event cannot be applied; the message has reasons and counts, never values (MSC7)."""
 
@@ -74,7 +82,9 @@ class Capture:
             new = ch.not_applied(new, positions_frame(self.store, state))
             new = new.join(log_frame(self.store, state).select(*ch.POSITION), list(ch.POSITION), "left_anti") if state["log"] else new
             path = self.store.save(new.select(*[F.col(c) for c in ("commit_lsn", "change_lsn", "event_serial_no", "op", "table_name", "before", "after", "src_commit_at")]), "log")
-            n = self.store.spark.read.schema(LOG).parquet(f"{self.store.root}/{path}").count()
+            of_table = ch.batch_positions(self.store.spark.read.schema(LOG).parquet(f"{self.store.root}/{path}")).collect()  # a row per table
+            n = sum(r["n"] for r in of_table)
+            last = {r["table_name"].lower(): [r["commit_lsn"], r["change_lsn"], r["event_serial_no"]] for r in of_table}
         finally:
             events.unpersist()
 
@@ -85,7 +95,7 @@ class Capture:
             s["src_max_at"] = max(filter(None, (s.get("src_max_at"), edge["at"])), default=None)
             s["captured"] = s.get("captured", 0) + n
             if n:
-                s["log"].append({"path": path, "rows": n})
+                s["log"].append({"path": path, "rows": n, "last": last})
 
         self.store.commit(publish)
 
@@ -96,19 +106,27 @@ class Capture:
 
 
 class Applier:
-    """SNK3, MUT7.  A table's files are kept by bucket of its key, so a batch rewrites only what it touches."""
+    """SNK3, MUT7.  A table's files are kept by bucket of its key, so a batch rewrites only what it touches.
+
+    A table gets as many buckets as its rows need when its first batch is applied, ``MOST_BUCKETS``
+    at most, so the rows that one changed key rewrites don't grow with the table until then.
+    """
 
-    def __init__(self, store: Store, plans: list[TablePlan], buckets: int = 16, batch_size: int = 1000) -> None:
+    def __init__(self, store: Store, plans: list[TablePlan], rows_per_bucket: int = 50_000, batch_size: int = 100_000) -> None:
         self.store, self.plans = store, {p.name.lower(): p for p in plans}
         self.schemas = {t: struct_type(p) for t, p in self.plans.items()}
         self.keys = {t: list(p.key) for t, p in self.plans.items()}
-        self.buckets, self.batch_size = buckets, batch_size
+        self.rows_per_bucket, self.batch_size = rows_per_bucket, batch_size
 
-    def bucket(self, table: str):
-        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys[table]]), F.lit(self.buckets)).cast("int")
+    def buckets(self, table: str, state: dict) -> int:
+        s = state["tables"][table]
+        return s.get("buckets") or min(MOST_BUCKETS, max(1, -(-(s.get("rows") or 0) // self.rows_per_bucket)))
+
+    def bucket(self, table: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys[table]]), F.lit(buckets)).cast("int")
 
     def read(self, table: str, state: dict | None = None, only: list[int] | None = None) -> DataFrame:
-        files = (state or self.store.manifest())["tables"].get(table.lower(), {}).get("files", {})
+        files = self.store.files(state or self.store.manifest(), table.lower())
         paths = [p for b, ps in files.items() if only is None or int(b) in only or b == "-1" for p in ps]
         return self.store.open(paths, self.schemas[table.lower()])
 
@@ -141,9 +159,10 @@ class Applier:
                 t = r["table_name"]
                 if s["positions"].get(t) != state["positions"].get(t) or s["tables"][t]["files"] != state["tables"][t]["files"]:
                     raise Refused(f"{t} changed meanwhile")
-                s["tables"][t]["files"] = new[t]
+                s["tables"][t].update(new[t])
                 s["positions"][t] = [r["commit_lsn"], r["change_lsn"], r["event_serial_no"]]
             s["applied"] = s.get("applied", 0) + n
+            s["log"] = [b for b in s["log"] if any(last > (s["positions"].get(t) or [""]) for t, last in b["last"].items())]
 
         self.store.commit(publish)
         return n
@@ -157,16 +176,17 @@ class Applier:
         net = net.withColumns({c.name: self._value(c) for c in plan.load_columns if c.name not in key}).persist()
         try:
             typed = net.select(*[F.col(k).cast(schema[k].dataType).alias(k) for k in key])
-            touched = sorted(r[0] for r in typed.select(self.bucket(table).alias("b")).distinct().collect())  # bucket numbers
-            files = dict(state["tables"][table]["files"])
+            buckets = self.buckets(table, state)
+            touched = sorted(r[0] for r in typed.select(self.bucket(table, buckets).alias("b")).distinct().collect())  # bucket numbers
+            files = self.store.files(state, table)
             whole = "-1" in files  # as loaded, not bucketed yet
             old = self.read(table, state, None if whole else touched).select(*[c.name for c in plan.load_columns])
             after = with_generated(ch.applied_to(old, net, key), plan)
-            parts = self.store.save_parts(after.withColumn("_b", self.bucket(table)), table, "_b")
-            for b in range(self.buckets) if whole else touched:
+            parts = self.store.save_parts(after.withColumn("_b", self.bucket(table, buckets)), table, "_b")
+            for b in range(buckets) if whole else touched:
                 files[str(b)] = [parts[str(b)]] if str(b) in parts else []
             files.pop("-1", None)
-            return files
+            return {"files": self.store.put_files(table, files), "buckets": buckets}
         finally:
             net.unpersist()
 
@@ -189,13 +209,30 @@ class Applier:
         return {"pending": n - waiting, "waiting_for_load": waiting, "captured": state.get("captured", 0), "applied": state.get("applied", 0), "stream_lsn": state.get("stream_lsn"), "first_pending_at": first}
 
 
-def drain(capture: Callable[[], object], applier: Applier, max_wait: float = 600.0, poll: float = 1.0) -> bool:
-    """STR5, STR6: capture and apply until a capture pass that began after everything was applied brings nothing more.
+def source_status(spark, folder: str) -> Callable[[], tuple[str | None, str | None]]:
+    """SRC10: last log position and end of the last log scan, as the source keeps them in ``log_times`` (lsn, commit_at) and ``log_scans`` (ended_at)."""
+
+    def status() -> tuple[str | None, str | None]:
+        r = views.log_status(spark.read.parquet(f"{folder}/log_times"), spark.read.parquet(f"{folder}/log_scans")).first()
+        return r["max_lsn"], None if r["last_scan_at"] is None else str(r["last_scan_at"])
+
+    return status
 
-    False if that takes longer than ``max_wait`` seconds.
+
+def drain(capture: Callable[[], object], applier: Applier, max_wait: float = 600.0, poll: float = 1.0, source: Callable[[], tuple[str | None, str | None]] | None = None) -> bool:
+    """STR5, STR6: capture and apply until nothing more can come; False if that takes longer than ``max_wait`` seconds.
+
+    With ``source`` that is proved by the source's log: a scan of it that ended after the drain began
+    has a last position, and everything up to it is captured and applied.  Without, a capture pass
+    that began after everything was applied brings nothing more.
     """
     end = time.monotonic() + max_wait
+    began, goal = source() if source else (None, None), None
     while time.monotonic() < end:
+        if source and goal is None:
+            now = source()
+            if now[1] is not None and (began[1] is None or now[1] > began[1]):
+                goal = now[0] or ""
         capture()
         while applier.step():
             pass
@@ -203,25 +240,56 @@ def drain(capture: Callable[[], object], applier: Applier, max_wait: float = 600
         mark = state.get("captured", 0)
         not_loaded = [t for t, s in state["tables"].items() if s.get("status") != "LOADED"]
         if not not_loaded and applier.eligible(state).limit(1).count() == 0:
-            capture()
-            if applier.store.manifest().get("captured", 0) == mark:
-                return True
+            if source:
+                if goal is not None and (state.get("stream_lsn") or "") >= goal:
+                    return True
+            else:
+                capture()
+                if applier.store.manifest().get("captured", 0) == mark:
+                    return True
         time.sleep(poll)
     return False
 
 
+@contextmanager
+def ticking(applier: Applier, seconds: float):
+    """STR4: while inside, the state's ``watermark`` is written every so many seconds: pending, waiting, captured, applied, positions, lag."""
+    stop = threading.Event()
+
+    def tick() -> None:
+        status = applier.status()
+        applier.store.commit(lambda s: s.update(watermark=status | {"at": time.time(), "src_max_at": s.get("src_max_at")}))
+
+    def run() -> None:
+        while not stop.wait(seconds):
+            try:
+                tick()
+            except Exception as e:  # the next tick tells
+                print(f"status: {type(e).__name__}")
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        stop.set()
+        thread.join()
+        tick()
+
+
 def reset(store: Store, tables: list[str] | None = None) -> None:
-    """MUT8: empty tables and their chunks, or all state."""
+    """MUT8: empty tables and their ranges, or all state; refused while a load, a synchronisation or a switch runs, clears leases that ran out."""
     def clear(s: dict) -> None:
-        if s.get("job") in ("LOADING", "CUTOVER") and tables is None:
-            raise Refused(f"reset is not allowed while the job is {s['job']}")
+        if held := store.held(s):
+            raise Refused(f"reset is not allowed while {', '.join(held)} runs")
+        s["leases"] = {}
         for t in tables if tables is not None else list(s["tables"]):
-            s["tables"][t.lower()] = {"status": "PLANNED", "files": {}}
+            s["tables"][t.lower()] = {"status": "PLANNED", "files": None}
             s["chunks"].pop(t.lower(), None)
             s["positions"].pop(t.lower(), None)
         if tables is None:
             s.update(log=[], positions={}, runs=[], captured=0, applied=0, job="SCHEMA_DONE")
-            for k in ("captured_batch", "start_lsn", "stream_lsn", "src_max_at"):
+            for k in ("captured_batch", "start_lsn", "stream_lsn", "src_max_at", "watermark", "cutover"):
                 s.pop(k, None)
         log_event(s, "INFO", "reset " + ("all" if tables is None else ", ".join(tables)))
 
