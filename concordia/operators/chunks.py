@@ -99,7 +99,14 @@ def in_range(key: Sequence[str], lower: Sequence | None, upper: Sequence | None)
 
 
 def chunk_counts(df: DataFrame, key: str, bounds: DataFrame) -> DataFrame:
-    """Rows in each range of ``bounds`` (a row per chunk): ``(chunk_no, row_count)``; empty ranges count 0."""
-    inside = (F.col("lower").isNull() | (F.col(key) >= F.col("lower"))) & (F.col("upper").isNull() | (F.col(key) < F.col("upper")))
-    n = df.select(key).join(F.broadcast(bounds), inside).groupBy("chunk_no").agg(F.count("*").alias("row_count"))
-    return bounds.select("chunk_no").join(n, "chunk_no", "left").select("chunk_no", F.coalesce("row_count", F.lit(0)).alias("row_count"))
+    """Rows in each range of ``bounds`` (a row per chunk; ranges meet end to start): ``(chunk_no, row_count)``; empty ranges count 0.
+
+    A key's range is the one that starts last up to it: an as-of lookup, so no key is compared with every range.
+    """
+    from concordia.operators.views import as_of
+
+    kind = df.schema[key].dataType
+    starts = bounds.where("lower IS NOT NULL").select(F.col("lower").cast(kind).alias("lsn"), "chunk_no")
+    first = F.when(F.col("lower").isNull(), F.lit(-1)).otherwise(F.col("chunk_no"))
+    n = as_of(df.select(key).where(F.col(key).isNotNull()), starts, key, value="chunk_no").groupBy(F.coalesce("chunk_no", F.lit(-1)).alias("_of")).agg(F.count("*").alias("row_count"))
+    return bounds.select("chunk_no", first.alias("_of")).join(n, "_of", "left").select("chunk_no", F.coalesce("row_count", F.lit(0)).alias("row_count"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from concordia.functions import lsn
 from concordia.operators import changes as ch
 from concordia.operators import views
-from concordia.queries.base import LOG_SQL, LSN_SQL, change_log, rows, rows_sql
+from concordia.queries.base import LOG_SQL, LSN_SQL, change_log, rows, rows_sql, table
 
 _TABLES = "('DBO.Users', 'LOADED', true), ('dbo.people', 'PLANNED', true), ('dbo.nokey', 'LOADED', false)"
 _TABLE_NAMES = "src_table, status, has_pk"
@@ -77,9 +77,9 @@ def _faults(spark, sf_dir):
 
 
 def _as_of(spark, sf_dir):
-    log = change_log(spark, sf_dir)
-    times = log.where("event_id % 10 = 0").select(F.col("commit_lsn").alias("lsn"), F.col("src_commit_at").alias("commit_at"))
-    return views.as_of(log.where("event_id % 7 = 0").select("commit_lsn"), times, "commit_lsn")
+    """The commit time that held at the position of every order."""
+    times = change_log(spark, sf_dir).select(F.col("commit_lsn").alias("lsn"), F.col("src_commit_at").alias("commit_at"))
+    return views.as_of(table(spark, sf_dir, "orders").select(lsn.of_number(F.col("o_orderkey")).alias("probe")), times, "probe")
 
 
 _WATERMARKS = """(1, TIMESTAMP_NTZ'2026-01-01 10:00:10', TIMESTAMP_NTZ'2026-01-01 10:00:05.250', 3, TIMESTAMP_NTZ'2026-01-01 10:00:11', TIMESTAMP_NTZ'2026-01-01 10:00:12'),
@@ -126,8 +126,8 @@ QUERIES = {
     ),
     "join7_as_of": (
         _as_of,
-        f"""WITH log AS {LOG_SQL} SELECT p.commit_lsn, t.src_commit_at AS commit_at FROM (SELECT commit_lsn FROM log WHERE event_id % 7 = 0) p
-        ASOF LEFT JOIN (SELECT commit_lsn, src_commit_at FROM log WHERE event_id % 10 = 0) t ON p.commit_lsn >= t.commit_lsn""",
+        f"""WITH log AS {LOG_SQL} SELECT p.probe, t.src_commit_at AS commit_at FROM (SELECT lower(lpad(to_hex(o_orderkey), 8, '0')) || ':00000000:0001' AS probe FROM orders) p
+        ASOF LEFT JOIN log t ON p.probe >= t.commit_lsn""",
     ),
     "msc4_lag": (
         lambda s, d: views.lag_view(rows(s, _WATERMARK_NAMES, _WATERMARKS)),

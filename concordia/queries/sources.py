@@ -80,8 +80,8 @@ QUERIES = {
         ('00000012:00000000:0001', 'the source''s schema changed'), ('00000013:00000000:0001', 'unknown kind')) AS t(stream_lsn, reason)""",
     ),
     "src10_log_status": (
-        lambda s, d: views.log_status(table(s, d, "events").select(lsn.of_number(F.col("event_id")).alias("lsn"), F.col("ts").alias("commit_at")), table(s, d, "events").where("event_type = 'nothing'").select(F.col("ts").alias("ended_at"))),
-        "SELECT lower(lpad(to_hex(max(event_id)), 8, '0')) || ':00000000:0001' AS max_lsn, arg_max(ts, event_id) AS max_commit_at, CAST(NULL AS TIMESTAMP) AS last_scan_at FROM events",
+        lambda s, d: views.log_status(table(s, d, "events").select(lsn.of_number(F.col("event_id")).alias("lsn"), F.col("ts").alias("commit_at")), table(s, d, "events").where("event_type = 'error'").select(F.col("ts").alias("ended_at"))),
+        "SELECT lower(lpad(to_hex(max(event_id)), 8, '0')) || ':00000000:0001' AS max_lsn, arg_max(ts, event_id) AS max_commit_at, max(ts) FILTER (event_type = 'error') AS last_scan_at FROM events",
     ),
     "src11_captured_tables": (
         lambda s, d: catalog.captured_tables(rows(s, "schema, table, instance, start_lsn", "('dbo', 'a', 'a1', '01'), ('dbo', 'a', 'a2', '02'), ('x', 'b', 'b1', '09')")),
