@@ -39,7 +39,8 @@ def canonical(c: Column, source_type: str, rule: ValueRule | None = None, source
     if kind in ("float", "real"):
         return c.try_cast("decimal(38,10)").cast("string")
     if kind in _FORMATS:
-        text = F.date_format(c, _FORMATS[kind])
+        moment = F.to_utc_timestamp(c, F.current_timezone()) if kind == "datetimeoffset" else c  # NRM12: in any session's zone
+        text = F.date_format(moment, _FORMATS[kind])
         return sentinel_text(c, text, own) if own else text
     if kind == "time":
         return c.cast("string")

@@ -20,8 +20,8 @@ from concordia.operators import chunks as C
 from concordia.plans import cutover as co
 from concordia.plans import names, planner
 from concordia.plans import rules as R
-from concordia.plans.load import Loader, chunk_states
-from concordia.plans.model import Catalog, Column, ForeignKey, Index, Table
+from concordia.plans.load import Loader, chunk_states, create_tables, safe
+from concordia.plans.model import Catalog, Column, ForeignKey, Index, Sequence, Table
 from concordia.queries.base import table
 from concordia.sources import catalog as system
 from concordia.sources import config, envelope
@@ -222,6 +222,53 @@ def _resolved(spark, sf_dir):
     return spark.createDataFrame(rows, "type string, nul_char string, trailing_space string, sentinel string")
 
 
+def _refused_types(spark, sf_dir):
+    """NRM17: what no canonical text is known for is refused when the plan is made."""
+    def refused(t: str) -> bool:
+        try:
+            normalize.canonical(F.lit(None), t)
+            return False
+        except ValueError:
+            return True
+
+    names_ = [r["n"] for r in table(spark, sf_dir, "nation").select(F.lower("n_name").alias("n")).collect()]
+    return spark.createDataFrame([(t, refused(t)) for t in (*normalize.TYPES, *names_, "sql_variant", "geography")], "type string, refused boolean")
+
+
+def _messages(spark, sf_dir):
+    """MSC7: no value of a row leaves by an error message."""
+    rows = table(spark, sf_dir, "nation").collect()
+    return spark.createDataFrame([(r["n_nationkey"], safe(f"duplicate key value '{r['n_name']}' in column \"{r['n_name']}\" Key (n_name)=({r['n_name']})\nat line 2")) for r in rows], "n_nationkey int, message string")
+
+
+def _sequences(spark, sf_dir):
+    """PLN9: bounds cut to 64 bits."""
+    found = tuple(Sequence("dbo", f"s{r['n_nationkey']}", "numeric", 1, 1, -(10 ** r["n_nationkey"]), 10 ** r["n_nationkey"]) for r in table(spark, sf_dir, "nation").collect())
+    plan = planner.plan(Catalog("x", (), found), R.load({}))
+    return spark.createDataFrame([(name, str(s.minimum), str(s.maximum)) for s, _, name in plan.sequences], "name string, low string, high string")
+
+
+def _claimed(spark, sf_dir):
+    """PLN10: names of one schema; a second comer is named after its table."""
+    space = names.Namespace()
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    return spark.createDataFrame([(r["n_nationkey"], space.claim(f"ix_{r['n_regionkey']}", r["n_name"].lower())) for r in rows], "n_nationkey int, name string")
+
+
+def _created(spark, sf_dir):
+    """SNK4, SNK6, MUT8: registered tables of a new state, and what a reset leaves of a loaded one."""
+    plan, source = planner.plan(CATALOG, R.load(RULES), include=["dbo.nation"]), _source(spark, sf_dir)
+    store = Store(spark, f"{_folder(spark)}/state")
+    rows = [("created", n, store.manifest()["tables"]) for n in create_tables(store, plan.tables)]
+    rows = [(what, n, store.manifest()["tables"][n]["status"], 0) for what, n, _ in rows]
+    Loader(store, plan.tables, source).run()
+    applier = sync.Applier(store, plan.tables)
+    rows += [("loaded", n, s["status"], applier.read(n).count()) for n, s in store.manifest()["tables"].items()]
+    sync.reset(store)
+    rows += [("reset", n, s["status"], applier.read(n).count()) for n, s in store.manifest()["tables"].items()]
+    return spark.createDataFrame(rows, "step string, table_name string, status string, rows long")
+
+
 _TYPES = ", ".join(f"('{t}')" for t in normalize.TYPES)
 _in = lambda kinds: "(" + ", ".join(f"'{t}'" for t in sorted(kinds)) + ")"
 _plain = ValueRule()
@@ -308,6 +355,18 @@ QUERIES = {
         f"""SELECT type, CASE WHEN type IN {_in(TEXT_TYPES)} THEN 'strip' ELSE '{_plain.nul_char}' END AS nul_char, CASE WHEN type IN {_in(TEXT_TYPES)} THEN 'keep' ELSE '{_plain.trailing_space}' END AS trailing_space,
         CASE WHEN type IN {_in(DATE_TYPES | {"time"})} THEN 'null' ELSE '{_plain.sentinel}' END AS sentinel FROM (VALUES {_TYPES}) AS t(type)""",
     ),
+    "nrm12_instants": (
+        lambda s, d: table(s, d, "events").select("event_id", normalize.canonical(F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+02:00")), "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"), "datetimeoffset").alias("instant")),
+        "SELECT event_id, strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS instant FROM events",
+    ),
+    "nrm17_refused_types": (_refused_types, f"SELECT type, false AS refused FROM (VALUES {_TYPES}) AS t(type) UNION ALL SELECT lower(n_name), true FROM nation UNION ALL VALUES ('sql_variant', true), ('geography', true)"),
+    "msc7_safe_messages": (_messages, "SELECT n_nationkey, 'duplicate key value ? in column ? Key (n_name)?' AS message FROM nation"),
+    "pln9_sequence_bounds": (
+        _sequences,
+        "SELECT 's' || n_nationkey AS name, greatest(-(10::HUGEINT ** n_nationkey)::HUGEINT, -9223372036854775808)::VARCHAR AS low, least((10::HUGEINT ** n_nationkey)::HUGEINT, 9223372036854775807)::VARCHAR AS high FROM nation",
+    ),
+    "pln10_claimed_names": (_claimed, "SELECT n_nationkey, 'ix_' || n_regionkey || CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) > 1 THEN '_' || lower(n_name) ELSE '' END AS name FROM nation"),
+    "snk6_created_and_reset": (_created, "SELECT 'created' AS step, 'nation' AS table_name, 'PLANNED' AS status, 0::BIGINT AS rows UNION ALL SELECT 'loaded', 'nation', 'LOADED', count(*) FROM nation UNION ALL SELECT 'reset', 'nation', 'PLANNED', 0"),
     "nrm13_clock_texts": (
         lambda s, d: table(s, d, "events").select("event_id", normalize.canonical(F.date_format("ts", "HH:mm:ss.SSSSSS"), "time").alias("clock")),
         "SELECT event_id, strftime(ts, '%H:%M:%S.%f') AS clock FROM events",
