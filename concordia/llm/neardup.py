@@ -44,7 +44,7 @@ from concordia.llm.common import PIECE, grams, interim, mix, packed, quoted, spr
 from concordia.llm.components import components
 
 #: Texts, and shingles of them, that a verification task holds of each of its two blocks, about.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 #: Texts of one node that a task compares in each of its two blocks; a row is under 200 bytes.
 NODE_ROWS = 1 << 16
 #: Depths at which nodes are counted; the first is the shortest prefix, the last the whole sequence.
