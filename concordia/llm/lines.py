@@ -14,8 +14,9 @@ one row per member; every (line, earlier line) pair is then verified by its edit
 Where variants are emitted.  A line of 300 characters has 300 variants, and nearly all lines have
 no neighbour at all.  So the place of a possible edit is narrowed first, without loss: cut at a
 grid that depends on the length's class only, one edit leaves all but one segment of both lines
-equal.  Keys of "all but segment j" over 2 segments choose the lines whose text is fetched, keys
-over 8 segments choose the segments in which they may differ, and variants are made there only.
+equal.  Keys of "all but segment j" over 2 segments choose the lines whose text is fetched.  Where a
+key has few of them, each is compared with the earlier ones at once; of the others, keys over 8
+segments choose the segments in which they may differ, and variants are made there only.
 
 Two edits.  Keys of "all but two of 3 segments" choose the lines.  What stands between the two left
 out may have moved by one character, so it is taken from three places.  Then every open pair of
@@ -42,7 +43,7 @@ from concordia.llm.common import interim, packed, quoted, unpacked, written
 
 #: Characters of the shortest line that a grid is laid over, and the width of a length class.
 SHORTEST, CLASS = 16, 16
-#: For two edits: lines of a key, and characters left out of them, up to which they are compared at once, and the width that ends the halving.
+#: Lines of a key, and characters of them, up to which they are compared at once, and for two edits the width that ends the halving.
 FEW, FEW_CHARACTERS, NARROW = 256, 1 << 20, 2
 
 
@@ -101,8 +102,26 @@ def _variants(line: Column, n: Column, c: Column, j: Column) -> Column:
     return F.concat(F.when(own_class, F.concat(swapped, itself)).otherwise(F.array().cast("array<struct<role:int,key:bigint>>")), without)
 
 
+def _with_earlier(group: DataFrame, near) -> DataFrame:
+    """``(h1, h2)`` of the members of the small groups ``of``, structs of (me, ...) in order, that an earlier member is ``near`` to."""
+    found = F.filter("of", lambda x, i: F.exists(F.slice("of", F.lit(1), i), lambda y: (y["me"]["at"] < x["me"]["at"]) & near(x, y)))
+    return written(group.select(F.explode(found).alias("x")).select("x.me.h1", "x.me.h2").distinct(), "near")
+
+
+def _near_one(candidates: DataFrame) -> DataFrame:
+    """``(h1, h2)`` of candidate lines (h1, h2, n, at, line) that an earlier candidate is one edit away from: those of a small group at once, others by variants."""
+    rows = candidates.select(F.struct("at", "h1", "h2").alias("me"), "line", "n", F.explode(_half_keys(F.col("line"), F.col("n"))).alias("key"))
+    size = rows.groupBy("key").agg(F.min("me.h1").alias("a"), F.max("me.h1").alias("b"), F.count("*").alias("m"), F.sum("n").alias("chars")).where("a < b")
+    size = written(size.select("key", ((F.col("m") <= FEW) & (F.col("chars") <= FEW_CHARACTERS)).alias("few")), "size")
+    hit = written(rows.join(size, "key"), "hit")
+    group = hit.where("few").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("me", "line"))).alias("of"))
+    found = _with_earlier(group, lambda x, y: F.levenshtein(x["line"], y["line"], 1) >= 0)
+    many = written(hit.where("NOT few").select("me.h1", "me.h2").distinct(), "many")
+    return found.union(_near(candidates.join(many, ["h1", "h2"], "left_semi"))).distinct()
+
+
 def _near(candidates: DataFrame) -> DataFrame:
-    """``(h1, h2)`` of candidate lines (h1, h2, n, at, line) that an earlier candidate is one edit away from."""
+    """The same by variants alone."""
     me = F.struct("at", "h1", "h2")
     cut = candidates.select("h1", "h2", F.explode(_segment_keys(F.col("line"), F.col("n"), 8)).alias("s")).select("h1", "h2", "s.*")
     open_ = cut.join(_shared(cut), "key", "left_semi").select("h1", "h2", "c", "j").distinct()
@@ -222,8 +241,7 @@ def _near_two(candidates: DataFrame, open_: DataFrame) -> DataFrame:
         size = written(size.select("key", ((F.col("m") <= FEW) & (F.col("m") * F.col("chars") <= FEW_CHARACTERS)).alias("few")), "size")
         hit = written(rows.drop("far").join(size, "key"), "hit")
         group = hit.where("few").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("me", "u", "v"))).alias("of"))
-        near = F.filter("of", lambda x, i: F.exists(F.slice("of", F.lit(1), i), lambda y: (y["me"]["at"] < x["me"]["at"]) & within(x, y)))
-        found.append(written(group.select(F.explode(near).alias("x")).select("x.me.h1", "x.me.h2").distinct(), "near"))
+        found.append(_with_earlier(group, within))
         rest = hit.where("NOT few").select("me.h1", "c", "j1", "j2").distinct()
         done = F.col("c") * CLASS <= NARROW * segments
         narrow.append(rest.where(done).withColumn("segments", F.lit(segments)))
@@ -264,7 +282,7 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str, edits: int, shortest:
         candidates = known.where("line IS NOT NULL").select("h1", "h2", F.length("line").cast("int").alias("n"), "at", "line")
         gridded = candidates.where(F.col("n") >= SHORTEST)
         if edits == 1:
-            near = _near(gridded)
+            near = _near_one(gridded)
         else:
             pair = F.col("place") % 3
             open_ = places.select("h1", F.floor(F.col("place") / 3).cast("int").alias("c"), F.when(pair == 1, 1).otherwise(0).alias("j1"), F.when(pair == 0, 1).otherwise(2).alias("j2"))

@@ -89,7 +89,9 @@ def plain_line_dedup(rows):
     return {d: None if t is None else "\n".join(out.get(d, [])) for d, t in rows}
 
 
-def test_lines_against_all_pairs(spark):
+@pytest.mark.parametrize("few", [0, 256])
+def test_lines_against_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(lines, "FEW", few)  # 0: all by variants
     rng = random.Random(4)
     base = ["".join(rng.choice("abcdé 1") for _ in range(n)) for n in (3, 9, 15, 16, 17, 31, 32, 33, 47, 48, 49, 64, 65, 90, 160, 161)]
 
