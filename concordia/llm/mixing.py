@@ -17,8 +17,8 @@ sampling: documents in the order of hash / fraction are taken until the source's
 target.  The place where that happens is found by two rounds of sums over 512 levels and a
 window over the last level alone.  The order is of the hash of id and text, so every document's
 copies follow from its own row and one row of its source, and reruns agree.  Rows equal in id and
-text share a place.  Last, a few documents of each source are turned the other way, which brings it
-nearer to its target.  Where the cut falls among equal rows, or one of several is turned, those
+text share a place.  Last, where a source is off its target by more than a thousandth, a few of its
+documents are turned the other way, which brings it nearer.  Where the cut falls among equal rows, or one of several is turned, those
 rows alone are numbered and so many of them rounded up.
 
 Defined results: a null text has size 0; a document of size 0 takes no words and gets one copy
@@ -39,8 +39,8 @@ _LEVELS = 512
 _BROADCAST_SOURCES = 50_000
 #: How near, relatively, a source's expected words come to its target; rounds of Newton in one job, and such jobs at most.
 RESIDUAL, _ROUNDS, _JOBS = 1e-6, 8, 24
-#: Documents of a source that are rounded the other way, about.
-_TURNS = 6
+#: Documents of a source that are rounded the other way, about, and the share of its target within which it is left alone.
+_TURNS, _NEAR = 6, 1e-3
 
 
 def word_count(text: Column) -> Column:
@@ -165,24 +165,25 @@ def _turned(rows: DataFrame, cut: DataFrame) -> DataFrame:
     free = F.when(~in_part, F.struct("place", "up", "size"))
     sums = rounded.groupBy("source").agg(
         (F.max("goal") - F.sum(F.when(in_part, 0).otherwise(F.col("up")) * F.col("size")) - F.coalesce(F.max(F.when(in_part, F.col("size") * F.col("part.up"))), F.lit(0))).alias("left"),
-        F.min(F.when(F.col("up") == 0, free)).alias("next"),
+        F.min(F.when(F.col("up") == 0, free)).alias("next"), (F.max("target") * _NEAR).alias("enough"),
     )
     turn = lambda c: F.struct(F.col(f"{c}.place").alias("place"), F.col(f"{c}.up").alias("up"))
     none = F.array(turn("next")).alias("turns")
-    ways = sums.select("source", F.explode(F.array(F.struct(F.lit(0).alias("way"), "left", F.slice(none, 1, 0).alias("turns")), F.struct(F.lit(1).alias("way"), (F.col("left") - F.col("next.size")).alias("left"), none))).alias("w"))
-    state = written(ways.select(F.col("source").alias("_of"), "w.*").where("left IS NOT NULL"), "ways")
+    ways = F.array(F.struct(F.lit(0).alias("way"), "left", F.slice(none, 1, 0).alias("turns")), F.struct(F.lit(1).alias("way"), (F.col("left") - F.col("next.size")).alias("left"), none))
+    ways = sums.withColumn("off", F.abs("left")).select("source", "off", "enough", F.explode(ways).alias("w"))
+    state = written(ways.where("w.way = 0 OR off > enough").select(F.col("source").alias("_of"), "enough", "w.*").where("left IS NOT NULL"), "ways")
     rows_free = rounded.where(~in_part).select("source", "place", "up", "size")
     change = lambda c: F.when(F.col(f"{c}.up") == 1, -F.col(f"{c}.size")).otherwise(F.col(f"{c}.size"))
     for _ in range(_TURNS):
         off = F.abs(F.col("left") - change("r"))
-        tried = _with(rows_free.select("source", F.struct("place", "up", "size").alias("r")), state).where((off < F.abs("left")) & ~F.exists("turns", lambda t: t["place"] == F.col("r.place")))
+        tried = _with(rows_free.select("source", F.struct("place", "up", "size").alias("r")), state).where((F.abs("left") > F.col("enough")) & (off < F.abs("left")) & ~F.exists("turns", lambda t: t["place"] == F.col("r.place")))
         best = tried.groupBy("source", "way").agg(F.min(F.struct(off.alias("off"), "r"))["r"].alias("r")).withColumnRenamed("way", "_way")
         best = written(best, "best")
         if best.isEmpty():
             break
         after = state.join(best, F.col("_of").eqNullSafe(F.col("source")) & (F.col("way") == F.col("_way")), "left")
         left = F.when(F.col("r").isNull(), F.col("left")).otherwise(F.col("left") - change("r"))
-        state = written(after.select("_of", "way", left.alias("left"), F.when(F.col("r").isNull(), F.col("turns")).otherwise(F.concat("turns", F.array(turn("r")))).alias("turns")), "ways")
+        state = written(after.select("_of", "enough", "way", left.alias("left"), F.when(F.col("r").isNull(), F.col("turns")).otherwise(F.concat("turns", F.array(turn("r")))).alias("turns")), "ways")
     chosen = written(state.groupBy("_of").agg(F.min(F.struct(F.abs("left").alias("off"), "way", "turns"))["turns"].alias("turns")), "chosen")
     at = _with(rows.select("source", "place"), chosen).withColumn("t", F.get(F.filter("turns", lambda t: t["place"] == F.col("place")), 0)).where("t IS NOT NULL")
     at = at.groupBy("source", "t").agg(F.count("*").alias("m"))
@@ -208,7 +209,7 @@ def balanced_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         known = keep(written(known, "known"))
         rate = F.when(F.col("target") > 0, _rate(F.col("a"), F.col("size"), F.col("mean"), cap)).otherwise(0.0)
         rows = _with(narrow, known).where("size > 0").withColumn("place", _place(rate, F.col("id"), F.col("th"))).where("place IS NOT NULL")
-        rows = rows.select("source", "goal", "size", "place")
+        rows = rows.select("source", "goal", "target", "size", "place")
         rounding = keep(_turned(rows, _cut(rows)))
 
     mixed = packed(docs, **own).withColumn("size", word_count(F.col("_text")))
