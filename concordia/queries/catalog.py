@@ -10,12 +10,12 @@ from concordia.queries.base import rows, rows_sql, table
 _INDEX = "(1, 1, 'pk_a', 'PRIMARY'), (1, 2, 'ix_a', 'INDEX'), (2, 1, 'pk_b', 'PRIMARY'), (3, 1, 'pk_c', 'PRIMARY')"
 _INDEX_COLUMNS = "(1, 1, 1, 1, 'id', false), (1, 2, 2, 2, 'b', true), (1, 2, 1, 1, 'a', false), (1, 2, 0, 4, 'z', false), (1, 2, 0, 3, 'y', false), (2, 1, 1, 1, 'k', true)"
 _IC = "object_id, index_id, key_ordinal, ordinal, column, descending"
-_COLS = "('t', 1, 'id', 'int', NULL, NULL, false), ('t', 2, 'nm', 'varchar', 'Korean_Wansung_CI_AS', 949, false), ('t', 3, 'nt', 'nvarchar', 'Latin1_General_CS_AS', 949, false), ('t', 4, 'x', 'varchar', 'Latin1_General_CI_AI', 65001, false), ('t', 5, 'g', 'int', NULL, NULL, true)"
+_COLS = "('t', 1, 'id', 'int', NULL, NULL, false), ('t', 2, 'nm', 'varchar', 'Latin1_General_CI_AS', 949, false), ('t', 3, 'nt', 'nvarchar', 'Latin1_General_CS_AS', 949, false), ('t', 4, 'x', 'varchar', 'Latin1_General_CI_AI', 65001, false), ('t', 5, 'g', 'int', NULL, NULL, true)"
 _COL_NAMES = "tab, ordinal, name, type, collation, code_page, generated"
 _COL_SQL = _COL_NAMES.replace("collation", '"collation"')
 _FK = "(1, 'fk_a', 10, 20), (2, 'fk_b', 10, 30)"
 _FKC = "(1, 2, 'b', 'rb'), (1, 1, 'a', 'ra'), (2, 1, 'c', 'rc')"
-_NAMES = "('dbo.rating'), ('dbo.Rating_hist'), ('dbo.issuer'), ('hr.staff'), ('dbo.a.b')"
+_NAMES = "('dbo.berth'), ('dbo.Berth_hist'), ('dbo.vessel'), ('hr.staff'), ('dbo.a.b')"
 _PART = "(1, 0, 10), (1, 2, 99), (2, 1, 5), (2, 1, 7)"
 
 
@@ -57,12 +57,12 @@ QUERIES = {
     "prj1_load_columns": (lambda s, d: c.load_columns(rows(s, _COL_NAMES, _COLS)).select("ordinal", "name"), f"SELECT ordinal, name FROM {rows_sql(_COL_SQL, _COLS)} WHERE NOT generated"),
     "prj2_renamed_nation": (lambda s, d: c.renamed(table(s, d, "nation").withColumnRenamed("n_name", "N_Name"), {"n_regionkey": "region"}), "SELECT n_nationkey, n_name, n_regionkey AS region FROM nation"),
     "fil2_table_selection": (
-        lambda s, d: rows(s, "name", _NAMES).select("name", c.selected(F.col("name"), ["dbo.rating*", "DBO.ISSUE?", "dbo.a?b"], ["*_hist"]).alias("chosen")),
-        f"SELECT name, (regexp_full_match(lower(name), 'dbo\\.rating.*|dbo\\.issue.|dbo\\.a.b') AND NOT regexp_full_match(lower(name), '.*_hist')) AS chosen FROM {rows_sql('name', _NAMES)}",
+        lambda s, d: rows(s, "name", _NAMES).select("name", c.selected(F.col("name"), ["dbo.berth*", "DBO.VESSE?", "dbo.a?b"], ["*_hist"]).alias("chosen")),
+        f"SELECT name, (regexp_full_match(lower(name), 'dbo\\.berth.*|dbo\\.vesse.|dbo\\.a.b') AND NOT regexp_full_match(lower(name), '.*_hist')) AS chosen FROM {rows_sql('name', _NAMES)}",
     ),
     "set4_not_captured": (
-        lambda s, d: c.not_captured(rows(s, "name", _NAMES), rows(s, "name", "('DBO.RATING'), ('hr.staff')")),
-        f"SELECT name FROM {rows_sql('name', _NAMES)} WHERE lower(name) NOT IN ('dbo.rating', 'hr.staff')",
+        lambda s, d: c.not_captured(rows(s, "name", _NAMES), rows(s, "name", "('DBO.BERTH'), ('hr.staff')")),
+        f"SELECT name FROM {rows_sql('name', _NAMES)} WHERE lower(name) NOT IN ('dbo.berth', 'hr.staff')",
     ),
     "join12_mismatched_tables": (
         lambda s, d: c.mismatched_tables(rows(s, "src, tgt", "('a', 'x'), ('b', 'y'), ('c', 'z')"), rows(s, "src, tgt", "('a', 'x'), ('b', 'q'), ('d', 'w')")),
