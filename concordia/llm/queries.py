@@ -103,6 +103,21 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm import rules
+
+    rows = rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("_row.doc_id", *rules.COUNTS, F.array_join("failed", ",").alias("failed"), "base_failed", "kept")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm import infill
+
+    rows = infill.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -205,6 +220,46 @@ r AS (SELECT DISTINCT a AS doc_id, a AS other FROM l UNION SELECT r.doc_id, l.b
 SELECT doc_id, coalesce((SELECT min(other) FROM r WHERE r.doc_id = d.doc_id), doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links FROM d
 """
 
+_OP12_STOP = (
+    "a all an and are as at be been but by for from had has have he her his i if in is it its my no not of on or our she so that the their there they this to was we were what when which who will with you "
+    "als am an auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich im in ist mit nach nicht noch oder sein sich sie sind so über um und uns von vor war was wenn wie wir zu zum zur "
+    "a al como con de del el ella en era es esta este esto ha la las le lo los más me mi no nos o para pero por que se si sin sobre son su sus también un una y ya yo "
+    "à au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les leur lui mais mes ne nous on ou où par pas plus pour qu que qui sa se ses son sont sur tu un une vous y"
+)
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT r, i, array_to_string(w[i : i + 7], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+twice AS (SELECT r, x FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT win.r, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (r, x)) GROUP BY 1),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(t, '[^!]+', '', 'g')) AS BIGINT) AS n_marks,
+  CAST(len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS BIGINT) AS n_letter_words,
+  CAST(len(list_filter(w, lambda x: list_contains(string_split('STOP', ' '), rtrim(lower(x), '.,;:!?')))) AS BIGINT) AS n_stop_words,
+  CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(len(list_filter(l, lambda x: left(ltrim(x, chr(32) || chr(9)), 1) IN ('-', '*', '•'))) AS BIGINT) AS n_bullet_lines,
+  CAST(len(list_filter(l, lambda x: ends_with(rtrim(x, chr(32) || chr(9) || chr(13)), '...') OR ends_with(rtrim(x, chr(32) || chr(9) || chr(13)), '…'))) AS BIGINT) AS n_ellipsis_lines
+  FROM w LEFT JOIN cov USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, concat_ws(',',
+  CASE WHEN n_words < 20 THEN 'few words' END, CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 'repeated windows' END,
+  CASE WHEN 100 * word_chars < 200 * n_words OR 100 * word_chars > 1500 * n_words THEN 'word length' END, CASE WHEN 100 * n_symbols > 20 * n_words THEN 'symbols' END,
+  CASE WHEN 100 * n_marks > 50 * n_words THEN 'shouting' END, CASE WHEN 100 * n_letter_words < 70 * n_words THEN 'letters' END,
+  CASE WHEN 100 * n_stop_words < 3 * n_words THEN 'stop words' END, CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 'repeated lines' END,
+  CASE WHEN 100 * n_bullet_lines > 90 * n_lines THEN 'bullets' END, CASE WHEN 100 * n_ellipsis_lines > 30 * n_lines THEN 'ellipses' END) AS failed FROM c)
+SELECT *, failed = '' AS kept FROM f
+""".replace("STOP", _OP12_STOP)
+
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(x, i, 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1 : a], '') AS pre, array_to_string(u[a + 1 : b], '') AS mid, array_to_string(u[b + 1 :], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -218,8 +273,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_chat_format": op9_chat_format,
         "op10_decontaminate": op10_decontaminate,
+        "op12_quality_rules": op12_quality_rules,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op4_url_filter": _OP4, "op7_exact_topk": _OP7, "op8_ngram_jaccard": _OP8, "op9_chat_format": _OP9, "op10_decontaminate": _OP10}
+    return {"op1_line_dedup": _OP1, "op4_url_filter": _OP4, "op7_exact_topk": _OP7, "op8_ngram_jaccard": _OP8, "op9_chat_format": _OP9, "op10_decontaminate": _OP10, "op12_quality_rules": _OP12, "op13_fill_in_middle": _OP13}
