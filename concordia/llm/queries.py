@@ -103,6 +103,18 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = _table(spark, sf_dir, "embeddings").where(_finite(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return usable.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("v"))
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordia.llm.negatives import hard_negatives
+
+    return hard_negatives(labelled_vectors(spark, sf_dir), F.col("vec_id") % 100 == 0)
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordia.llm import rules
 
@@ -220,6 +232,17 @@ r AS (SELECT DISTINCT a AS doc_id, a AS other FROM l UNION SELECT r.doc_id, l.b
 SELECT doc_id, coalesce((SELECT min(other) FROM r WHERE r.doc_id = d.doc_id), doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links FROM d
 """
 
+_OP11 = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, c.r, c.vec_id, a.label = c.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+      FROM e a JOIN e c ON a.vec_id % 100 = 0 AND a.r <> c.r),
+p AS (SELECT ar, r AS pr, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.ar, p.pr ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY rank <= 5
+"""
+
 _OP12_STOP = (
     "a all an and are as at be been but by for from had has have he her his i if in is it its my no not of on or our she so that the their there they this to was we were what when which who will with you "
     "als am an auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich im in ist mit nach nicht noch oder sein sich sie sind so über um und uns von vor war was wenn wie wir zu zum zur "
@@ -273,10 +296,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_chat_format": op9_chat_format,
         "op10_decontaminate": op10_decontaminate,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_quality_rules": op12_quality_rules,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op4_url_filter": _OP4, "op7_exact_topk": _OP7, "op8_ngram_jaccard": _OP8, "op9_chat_format": _OP9, "op10_decontaminate": _OP10, "op12_quality_rules": _OP12, "op13_fill_in_middle": _OP13}
+    return {"op1_line_dedup": _OP1, "op4_url_filter": _OP4, "op7_exact_topk": _OP7, "op8_ngram_jaccard": _OP8, "op9_chat_format": _OP9, "op10_decontaminate": _OP10, "op11_hard_negatives": _OP11, "op12_quality_rules": _OP12, "op13_fill_in_middle": _OP13}

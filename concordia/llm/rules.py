@@ -90,20 +90,29 @@ def counted(docs: DataFrame, text_col: str = "text", stop_words: dict[str, list[
     rows = _with_repeats(rows)
     inner = lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?"))
     starts = lambda x: F.ltrim(x, F.lit(" \t"))
-    return rows.select(
-        "_row",
-        _number(F.col("_words")).alias("n_words"),
-        (F.length("_text") - _characters(F.col("_text"), " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
-        _characters(F.col("_text"), SYMBOLS).alias("n_symbols"),
-        _characters(F.col("_text"), "!").alias("n_marks"),
-        _number(F.filter("_words", lambda w: w.rlike(r"\p{L}"))).alias("n_letter_words"),
-        _number(F.filter("_words", lambda w: inner(w).isin(common))).alias("n_stop_words"),
-        "n_repeat_words",
-        _number(F.col("_lines")).alias("n_lines"),
-        (_number(F.col("_lines")) - _number(F.array_distinct("_lines"))).alias("n_dup_lines"),
-        _number(F.filter("_lines", lambda x: F.substring(starts(x), 1, 1).isin("-", "*", "•"))).alias("n_bullet_lines"),
-        _number(F.filter("_lines", lambda x: F.rtrim(x, F.lit(" \t\r")).endswith("...") | F.rtrim(x, F.lit(" \t\r")).endswith("…"))).alias("n_ellipsis_lines"),
-    )
+    counts = {
+        "n_words": _number(F.col("_words")),
+        "word_chars": (F.length("_text") - _characters(F.col("_text"), " \t\n\x0b\x0c\r")).cast("long"),
+        "n_symbols": _characters(F.col("_text"), SYMBOLS),
+        "n_marks": _characters(F.col("_text"), "!"),
+        "n_letter_words": _number(F.filter("_words", lambda w: w.rlike(r"\p{L}"))),
+        "n_stop_words": _number(F.filter("_words", lambda w: inner(w).isin(common))),
+        "n_repeat_words": F.col("n_repeat_words"),
+        "n_lines": _number(F.col("_lines")),
+        "n_dup_lines": _number(F.col("_lines")) - _number(F.array_distinct("_lines")),
+        "n_bullet_lines": _number(F.filter("_lines", lambda x: F.substring(starts(x), 1, 1).isin("-", "*", "•"))),
+        "n_ellipsis_lines": _number(F.filter("_lines", lambda x: F.rtrim(x, F.lit(" \t\r")).endswith("...") | F.rtrim(x, F.lit(" \t\r")).endswith("…"))),
+    }
+    return rows.select("_row", *[_settled(counts[c]).alias(c) for c in COUNTS])
+
+
+def _settled(c: Column) -> Column:
+    """The same value, as an expression that a filter on it is not pushed below of.
+
+    Such a filter would take in whole arrays' expressions in the place of their columns, inside functions
+    of each element: the square of a text's length.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
 
 
 def _with_repeats(rows: DataFrame) -> DataFrame:
