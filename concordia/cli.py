@@ -20,7 +20,8 @@ from concordia.plans.load import Loader, create_tables, explained, safe
 from concordia.plans.model import Catalog, Column, ForeignKey, Index, Sequence, Table
 from concordia.sources import config as cfg
 from concordia.sources import tables as sources
-from concordia.sources.store import Refused, Store
+from concordia.sources.log import SourceLog
+from concordia.sources.store import Lease, Refused, Store
 from concordia.streaming import sync
 
 COMMANDS = ("status", "init", "plan", "schema", "load", "sync", "verify", "cutover", "check", "reset", "vacuum")
@@ -44,6 +45,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--tables", nargs="*")
     p.add_argument("--replace", action="store_true")
     p.add_argument("--reset", action="store_true", help="with load: empty the tables first")
+    p.add_argument("--no-changes", action="store_true", help="with load: nothing writes to the source, so no capture has to run")
+    p.add_argument("--once", action="store_true", help="with sync: take what is there and end, without proof that the source is quiet")
     p.add_argument("--max-wait", type=float, default=600)
     try:
         a = p.parse_args(argv)
@@ -99,14 +102,19 @@ def _run(a, c: dict, rules: dict, plan, store: Store) -> int:
     if a.tables:
         plans = [t for t in plans if t.name in a.tables or t.source.full in a.tables]
     source = sources.reader(spark, c["source"], c["jdbc"])
+    mark = cfg.fingerprint(c, rules)
     applier = sync.Applier(store, plan.tables, c["rows_per_bucket"], c["batch_size"])
     target = lambda t: applier.read(t.name)
-    capture = sync.Capture(store, plan.tables)
+    log = SourceLog.folder(spark, c["log"]) if c["log"] else None
+    capture = sync.Capture(store, plan.tables, source=log, fingerprint=mark)
     changes = c["changes"] or f"{c['source']}/changes"
-    log = sync.source_status(spark, c["log"]) if c["log"] else None
-    drain = lambda: sync.drain(lambda: capture.run(changes, f"{store.root}/checkpoint").awaitTermination(), applier, a.max_wait, source=log)
+    captured = lambda: capture.run(changes, f"{store.root}/checkpoint").awaitTermination()
+
+    def drain(writer: Lease) -> bool:
+        capture.writer = applier.writer = writer
+        return sync.drain(captured, applier, a.max_wait, source=log)
+
     if a.command == "init":
-        mark = cfg.fingerprint(c, rules)
         store.commit(lambda s: s.update(job=s.get("job", "PLANNED"), fingerprint=mark))
     elif a.command == "schema":
         create_tables(store, plans, a.replace)
@@ -115,17 +123,24 @@ def _run(a, c: dict, rules: dict, plan, store: Store) -> int:
     elif a.command == "load":
         if a.reset:
             sync.reset(store, [p.name for p in plans])
-        loader = Loader(store, plans, source, c["rows_per_chunk"], c["table_parallelism"], c["chunks_per_table"], c["pause_seconds"])
+        loader = Loader(store, plans, source, c["rows_per_chunk"], c["table_parallelism"], c["chunks_per_table"], c["pause_seconds"], after_start=not a.no_changes, fingerprint=mark)
         return co.FAILED if any(v != "LOADED" for v in loader.run().values()) else co.OK
     elif a.command == "sync":
-        with store.lock("sync"), sync.ticking(applier, c["status_seconds"]):
-            return co.OK if drain() else co.TIMED_OUT
+        with store.lock("sync") as lease:
+            capture.writer = applier.writer = lease
+            with sync.ticking(applier, c["status_seconds"]):
+                if not a.once:
+                    return co.OK if drain(lease) else co.TIMED_OUT
+                captured()
+                while applier.step():
+                    pass
     elif a.command == "verify":
         run = co.verify_run(store, plans, source, target)
         print(json.dumps(run))
         return co.FAILED if run["mismatches"] else co.OK
     elif a.command == "cutover":
-        code, steps = co.Cutover(store, plan.tables, source, target, drain, lambda: sequence_state(store, plan, target)).run()
+        switch = co.Cutover(store, plan.tables, source, target, lambda: drain(switch.writer), lambda: sequence_state(store, plan, target))
+        code, steps = switch.run()
         print(json.dumps(steps, indent=1))
         return code
     elif a.command == "check":

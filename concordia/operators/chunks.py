@@ -98,15 +98,54 @@ def in_range(key: Sequence[str], lower: Sequence | None, upper: Sequence | None)
     return cond
 
 
-def chunk_counts(df: DataFrame, key: str, bounds: DataFrame) -> DataFrame:
+#: Ranges whose starts every task gets as an array (a few megabytes at most); more of them take an as-of lookup.
+MOST_STARTS = 1 << 16
+
+
+def chunk_counts(df: DataFrame, key: str, bounds: DataFrame, most: int = MOST_STARTS) -> DataFrame:
     """Rows in each range of ``bounds`` (a row per chunk; ranges meet end to start): ``(chunk_no, row_count)``; empty ranges count 0.
 
-    A key's range is the one that starts last up to it: an as-of lookup, so no key is compared with every range.
+    A key's range is the one that starts last up to it.  It is found by binary search in the sorted
+    starts, so rows are counted where they are read, and a row for each range and task is shuffled.
     """
     from concordia.operators.views import as_of
 
     kind = df.schema[key].dataType
     starts = bounds.where("lower IS NOT NULL").select(F.col("lower").cast(kind).alias("lsn"), "chunk_no")
+    keys = df.select(key).where(F.col(key).isNotNull())
+    n = starts.count()
+    if n <= most:
+        every = starts.agg(F.sort_array(F.collect_list(F.struct("lsn", "chunk_no"))).alias("_s"))
+        rows = keys.select(F.col(key).alias("k"), F.lit(1).alias("_one")).join(F.broadcast(every.withColumn("_one", F.lit(1))), "_one")  # a row
+        steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, n.bit_length())))])
+        fits = lambda at, step: (at + step <= n) & (F.get("_s", at + step - 1)["lsn"] <= F.col("k"))
+        place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+        found = rows.select(F.get("_s", place - 1)["chunk_no"].alias("chunk_no"))
+    else:
+        found = as_of(keys, starts, key, value="chunk_no")
     first = F.when(F.col("lower").isNull(), F.lit(-1)).otherwise(F.col("chunk_no"))
-    n = as_of(df.select(key).where(F.col(key).isNotNull()), starts, key, value="chunk_no").groupBy(F.coalesce("chunk_no", F.lit(-1)).alias("_of")).agg(F.count("*").alias("row_count"))
-    return bounds.select("chunk_no", first.alias("_of")).join(n, "_of", "left").select("chunk_no", F.coalesce("row_count", F.lit(0)).alias("row_count"))
+    counts = found.groupBy(F.coalesce("chunk_no", F.lit(-1)).alias("_of")).agg(F.count("*").alias("row_count"))
+    return bounds.select("chunk_no", first.alias("_of")).join(counts, "_of", "left").select("chunk_no", F.coalesce("row_count", F.lit(0)).alias("row_count"))
+
+
+def range_sql(key: Sequence[str], kinds: Sequence[str], lower: Sequence[str] | None, upper: Sequence[str] | None, quote: str = '"') -> str:
+    """FIL1 as the text of a condition, for databases: lower <= key < upper in the order of the key's parts; bounds are texts."""
+    names = [f"{quote}{k}{quote}" for k in key]
+
+    def value(text: str, kind: str) -> str:
+        escaped = "'" + text.replace("'", "''") + "'"
+        if kind in ("date",):
+            return f"DATE {escaped}"
+        if kind in ("datetime", "datetime2", "smalldatetime"):
+            return f"TIMESTAMP {escaped}"
+        return text if kind in INTEGERS or kind in ("decimal", "numeric") else escaped
+
+    def beyond(bound: Sequence[str]) -> str:
+        out = ""
+        for c, v, kind in reversed(list(zip(names, bound, kinds, strict=True))):
+            lit = value(v, kind)
+            out = f"({c} > {lit} OR ({c} = {lit} AND {out}))" if out else f"{c} >= {lit}"
+        return out
+
+    parts = ([beyond(lower)] if lower is not None else []) + ([f"NOT {beyond(upper)}" if len(key) > 1 else f"{names[0]} < {value(upper[0], kinds[0])}"] if upper is not None else [])
+    return " AND ".join(parts) or "1 = 1"

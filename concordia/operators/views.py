@@ -18,14 +18,14 @@ def as_of(probes: DataFrame, times: DataFrame, probe: str, at: str = "lsn", valu
     """
     from pyspark.sql import Window as W
 
-    both = times.select(F.col(at).alias("p"), F.struct(F.col(at), F.col(value)).alias("t"), F.lit(0).alias("k"), F.lit(None).cast(probes.schema[probe].dataType).alias(probe))
-    both = both.unionByName(probes.select(F.col(probe).alias("p"), F.lit(None).cast(both.schema["t"].dataType).alias("t"), F.lit(1).alias("k"), F.col(probe)))
-    both = both.repartitionByRange("p").withColumn("_part", F.spark_partition_id())
-    run = W.partitionBy("_part").orderBy("p", "k").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = both.groupBy("_part").agg(F.max("t").alias("m"))
-    edge = edge.withColumn("before", F.max("m").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", "before")  # a row per partition
-    found = both.withColumn("here", F.max("t").over(run)).where("k = 1").join(F.broadcast(edge), "_part")
-    return found.select(probe, F.coalesce("here", "before")[value].alias(value))
+    both = times.select(F.col(at).alias("_p"), F.struct(F.col(at).alias("at"), F.col(value).alias("v")).alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(probes.schema[probe].dataType).alias(probe))
+    both = both.unionByName(probes.select(F.col(probe).alias("_p"), F.lit(None).cast(both.schema["_t"].dataType).alias("_t"), F.lit(1).alias("_k"), F.col(probe)))
+    both = both.repartitionByRange("_p").withColumn("_part", F.spark_partition_id())
+    run = W.partitionBy("_part").orderBy("_p", "_k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    edge = both.groupBy("_part").agg(F.max("_t").alias("_m"))
+    edge = edge.withColumn("_before", F.max("_m").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", "_before")  # a row per partition
+    found = both.withColumn("_here", F.max("_t").over(run)).where("_k = 1").join(F.broadcast(edge), "_part")
+    return found.select(probe, F.coalesce("_here", "_before")["v"].alias(value))
 
 
 def log_status(log_times: DataFrame, scans: DataFrame) -> DataFrame:
@@ -34,6 +34,13 @@ def log_status(log_times: DataFrame, scans: DataFrame) -> DataFrame:
     return last.withColumn("_one", F.lit(1)).join(scans.agg(F.max("ended_at").alias("last_scan_at")).withColumn("_one", F.lit(1)), "_one", "left").select("max_lsn", "max_commit_at", "last_scan_at")
 
 
+def retention(stopped: DataFrame, log_times: DataFrame, stored: str = "stored") -> DataFrame:
+    """STR8: positions where jobs stopped, with the first one that the log still holds, ``low``, and whether each ``goes_on`` from there; an empty log says nothing."""
+    low = log_times.agg(F.min("lsn").alias("low")).withColumn("_one", F.lit(1))
+    rows = stopped.withColumn("_one", F.lit(1)).join(F.broadcast(low), "_one", "left").drop("_one")  # a row
+    return rows.withColumn("goes_on", F.coalesce(F.col(stored) >= F.col("low"), F.lit(True)))
+
+
 def job_progress(jobs: DataFrame, tables: DataFrame, chunks: DataFrame, log: DataFrame) -> DataFrame:
     """JOIN6, JOIN9, AGG7, AGG8: per table its chunks, loaded rows and pending changes."""
     of_chunks = chunks.groupBy("job_table_id").agg(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from concordia.operators import constraints, sequences, verify
 from concordia.plans.load import Loader, chunk_states, safe
 from concordia.plans.model import TablePlan
-from concordia.sources.store import Store, log_event, require
+from concordia.sources.store import Lease, Store, log_event, require
 
 #: WFL9.
 OK, BAD_CONFIG, NO_CONNECTION, BLOCKED, REFUSED, FAILED, TIMED_OUT = range(7)
@@ -19,13 +19,9 @@ RESULT = "run_id long, table_name string, check_kind string, check_target string
 DIFF = "run_id long, table_name string, key string, side string"
 
 
-def specs(plan: TablePlan) -> tuple[verify.TableSpec, verify.TableSpec]:
-    """The same table as its source and its target name the columns."""
-    def spec(name: Callable) -> verify.TableSpec:
-        cols = tuple(verify.ColumnSpec(name(c), c.source.type, c.source.scale, c.rule) for c in plan.load_columns)
-        return verify.TableSpec(plan.name, cols, tuple(name(c) for k in plan.key for c in plan.columns if c.name == k))
-
-    return spec(lambda c: c.name), spec(lambda c: c.name)
+def spec_of(plan: TablePlan) -> verify.TableSpec:
+    """What is compared of a table; source and target are both given under the target's names."""
+    return verify.TableSpec(plan.name, tuple(verify.ColumnSpec(c.name, c.source.type, c.source.scale, c.rule) for c in plan.load_columns), tuple(plan.key))
 
 
 def verify_run(store: Store, plans: list[TablePlan], source: Callable[[TablePlan], DataFrame], target: Callable[[TablePlan], DataFrame], keep_diffs: int = 100) -> dict:
@@ -34,7 +30,7 @@ def verify_run(store: Store, plans: list[TablePlan], source: Callable[[TablePlan
     results, diffs, errors = [], [], {}
     for plan in plans:
         try:
-            spec = specs(plan)[0]
+            spec = spec_of(plan)
             s = source(plan).select(*[F.col(c.source.name).alias(c.name) for c in plan.load_columns])
             t = target(plan).select(*[c.name for c in plan.load_columns])
             rows = verify.checks(s, t, spec).collect()  # a few rows
@@ -65,11 +61,11 @@ class Cutover:
         sequence_state: Callable[[], DataFrame] | None = None,
     ) -> None:
         self.store, self.plans, self.source, self.target, self._drain, self.sequence_state = store, plans, source, target, drain, sequence_state
+        self.writer: Store | Lease = store
 
     def run(self) -> tuple[int, list[dict]]:
-        with self.store.lock("cutover"):
-            require(self.store.manifest(), "cutover")
-            self.store.commit(lambda s: s.update(job="CUTOVER"))
+        with self.store.lock("cutover") as self.writer:
+            self.writer.commit(self._begin)
             steps, code = [], OK
             for name in self.STEPS:
                 self._record(name, "RUNNING")
@@ -83,11 +79,16 @@ class Cutover:
                 if problem:
                     break
             ok = code == OK
-            self.store.commit(lambda s: s.update(job="DONE" if ok else "FAILED", cutover=steps))
+            self.writer.commit(lambda s: s.update(job="DONE" if ok else "FAILED", cutover=steps))
             return code, steps
 
+    @staticmethod
+    def _begin(s: dict) -> None:
+        require(s, "cutover")
+        s["job"] = "CUTOVER"
+
     def _record(self, step: str, status: str) -> None:
-        self.store.commit(lambda s: log_event(s, "INFO", f"cutover {step} {status}"))
+        self.writer.commit(lambda s: log_event(s, "INFO", f"cutover {step} {status}"))
 
     def drain(self) -> tuple[str | None, int]:
         return (None, OK) if self._drain() else ("changes still arrive", TIMED_OUT)
@@ -103,8 +104,8 @@ class Cutover:
                 s["chunks"].pop(p.name.lower(), None)
                 s["tables"][p.name.lower()] = {"status": "PLANNED", "files": None}
 
-        self.store.commit(clear)
-        loader = Loader(self.store, bare, self.source)
+        self.writer.commit(clear)
+        loader = Loader(self.store, bare, self.source, writer=self.writer)
         bad = [p.name for p in bare if loader._table(p) != "LOADED"]
         return (f"not loaded: {', '.join(bad)}", FAILED) if bad else (None, OK)
 
@@ -121,7 +122,7 @@ class Cutover:
         if self.sequence_state is not None:
             t = self.sequence_state()
             chosen = t.select("sequence", sequences.next_value(F.col("last"), F.col("seed"), F.col("increment"), F.col("target_end")).alias("next_value")).collect()  # a row per sequence
-            self.store.commit(lambda s: s.update(sequences={r["sequence"]: {"value": int(r["next_value"]), "is_called": False} for r in chosen}))
+            self.writer.commit(lambda s: s.update(sequences={r["sequence"]: {"value": int(r["next_value"]), "is_called": False} for r in chosen}))
         return None, OK
 
     def foreign_keys(self) -> tuple[str | None, int]:

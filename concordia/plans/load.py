@@ -16,7 +16,7 @@ from concordia.functions.values import TEXT_TYPES, has_nul, sentinel_value, text
 from concordia.operators import chunks as C
 from concordia.plans.model import TablePlan
 from concordia.plans.planner import spark_type
-from concordia.sources.store import Refused, Store, log_event, require
+from concordia.sources.store import Lease, Lost, Refused, Store, log_event, require
 
 
 def safe(message: str) -> str:
@@ -78,48 +78,70 @@ def with_generated(df: DataFrame, plan: TablePlan) -> DataFrame:
     return df.withColumns(own).select(*[c.name for c in plan.columns]) if own else df.select(*[c.name for c in plan.columns])
 
 
-CHUNK = "chunk_no long, status string, rows long, attempt int, error string"
+def same_settings(s: dict, fingerprint: str | None) -> None:
+    """HSH4: a job goes on under the settings and rules that it began with."""
+    if fingerprint and s.get("fingerprint") and s["fingerprint"] != fingerprint:
+        raise Refused("settings or rules differ from those that the job began with: go back to them, or reset and begin again")
+
+
+CHUNK = "chunk_no long, status string, rows long, attempt int, error string, path string, epoch long"
 _PLAN = "chunk_no long, lower array<string>, upper array<string>"
 
 
 def chunk_states(store: Store, table: str, state: dict | None = None) -> DataFrame:
-    """SRT5: a row per planned range: ``(chunk_no, lower, upper, status, rows, attempts, error)``, from a file for each attempt."""
+    """SRT5: a row per planned range: ``(chunk_no, lower, upper, status, rows, attempts, error, path, epoch)``, from a file for each attempt."""
     of = (state or store.manifest())["chunks"].get(table)
     if of is None:
-        return store.spark.createDataFrame([], f"{_PLAN}, status string, rows long, attempts int, error string")
+        return store.spark.createDataFrame([], f"{_PLAN}, status string, rows long, attempts int, error string, path string, epoch long")
     folder = f"{store.root}/chunks/{table}/{of['load']}"
     plan = store.spark.read.schema(_PLAN).json(f"{folder}/plan.json")
     tries = store.spark.read.schema(CHUNK).json(f"{folder}/tries")
-    last = tries.groupBy("chunk_no").agg(F.max_by(F.struct("status", "rows", "error"), "attempt").alias("x"), F.max("attempt").alias("attempts"))
+    last = tries.groupBy("chunk_no").agg(F.max_by(F.struct("status", "rows", "error", "path", "epoch"), F.struct("attempt", "status")).alias("x"), F.max("attempt").alias("attempts"))
     rows = plan.join(last, "chunk_no", "left")
-    return rows.select(*plan.columns, F.coalesce("x.status", F.lit("PENDING")).alias("status"), "x.rows", F.coalesce("attempts", F.lit(0)).alias("attempts"), "x.error")
+    return rows.select(*plan.columns, F.coalesce("x.status", F.lit("PENDING")).alias("status"), "x.rows", F.coalesce("attempts", F.lit(0)).alias("attempts"), "x.error", F.coalesce("x.path", F.format_string(f"data/{table}/{of['load']}/%d", "chunk_no")).alias("path"), "x.epoch")
 
 
 class Loader:
+    """``writer`` is what publishes: the store itself, or the lease of whoever runs the loader.
+
+    With ``after_start`` a load waits for the capture: it is refused until the log's start position is
+    recorded, since changes made during the copy would be missed otherwise.  With ``fingerprint`` it is
+    refused if the job began with other settings.
+    """
+
     def __init__(
-        self, store: Store, plans: list[TablePlan], source: Callable[[TablePlan], DataFrame], rows_per_chunk: int = 1_000_000, tables_at_once: int = 4, chunks_at_once: int = 2, pause: float = 0.0, lease: float = 60.0
-    ) -> None:
-        self.store, self.plans, self.source = store, plans, source
+        self, store: Store, plans: list[TablePlan], source: Callable[[TablePlan], DataFrame], rows_per_chunk: int = 1_000_000, tables_at_once: int = 4, chunks_at_once: int = 2, pause: float = 0.0, lease: float = 60.0,
+        after_start: bool = False, fingerprint: str | None = None, writer: Store | Lease | None = None,
+    ) -> None:
+        self.store, self.plans, self.source, self.writer = store, plans, source, writer or store
         self.rows_per_chunk, self.tables_at_once, self.chunks_at_once = rows_per_chunk, tables_at_once, chunks_at_once
         self.pause, self.lease = pause, lease  # seconds between two ranges of one worker, to spare the source
+        self.after_start, self.fingerprint = after_start, fingerprint
 
     def run(self) -> dict[str, str]:
         """Table to status.  Ranges that are DONE are not copied again, also after a kill; a failed one leaves the others."""
-        with self.store.lock("load", self.lease):
-            require(self.store.manifest(), "load")
-            self._check_registered()
-            self.store.commit(lambda s: s.update(job="LOADING"))
+        with self.store.lock("load", self.lease) as self.writer:
+            self.writer.commit(self._begin)
             with ThreadPoolExecutor(self.tables_at_once) as pool:
                 out = dict(zip([p.name for p in self.plans], pool.map(self._table, self.plans), strict=True))
             failed = any(v != "LOADED" for v in out.values())
-            self.store.commit(lambda s: s.update(job="FAILED" if failed else "SYNCING"))
+            self.writer.commit(lambda s: s.update(job="FAILED" if failed else "SYNCING"))
             return out
 
-    def _check_registered(self) -> None:
+    def _begin(self, s: dict) -> None:
+        """WFL3: all that must hold before the first row is copied, judged in the state that the load's begin replaces."""
+        require(s, "load")
+        same_settings(s, self.fingerprint)
+        if self.after_start and not s.get("start_lsn"):
+            raise Refused("the log's start position is not recorded yet: start the synchronisation first, or load without changes")
+        self._check_registered(s)
+        s["job"] = "LOADING"
+
+    def _check_registered(self, s: dict) -> None:
         """JOIN12: the plan must be the one the job began with."""
-        known, now = self.store.manifest().get("registered"), {p.source.full: f"{p.schema}.{p.name}" for p in self.plans}
+        known, now = s.get("registered"), {p.source.full: f"{p.schema}.{p.name}" for p in self.plans}
         if known is None:
-            self.store.commit(lambda s: s.update(registered=now))
+            s["registered"] = now
         elif any(known.get(k) != v for k, v in now.items()):
             raise Refused("the plan differs from the registered tables")
 
@@ -151,21 +173,24 @@ class Loader:
                 s["chunks"][name] = {"load": load, "n": len(bounds)}
                 s["tables"][name] = {"status": "LOADING", "files": None}
 
-            state = store.commit(plan_chunks)
+            state = self.writer.commit(plan_chunks)
         load = state["chunks"][name]["load"]
         todo = chunk_states(store, name, state).where("status <> 'DONE'").orderBy("chunk_no").collect()  # a short row for each range
         with ThreadPoolExecutor(self.chunks_at_once) as pool:
             list(pool.map(lambda c: self._chunk(plan, df, name, load, c), todo))
         done, n, rows = chunk_states(store, name, state).agg(F.count_if(F.col("status") == "DONE"), F.count("*"), F.sum("rows")).first()
-        files = store.put_files(name, {"-1": [f"data/{name}/{load}/*"]}) if done == n else None
+        paths = [r["path"] for r in chunk_states(store, name, state).orderBy("chunk_no").select("path").collect()] if done == n else []  # a path for each range
+        files = store.put_files(name, {"-1": paths}) if done == n else None
         status = "LOADED" if done == n else "FAILED"
-        store.commit(lambda s: s["tables"].update({name: {"status": status, "files": files, "rows": rows or 0}}))
+        self.writer.commit(lambda s: s["tables"].update({name: {"status": status, "files": files, "rows": rows or 0}}))
         return status
 
     def _chunk(self, plan: TablePlan, df: DataFrame, name: str, load: str, chunk) -> None:
-        """One range in one pass: counted and looked over for refused characters while it is written, seen only once it is moved to its place."""
-        i, rows, error, aside = chunk["chunk_no"], None, None, f"data/{name}/tmp-{uuid.uuid4().hex}"
+        """One range in one pass: counted and looked over for refused characters while it is written, to a folder of its own that counts once its record names it."""
+        attempt = chunk["attempts"] + 1
+        i, rows, error, path = chunk["chunk_no"], None, None, f"data/{name}/{load}/{chunk['chunk_no']}-{attempt}-{uuid.uuid4().hex[:8]}"
         try:
+            self._still_mine()
             kinds = {c.source.name: c.source.type for c in plan.columns}
             key = [c.source.name for k in plan.key for c in plan.columns if c.name == k]
             bound = lambda b: None if b is None else [C.bound_value(v, kinds[k]) for v, k in zip(b, key, strict=True)]
@@ -173,19 +198,25 @@ class Loader:
             seen = Observation()
             strict = [c for c in plan.load_columns if c.source.type in TEXT_TYPES and c.rule.nul_char == "fail"]
             part = part.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(has_nul(F.col(c.source.name))).alias(f"nul_{c.name}") for c in strict])
-            with_generated(converted(part, plan), plan).write.parquet(f"{self.store.root}/{aside}")
+            with_generated(converted(part, plan), plan).write.parquet(f"{self.store.root}/{path}")
             got = seen.get
             rows = got["rows"]
             bad = {c.name: got[f"nul_{c.name}"] for c in strict if got[f"nul_{c.name}"]}
             if bad:  # VAL1: nothing of the range is kept; the count is told, not the value
                 raise ValueError("NUL characters in " + ", ".join(f"{k} ({v} rows)" for k, v in bad.items()))
-            self.store.move(aside, f"data/{name}/{load}/{i}")
+            self._still_mine()
+        except Lost:  # another load may be at the same range: nothing is recorded
+            self.store.drop(path)
+            raise
         except Exception as e:  # a range's failure is its own; the run reports it
             error = safe(e)
-            self.store.drop(aside)
-            self.store.commit(lambda s: log_event(s, "ERROR", f"{name} chunk {i}: {error}"))
-        attempt = chunk["attempts"] + 1
-        record = {"chunk_no": i, "status": "FAILED" if error else "DONE", "rows": None if error else rows, "attempt": attempt, "error": error}
+            self.store.drop(path)
+            self.writer.commit(lambda s: log_event(s, "ERROR", f"{name} chunk {i}: {error}"))
+        record = {"chunk_no": i, "status": "FAILED" if error else "DONE", "rows": None if error else rows, "attempt": attempt, "error": error, "path": None if error else path, "epoch": getattr(self.writer, "epoch", None)}
         self.store._publish_in(f"chunks/{name}/{load}/tries/{i}-{attempt}-{uuid.uuid4().hex[:8]}.json", json.dumps(record))
         if self.pause:
             time.sleep(self.pause)
+
+    def _still_mine(self) -> None:
+        if isinstance(self.writer, Lease):
+            self.writer.check()

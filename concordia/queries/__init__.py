@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:
-    from concordia.queries import catalog, changes, chunks, jobs, sources, state, values, verify
+    from concordia.queries import catalog, changes, chunks, guarantees, jobs, sources, state, values, verify
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (verify, chunks, values, changes, state, catalog, sources, jobs):
+    for module in (verify, chunks, values, changes, state, catalog, sources, jobs, guarantees):
         out |= module.QUERIES
     return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ from concordia.plans.model import Catalog, Column, ForeignKey, Index, Sequence,
 from concordia.queries.base import table
 from concordia.sources import catalog as system
 from concordia.sources import config, envelope
+from concordia.sources.log import SourceLog
 from concordia.sources.store import Store
 from concordia.streaming import sync
 
@@ -59,16 +61,29 @@ def _changes(customer: DataFrame) -> DataFrame:
     raised = customer.where(k % 10 == 0).withColumn("c_acctbal", F.col("c_acctbal") + 1).select("*", F.lit("u").alias("op"), (k + 1).alias("at"))
     gone = customer.where((k % 17 == 0) & (k % 10 != 0)).select("*", F.lit("d").alias("op"), (k + 1).alias("at"))
     new = customer.where(k % 13 == 0).withColumn("c_custkey", k + _SHIFT).select("*", F.lit("c").alias("op"), F.col("c_custkey").alias("at"))
+    return enveloped(raised.unionByName(gone).unionByName(new), names_)
+
+
+def enveloped(rows: DataFrame, names_: tuple[str, ...]) -> DataFrame:
+    """Customers with an operation and a number ``at`` as envelopes."""
     text = lambda c: F.col(c).cast("string")
     at = lsn.of_number(F.col("at"))
     key = F.create_map(F.lit("c_custkey"), text("c_custkey"))
     after = F.create_map(*[x for n in names_ for x in (F.lit(n), text(n))])
-    return raised.unionByName(gone).unionByName(new).select(
+    return rows.select(
         F.lit("CHANGE").alias("kind"), at.alias("stream_lsn"), F.lit("dbo").alias("schema"), F.lit("customer").alias("table"), "op", at.alias("commit_lsn"), at.alias("change_lsn"), F.lit(1).alias("event_serial_no"),
         F.lit("2026-01-01T00:00:00").alias("commit_at"), F.when(F.col("op") != "c", key).alias("before"), F.when(F.col("op") != "d", after).alias("after"),
     )
 
 
+def _write_source_log(changes: DataFrame, folder: str) -> None:
+    """What the source says of its log: every commit, a clock, and a scan that began after the clock's time."""
+    changes.select(F.col("commit_lsn").alias("lsn"), F.col("commit_at")).write.parquet(f"{folder}/log_times")
+    spark = changes.sparkSession
+    spark.createDataFrame([("2026-01-01 00:01:00", "2026-01-01 00:01:01"), ("2026-01-01 00:03:00", "2026-01-01 00:03:01")], "started_at string, ended_at string").write.parquet(f"{folder}/log_scans")
+    spark.createDataFrame([("2026-01-01 00:02:00",)], "now string").write.parquet(f"{folder}/log_clock")
+
+
 def _after_changes(customer: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
     kept = customer.where((k % 17 != 0) | (k % 10 == 0)).withColumn("c_acctbal", F.when(k % 10 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).cast("decimal(19,4)"))
@@ -84,6 +99,20 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/concordia-job-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch_store(spark: SparkSession, status: str | None = "SCHEMA_DONE"):
+    """A new job's state, deleted at the end; so the results that leave it are rows, not plans."""
+    folder = _folder(spark)
+    store = Store(spark, f"{folder}/state")
+    if status:
+        store.commit(lambda s: s.update(job=status))
+    try:
+        yield store
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def job(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     known = (spark.sparkContext.applicationId, sf_dir)
     if known in _jobs:
@@ -96,18 +125,21 @@ def job(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     applier = sync.Applier(store, plan.tables)
     target = lambda t: applier.read(t.name)
     loaded = store.manifest()
+    _write_source_log(_changes(customer), f"{root}/log")
+    log = SourceLog.folder(spark, f"{root}/log")
     first = co.verify_run(store, plan.tables, source, target)
     _changes(customer).write.json(f"{root}/changes")
-    capture = sync.Capture(store, plan.tables)
+    capture = sync.Capture(store, plan.tables, source=log)
     run = lambda: capture.run(f"{root}/changes", f"{root}/checkpoint").awaitTermination()
-    run()
-    captured = store.manifest()
-    drained = sync.drain(run, applier, 600, 0)
+    with sync.ticking(applier, 3600):
+        run()
+        captured = store.manifest()
+        drained = sync.drain(run, applier, 600, 0, log)
     second = co.verify_run(store, plan.tables, source, target)
     status = applier.status()
     now = lambda t: _after_changes(customer) if t.source.name == "customer" else source(t)
     code, steps = co.Cutover(store, plan.tables, now, target, lambda: True).run()
-    _jobs[known] = SimpleNamespace(root=root, store=store, plan=plan, applier=applier, target=target, loaded=loaded, captured=captured, drained=drained, runs=(first, second), status=status, code=code, steps=steps, changes=f"{root}/changes")
+    _jobs[known] = SimpleNamespace(root=root, store=store, plan=plan, applier=applier, target=target, loaded=loaded, captured=captured, drained=drained, runs=(first, second), status=status, code=code, steps=steps, changes=f"{root}/changes", log=log)
     return _jobs[known]
 
 
@@ -135,13 +167,16 @@ def _one_row(spark, names_: str, *values) -> DataFrame:
 
 
 def _positions(spark, sf_dir):
-    s = job(spark, sf_dir).store.manifest()
-    return _one_row(spark, "start_lsn string, stream_lsn string, applied_lsn string, drained boolean, left_in_log long", s["start_lsn"], s["stream_lsn"], s["positions"]["customer"][0], job(spark, sf_dir).drained, len(s["log"]))
+    j = job(spark, sf_dir)
+    s, seen = j.store.manifest(), j.log.snapshot()
+    names_ = "start_lsn string, stream_lsn string, applied_lsn string, drained boolean, left_in_log long, source_lsn string, source_at string, log_from string"
+    return _one_row(spark, names_, s["start_lsn"], s["stream_lsn"], s["positions"]["customer"][0], j.drained, len(s["log"]), seen.max_lsn, seen.max_commit_at, j.log.oldest())
 
 
 def _status(spark, sf_dir):
-    s = job(spark, sf_dir).status
-    return _one_row(spark, "pending long, waiting_for_load long, captured long, applied long", s["pending"], s["waiting_for_load"], s["captured"], s["applied"])
+    s, mark = job(spark, sf_dir).status, job(spark, sf_dir).store.manifest()["watermark"]
+    names_ = "pending long, waiting_for_load long, captured long, applied long, marked_pending long, marked_applied long, marked_lsn string, src_max_at string"
+    return _one_row(spark, names_, s["pending"], s["waiting_for_load"], s["captured"], s["applied"], mark["pending"], mark["applied"], mark["stream_lsn"], mark["src_max_at"])
 
 
 def _results(spark, sf_dir):
@@ -185,11 +220,11 @@ def _refused(spark, sf_dir):
     source = _source(spark, sf_dir)
     bad = lambda t: source(t).withColumn("c_name", F.when(F.col("c_custkey") % 50 == 0, F.concat("c_name", F.lit("\x00"))).otherwise(F.col("c_name")))
     plan = planner.plan(CATALOG, R.load(RULES), include=["dbo.customer"])
-    store = Store(spark, f"{_folder(spark)}/state")
-    store.commit(lambda s: s.update(job="SCHEMA_DONE"))
-    n = source(plan.tables[0]).count()
-    Loader(store, plan.tables, bad, rows_per_chunk=max(1, -(-n // 4)), chunks_at_once=4).run()
-    return chunk_states(store, "customer").select("chunk_no", "status", "error")
+    with scratch_store(spark) as store:
+        n = source(plan.tables[0]).count()
+        Loader(store, plan.tables, bad, rows_per_chunk=max(1, -(-n // 4)), chunks_at_once=4).run()
+        found = [(r["chunk_no"], r["status"], r["error"]) for r in chunk_states(store, "customer").collect()]  # four ranges
+    return spark.createDataFrame(found, "chunk_no long, status string, error string")
 
 
 def _assembled(spark, sf_dir):
@@ -258,14 +293,14 @@ def _claimed(spark, sf_dir):
 def _created(spark, sf_dir):
     """SNK4, SNK6, MUT8: registered tables of a new state, and what a reset leaves of a loaded one."""
     plan, source = planner.plan(CATALOG, R.load(RULES), include=["dbo.nation"]), _source(spark, sf_dir)
-    store = Store(spark, f"{_folder(spark)}/state")
-    rows = [("created", n, store.manifest()["tables"]) for n in create_tables(store, plan.tables)]
-    rows = [(what, n, store.manifest()["tables"][n]["status"], 0) for what, n, _ in rows]
-    Loader(store, plan.tables, source).run()
-    applier = sync.Applier(store, plan.tables)
-    rows += [("loaded", n, s["status"], applier.read(n).count()) for n, s in store.manifest()["tables"].items()]
-    sync.reset(store)
-    rows += [("reset", n, s["status"], applier.read(n).count()) for n, s in store.manifest()["tables"].items()]
+    with scratch_store(spark, None) as store:
+        rows = [("created", n, store.manifest()["tables"]) for n in create_tables(store, plan.tables)]
+        rows = [(what, n, store.manifest()["tables"][n]["status"], 0) for what, n, _ in rows]
+        Loader(store, plan.tables, source).run()
+        applier = sync.Applier(store, plan.tables)
+        rows += [("loaded", n, s["status"], applier.read(n).count()) for n, s in store.manifest()["tables"].items()]
+        sync.reset(store)
+        rows += [("reset", n, s["status"], applier.read(n).count()) for n, s in store.manifest()["tables"].items()]
     return spark.createDataFrame(rows, "step string, table_name string, status string, rows long")
 
 
@@ -293,8 +328,8 @@ QUERIES = {
         f"SELECT op, 'dbo.customer' AS table_name, count(*) AS n, min(lsn) AS first, max(lsn) AS last FROM {_EVENTS} GROUP BY op",
     ),
     "snk3_applied_customer": (_applied, f"SELECT c_custkey, c_name, b::VARCHAR AS c_acctbal, c_tag FROM {_TARGET}"),
-    "str5_positions": (_positions, f"SELECT min(lsn) AS start_lsn, max(lsn) AS stream_lsn, max(lsn) AS applied_lsn, true AS drained, 0::BIGINT AS left_in_log FROM {_EVENTS}"),
-    "str4_status": (_status, f"SELECT 0::BIGINT AS pending, 0::BIGINT AS waiting_for_load, count(*) AS captured, count(*) AS applied FROM {_EVENTS}"),
+    "str5_positions": (_positions, f"SELECT min(lsn) AS start_lsn, max(lsn) AS stream_lsn, max(lsn) AS applied_lsn, true AS drained, 0::BIGINT AS left_in_log, max(lsn) AS source_lsn, '2026-01-01 00:00:00.000000' AS source_at, min(lsn) AS log_from FROM {_EVENTS}"),
+    "str4_status": (_status, f"SELECT 0::BIGINT AS pending, 0::BIGINT AS waiting_for_load, count(*) AS captured, count(*) AS applied, 0::BIGINT AS marked_pending, count(*) AS marked_applied, max(lsn) AS marked_lsn, '2026-01-01 00:00:00' AS src_max_at FROM {_EVENTS}"),
     "snk7_verify_results": (
         _results,
         f"""WITH t AS (SELECT 1 AS run_id, 'customer' AS table_name, count(*) AS sn, count(*) AS tn, sum(c_custkey) AS ss, sum(c_custkey) AS ts FROM customer

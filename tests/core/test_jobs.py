@@ -18,6 +18,7 @@ from concordia.plans.load import Loader, chunk_states, create_tables, explained,
 from concordia.plans.model import Catalog, Table
 from concordia.sources import config as cfg
 from concordia.sources import tables as sources
+from concordia.sources.log import Snapshot, SourceLog
 from concordia.sources.store import Refused, Store
 from concordia.streaming import sync
 from tests.core import harbor
@@ -229,19 +230,20 @@ def test_the_source_log_proves_the_end(job):
     Loader(store, plan.tables, source).run()
     applier, capture = sync.Applier(store, plan.tables), sync.Capture(store, plan.tables)
     at = "0000000a:00000000:0001"
-    spark.createDataFrame([(at, "2026-01-01")], "lsn string, commit_at string").write.parquet(f"{tmp}/log/log_times")
-    spark.createDataFrame([("2026-01-01 00:00:01",)], "ended_at string").write.parquet(f"{tmp}/log/log_scans")
     (tmp / "changes").mkdir()
     run = lambda: capture.run(str(tmp / "changes"), f"{tmp}/checkpoint").awaitTermination()
-    status = sync.source_status(spark, f"{tmp}/log")
-    assert status() == (at, "2026-01-01 00:00:01")
-    assert not sync.drain(run, applier, 1.0, 0.1, status)  # no scan has ended since
-    scans = iter([(at, "1"), (at, "2")])
-    last = lambda: next(scans, (at, "2"))
-    assert not sync.drain(run, applier, 1.0, 0.1, last)  # the position isn't captured
+    tables = lambda **t: [spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp}/log/{n}") for n, (rows, schema) in t.items()]
+    scans = "started_at string, ended_at string"
+    tables(log_times=([(at, "2026-01-01 00:00:00")], "lsn string, commit_at string"), log_scans=([("2026-01-01 00:00:01", "2026-01-01 00:00:02")], scans), log_clock=([("2026-01-01 00:00:05",)], "now string"))
+    log = SourceLog.folder(spark, f"{tmp}/log")
+    assert log.snapshot() == Snapshot("2026-01-01 00:00:05.000000", at, "2026-01-01 00:00:00.000000") and log.oldest() == at
+    assert not sync.drain(run, applier, 1.0, 0.1, log)  # the position isn't captured
     envelopes(tmp / "changes", "1.json", [(10, "d", {"Id": "5"}, None)])
-    scans = iter([(at, "1"), (at, "2")])
-    assert sync.drain(run, applier, 60, 0.1, last) and store.manifest()["applied"] == 1
+    assert not sync.drain(run, applier, 3.0, 0.1, log) and store.manifest()["applied"] == 1  # applied, but no scan has started since
+    tables(log_scans=([("2026-01-01 00:00:06", None)], scans))
+    assert not sync.drain(run, applier, 2.0, 0.1, log)  # one has, and runs on
+    tables(log_scans=([("2026-01-01 00:00:06", "2026-01-01 00:00:07")], scans))
+    assert sync.drain(run, applier, 60, 0.1, log)
     with sync.ticking(applier, 30):
         pass
     assert store.manifest()["watermark"]["pending"] == 0 and store.manifest()["watermark"]["stream_lsn"] == at
@@ -303,7 +305,9 @@ def test_command_line(job, tmp_path, capsys):
     c.write_text(json.dumps({"source": f"{tmp}/src", "state": f"{tmp}/cli", "job": "j", "rules": f"{tmp}/rules.json"}))
     run = lambda *a: cli.main([*a, "--config", str(c), "--out", f"{tmp}/out"])
     assert run("plan") == co.OK and (tmp / "out" / "plan.txt").exists()
-    assert run("load") == co.REFUSED and run("init") == co.OK and run("load") == co.REFUSED and run("schema") == co.OK and run("load") == co.OK and run("schema") == co.REFUSED
+    assert run("load") == co.REFUSED and run("init") == co.OK and run("load") == co.REFUSED and run("schema") == co.OK
+    assert run("load") == co.REFUSED  # no capture has recorded where the log starts
+    assert run("load", "--no-changes") == co.OK and run("schema") == co.REFUSED
     (tmp / "src" / "changes").mkdir()
     assert run("sync") == co.OK and run("verify") == co.OK and run("cutover") == co.OK and run("check") == co.OK and run("status") == co.OK
     assert run("vacuum") == co.OK and run("load") == co.REFUSED and cli.main(["nonsense"]) == co.BAD_CONFIG and cli.main(["plan", "--config", f"{tmp}/none.json"]) == co.BAD_CONFIG
