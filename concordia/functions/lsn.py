@@ -47,14 +47,15 @@ def with_staleness(lag: Column, last_scan: Column, now: Column) -> Column:
 def decode(value: Column, kind: str) -> Column:
     """MSC3: a payload's text to a value. Epochs may be before 1970, so nanoseconds are floored."""
     n = value.cast("bigint")
+    micros_of = lambda x: F.call_function("div", x + 500 - F.pmod(x + 500, F.lit(1000)), F.lit(1000))  # noqa: E731 - in whole numbers: a double can't hold them
     ntz = lambda micros: F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     clock = lambda micros: F.date_format(ntz(micros), "HH:mm:ss.SSSSSS")
     if kind in ("bytes", "binary"):
         return F.unbase64(value)
     table = {
         "date": lambda: F.date_add(F.lit("1970-01-01").cast("date"), n.cast("int")),
-        "timestamp_millis": lambda: ntz(n * 1000), "timestamp_micros": lambda: ntz(n), "timestamp_nanos": lambda: ntz(F.floor((n + 500) / 1000).cast("bigint")),
-        "time_millis": lambda: clock(n * 1000), "time_micros": lambda: clock(n), "time_nanos": lambda: clock(F.floor((n + 500) / 1000).cast("bigint")),
+        "timestamp_millis": lambda: ntz(n * 1000), "timestamp_micros": lambda: ntz(n), "timestamp_nanos": lambda: ntz(micros_of(n)),
+        "time_millis": lambda: clock(n * 1000), "time_micros": lambda: clock(n), "time_nanos": lambda: clock(micros_of(n)),
         "long": lambda: n, "boolean": lambda: value.cast("boolean"), "string": lambda: value,
     }
     return table[kind]()

@@ -1,71 +1,146 @@
-"""Catalog tables."""
+"""Catalog operators over catalogs that Spark derives from the given tables.
+
+Orders and their lines, parts and customers stand for a source's system tables: an order for an
+index, a foreign key or a column of its customer's table, its lines for their columns, a part for
+a table or a column with type and collation.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from concordia.operators import catalog as c
-from concordia.queries.base import rows, rows_sql, table
+from concordia.queries.base import table
+
+_at = lambda n: F.lpad(F.lower(F.hex(n)), 8, "0")
+
+
+def _indexes(spark, sf_dir):
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    index = orders.select(F.col("o_orderkey").alias("object_id"), F.lit(1).alias("index_id"), F.concat(F.lit("ix_"), "o_orderkey").alias("name"), F.when(F.col("o_orderstatus") == "F", "PRIMARY").otherwise("INDEX").alias("kind"))
+    of = lines.select(
+        F.col("l_orderkey").alias("object_id"), F.lit(1).alias("index_id"), F.when(F.col("l_returnflag") == "N", 0).otherwise(F.col("l_linenumber")).alias("key_ordinal"), F.col("l_linenumber").alias("ordinal"),
+        F.concat(F.lit("p"), F.lpad("l_partkey", 9, "0")).alias("column"), (F.col("l_returnflag") == "R").alias("descending"),
+    )
+    return c.indexes(index, of)
+
+
+def _columns(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    key = [F.col("o_custkey").alias("object_id"), F.col("o_orderkey").alias("column_id")]
+    level = F.substr("o_orderpriority", F.lit(1), F.lit(1))
+    cols = o.select(*key, F.concat(F.lit("c"), "o_orderkey").alias("name"), F.col("o_orderstatus").alias("type_id"))
+    types = o.select(F.col("o_orderstatus").alias("type_id")).distinct().withColumn("type", F.concat(F.lit("type_"), F.lower("type_id")))
+    identity = o.where(level == "1").select(*key, F.col("o_custkey").alias("seed"))
+    computed = o.where(level.isin("1", "2")).select(*key, F.concat(F.lit("("), "o_orderkey", F.lit(")")).alias("formula"))
+    default = o.where(level == "5").select(*key, F.col("o_orderpriority").alias("definition"))
+    return c.columns(cols, types, identity, computed, default).select("object_id", "column_id", "name", "type", "seed", "formula", "definition")
+
+
+def _foreign_keys(spark, sf_dir):
+    fk = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fk_id"), F.concat(F.lit("fk_"), "o_orderkey").alias("name"), F.col("o_custkey").alias("child"), F.col("o_orderstatus").alias("parent"))
+    of = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fk_id"), F.col("l_linenumber").alias("ordinal"), F.concat(F.lit("a"), F.lpad("l_partkey", 9, "0")).alias("column"), F.concat(F.lit("b"), F.lpad("l_suppkey", 9, "0")).alias("ref_column"))
+    return c.foreign_keys(fk, of)
+
+
+def _part_columns(spark, sf_dir):
+    """Parts as columns of a table: type, collation and code page by size."""
+    size = F.col("p_size")
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("varchar", "nvarchar", "char", "int", "text")]), size % 5 + 1)
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"), kind.alias("type"), F.when(size % 2 == 0, "Latin1_General_CI_AS").otherwise("Latin1_General_CS_AS").alias("collation"),
+        F.when(size % 3 == 0, 949).when(size % 3 == 1, 65001).alias("code_page"), (size > 25).alias("generated"),
+    )
+
+
+_PART_SQL = """(SELECT p_partkey AS ordinal, p_name AS name, ['varchar', 'nvarchar', 'char', 'int', 'text'][p_size % 5 + 1] AS type, CASE WHEN p_size % 2 = 0 THEN 'Latin1_General_CI_AS' ELSE 'Latin1_General_CS_AS' END AS coll,
+ CASE p_size % 3 WHEN 0 THEN 949 WHEN 1 THEN 65001 END AS code_page, p_size > 25 AS generated FROM part)"""
+
 
-_INDEX = "(1, 1, 'pk_a', 'PRIMARY'), (1, 2, 'ix_a', 'INDEX'), (2, 1, 'pk_b', 'PRIMARY'), (3, 1, 'pk_c', 'PRIMARY')"
-_INDEX_COLUMNS = "(1, 1, 1, 1, 'id', false), (1, 2, 2, 2, 'b', true), (1, 2, 1, 1, 'a', false), (1, 2, 0, 4, 'z', false), (1, 2, 0, 3, 'y', false), (2, 1, 1, 1, 'k', true)"
-_IC = "object_id, index_id, key_ordinal, ordinal, column, descending"
-_COLS = "('t', 1, 'id', 'int', NULL, NULL, false), ('t', 2, 'nm', 'varchar', 'Latin1_General_CI_AS', 949, false), ('t', 3, 'nt', 'nvarchar', 'Latin1_General_CS_AS', 949, false), ('t', 4, 'x', 'varchar', 'Latin1_General_CI_AI', 65001, false), ('t', 5, 'g', 'int', NULL, NULL, true)"
-_COL_NAMES = "tab, ordinal, name, type, collation, code_page, generated"
-_COL_SQL = _COL_NAMES.replace("collation", '"collation"')
-_FK = "(1, 'fk_a', 10, 20), (2, 'fk_b', 10, 30)"
-_FKC = "(1, 2, 'b', 'rb'), (1, 1, 'a', 'ra'), (2, 1, 'c', 'rc')"
-_NAMES = "('dbo.berth'), ('dbo.Berth_hist'), ('dbo.vessel'), ('hr.staff'), ('dbo.a.b')"
-_PART = "(1, 0, 10), (1, 2, 99), (2, 1, 5), (2, 1, 7)"
+def _names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("dbo."), F.replace("p_name", F.lit(" "), F.lit("_")), "p_partkey").alias("name"))
 
 
-def _all_columns(spark, sf_dir):
-    cols = rows(spark, "object_id, column_id, name, type_id", "(1, 1, 'id', 56), (1, 2, 'nm', 167), (2, 1, 'k', 56)")
-    types = rows(spark, "type_id, type", "(56, 'int'), (167, 'varchar')")
-    ident = rows(spark, "object_id, column_id, seed", "(1, 1, 100)")
-    comp = rows(spark, "object_id, column_id, formula", "(2, 1, '(1)')")
-    dflt = rows(spark, "object_id, column_id, definition", "(1, 2, 'x')")
-    return c.columns(cols, types, ident, comp, dflt).select("object_id", "column_id", "name", "type", "seed", "formula", "definition")
+_NAMES_SQL = "(SELECT 'dbo.' || replace(p_name, ' ', '_') || p_partkey AS name FROM part)"
+
+
+def _mismatched(spark, sf_dir):
+    k, t = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    planned = t.where(k % 7 != 0).select(F.col("c_name").alias("src"), F.col("c_mktsegment").alias("tgt"))
+    registered = t.where(k % 11 != 0).select(F.col("c_name").alias("src"), F.when(k % 5 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("tgt"))
+    return c.mismatched_tables(planned, registered)
+
+
+def _captured(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return c.captured_tables(o.select(F.lower("o_orderstatus").alias("schema"), F.concat(F.lit("c"), "o_custkey").alias("table"), F.concat(F.lit("i"), "o_orderkey").alias("instance"), _at(F.col("o_orderkey")).alias("start_lsn")))
+
+
+def _not_captured(spark, sf_dir):
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    covered = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.upper("c_name").alias("name"))
+    return c.not_captured(customer.select(F.col("c_name").alias("name")), covered)
+
+
+def _blocking(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    objects = o.select(F.when(F.col("o_orderpriority") < "3", "trigger").otherwise("foreign key").alias("kind"), F.concat(F.lit("DBO.C"), "o_custkey").alias("table_name"), F.concat(F.lit("o"), "o_orderkey").alias("name"), (F.col("o_orderstatus") == "F").alias("enabled"))
+    return c.blocking_objects(objects, table(spark, sf_dir, "customer").where("c_nationkey < 12").select(F.concat(F.lit("dbo.c"), "c_custkey").alias("tgt")))
 
 
 QUERIES = {
     "src3_indexes": (
-        lambda s, d: c.indexes(rows(s, "object_id, index_id, name, kind", _INDEX), rows(s, _IC, _INDEX_COLUMNS)),
-        f"""SELECT i.object_id, i.index_id, i.name, i.kind, string_agg(x."column" || CASE WHEN descending THEN ' DESC' ELSE '' END, ',' ORDER BY key_ordinal) FILTER (key_ordinal > 0) AS keys,
-        CASE WHEN count(x.ordinal) > 0 THEN coalesce(string_agg(x."column", ',' ORDER BY ordinal) FILTER (key_ordinal = 0), '') END AS includes
-        FROM {rows_sql("object_id, index_id, name, kind", _INDEX)} i LEFT JOIN {rows_sql(_IC.replace("column", '"column"'), _INDEX_COLUMNS)} x ON i.object_id = x.object_id AND i.index_id = x.index_id GROUP BY ALL""",
+        _indexes,
+        """SELECT o_orderkey AS object_id, 1 AS index_id, 'ix_' || o_orderkey AS name, CASE WHEN o_orderstatus = 'F' THEN 'PRIMARY' ELSE 'INDEX' END AS kind,
+        CASE WHEN count(l_orderkey) > 0 THEN coalesce(string_agg(p || CASE WHEN l_returnflag = 'R' THEN ' DESC' ELSE '' END, ',' ORDER BY l_linenumber, p, l_returnflag = 'R') FILTER (l_returnflag <> 'N'), '') END AS keys,
+        CASE WHEN count(l_orderkey) > 0 THEN coalesce(string_agg(p, ',' ORDER BY l_linenumber, p) FILTER (l_returnflag = 'N'), '') END AS includes
+        FROM orders LEFT JOIN (SELECT *, 'p' || lpad(l_partkey::VARCHAR, 9, '0') AS p FROM lineitem) ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus""",
+    ),
+    "src2_columns": (
+        _columns,
+        """SELECT o_custkey AS object_id, o_orderkey AS column_id, 'c' || o_orderkey AS name, 'type_' || lower(o_orderstatus) AS type, CASE WHEN o_orderpriority[1] = '1' THEN o_custkey END AS seed,
+        CASE WHEN o_orderpriority[1] IN ('1', '2') THEN '(' || o_orderkey || ')' END AS formula, CASE WHEN o_orderpriority[1] = '5' THEN o_orderpriority END AS definition FROM orders""",
     ),
-    "src2_columns": (_all_columns, "SELECT * FROM (VALUES (1, 1, 'id', 'int', 100, NULL, NULL), (1, 2, 'nm', 'varchar', NULL, NULL, 'x'), (2, 1, 'k', 'int', NULL, '(1)', NULL)) AS t(object_id, column_id, name, type, seed, formula, definition)"),
     "src4_foreign_keys": (
-        lambda s, d: c.foreign_keys(rows(s, "fk_id, name, child, parent", _FK), rows(s, "fk_id, ordinal, column, ref_column", _FKC)),
-        f"""SELECT f.fk_id, name, child, parent, string_agg(col, ',' ORDER BY ordinal) AS columns, string_agg(ref_column, ',' ORDER BY ordinal) AS ref_columns
-        FROM {rows_sql("fk_id, name, child, parent", _FK)} f JOIN {rows_sql("fk_id, ordinal, col, ref_column", _FKC)} x ON f.fk_id = x.fk_id GROUP BY ALL""",
+        _foreign_keys,
+        """SELECT o_orderkey AS fk_id, 'fk_' || o_orderkey AS name, o_custkey AS child, o_orderstatus AS parent, string_agg(a, ',' ORDER BY l_linenumber, a, b) AS columns, string_agg(b, ',' ORDER BY l_linenumber, a, b) AS ref_columns
+        FROM orders JOIN (SELECT *, 'a' || lpad(l_partkey::VARCHAR, 9, '0') AS a, 'b' || lpad(l_suppkey::VARCHAR, 9, '0') AS b FROM lineitem) ON o_orderkey = l_orderkey GROUP BY ALL""",
     ),
     "src5_other_objects": (
-        lambda s, d: c.other_objects(rows(s, "type, name", "('VIEW', 'v2'), ('VIEW', 'v1'), ('PROCEDURE', 'p')"), rows(s, "name", "('tt')")),
-        "SELECT * FROM (VALUES ('VIEW', 2::BIGINT, 'v1,v2'), ('PROCEDURE', 1, 'p'), ('TABLE_TYPE', 1, 'tt')) AS t(type, n, names)",
+        lambda s, d: c.other_objects(table(s, d, "part").select(F.col("p_type").alias("type"), F.concat("p_name", F.lit(" "), "p_partkey").alias("name")), table(s, d, "supplier").select(F.col("s_name").alias("name"))),
+        """SELECT type, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT p_type AS type, p_name || ' ' || p_partkey AS name FROM part UNION ALL SELECT 'TABLE_TYPE', s_name FROM supplier) GROUP BY type""",
     ),
     "agg11_row_estimates": (
-        lambda s, d: c.row_estimates(rows(s, "object_id, name", "(1, 'a'), (2, 'b'), (3, 'c')"), rows(s, "object_id, index_id, rows", _PART)),
-        "SELECT * FROM (VALUES (1, 'a', 10::BIGINT), (2, 'b', 12), (3, 'c', NULL)) AS t(object_id, name, rows_estimate)",
+        lambda s, d: c.row_estimates(
+            table(s, d, "part").select(F.col("p_partkey").alias("object_id"), F.col("p_name").alias("name")),
+            table(s, d, "lineitem").select(F.col("l_partkey").alias("object_id"), (F.col("l_linenumber") - 1).alias("index_id"), F.col("l_quantity").cast("bigint").alias("rows")),
+        ),
+        """SELECT p_partkey AS object_id, p_name AS name, (SELECT sum(l_quantity::BIGINT)::BIGINT FROM lineitem WHERE l_partkey = p_partkey AND l_linenumber IN (1, 2)) AS rows_estimate FROM part""",
     ),
     "agg13_behaviour_notes": (
-        lambda s, d: c.behaviour_notes(rows(s, _COL_NAMES, _COLS)),
-        f"""SELECT count(*) FILTER (contains("collation", '_CI_')) AS case_insensitive, count(*) FILTER (type IN ('varchar', 'nvarchar')) AS trailing_space_kept,
-        count(*) FILTER (type IN ('char', 'varchar', 'text') AND coalesce(code_page, 65001) <> 65001) AS other_code_page, count(*) FILTER (type IN ('varchar', 'nvarchar')) AS text_columns FROM {rows_sql(_COL_SQL, _COLS)}""",
+        lambda s, d: c.behaviour_notes(_part_columns(s, d)),
+        f"""SELECT count(*) FILTER (contains(coll, '_CI_')) AS case_insensitive, count(*) FILTER (type IN ('varchar', 'nvarchar')) AS trailing_space_kept,
+        count(*) FILTER (type IN ('char', 'varchar', 'text') AND coalesce(code_page, 65001) <> 65001) AS other_code_page, count(*) FILTER (type <> 'int') AS text_columns FROM {_PART_SQL}""",
     ),
-    "prj1_load_columns": (lambda s, d: c.load_columns(rows(s, _COL_NAMES, _COLS)).select("ordinal", "name"), f"SELECT ordinal, name FROM {rows_sql(_COL_SQL, _COLS)} WHERE NOT generated"),
+    "prj1_load_columns": (lambda s, d: c.load_columns(_part_columns(s, d)).select("ordinal", "name"), f"SELECT ordinal, name FROM {_PART_SQL} WHERE NOT generated"),
     "prj2_renamed_nation": (lambda s, d: c.renamed(table(s, d, "nation").withColumnRenamed("n_name", "N_Name"), {"n_regionkey": "region"}), "SELECT n_nationkey, n_name, n_regionkey AS region FROM nation"),
     "fil2_table_selection": (
-        lambda s, d: rows(s, "name", _NAMES).select("name", c.selected(F.col("name"), ["dbo.berth*", "DBO.VESSE?", "dbo.a?b"], ["*_hist"]).alias("chosen")),
-        f"SELECT name, (regexp_full_match(lower(name), 'dbo\\.berth.*|dbo\\.vesse.|dbo\\.a.b') AND NOT regexp_full_match(lower(name), '.*_hist')) AS chosen FROM {rows_sql('name', _NAMES)}",
-    ),
-    "set4_not_captured": (
-        lambda s, d: c.not_captured(rows(s, "name", _NAMES), rows(s, "name", "('DBO.BERTH'), ('hr.staff')")),
-        f"SELECT name FROM {rows_sql('name', _NAMES)} WHERE lower(name) NOT IN ('dbo.berth', 'hr.staff')",
+        lambda s, d: _names(s, d).select("name", c.selected(F.col("name"), ["dbo.cold*", "DBO.SMAL?_*", "dbo.*7?"], ["*9"]).alias("chosen")),
+        f"SELECT name, (regexp_full_match(lower(name), 'dbo\\.cold.*|dbo\\.smal._.*|dbo\\..*7.') AND NOT regexp_full_match(lower(name), '.*9')) AS chosen FROM {_NAMES_SQL}",
     ),
+    "set4_not_captured": (_not_captured, "SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"),
     "join12_mismatched_tables": (
-        lambda s, d: c.mismatched_tables(rows(s, "src, tgt", "('a', 'x'), ('b', 'y'), ('c', 'z')"), rows(s, "src, tgt", "('a', 'x'), ('b', 'q'), ('d', 'w')")),
-        "SELECT * FROM (VALUES ('b', 'y', 'q'), ('c', 'z', NULL), ('d', NULL, 'w')) AS t(src, planned, registered)",
+        _mismatched,
+        """SELECT c_name AS src, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS planned, CASE WHEN c_custkey % 11 <> 0 THEN CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END END AS registered
+        FROM customer WHERE (c_custkey % 7 <> 0 OR c_custkey % 11 <> 0) AND (c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 5 = 0 AND lower(c_mktsegment) <> c_mktsegment)""",
+    ),
+    "src11_captured_tables": (
+        _captured,
+        "SELECT lower(o_orderstatus) || '.c' || o_custkey AS name, 'i' || max(o_orderkey) AS instance, lpad(lower(to_hex(max(o_orderkey))), 8, '0') AS start_lsn FROM orders GROUP BY o_orderstatus, o_custkey",
+    ),
+    "fil8_blocking_objects": (
+        _blocking,
+        """SELECT CASE WHEN o_orderpriority < '3' THEN 'trigger' ELSE 'foreign key' END AS kind, 'DBO.C' || o_custkey AS table_name, 'o' || o_orderkey AS name
+        FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)""",
     ),
 }

@@ -46,21 +46,23 @@ def _carry(spark, sf_dir):
     return steps.select("event_id", F.col("key_user_id").cast("bigint").alias("user_id"), F.col("epoch").cast("bigint").alias("epoch"), ch.carried(steps, ["key_user_id"], "props")["v"].alias("props"))
 
 
-_MOVES = "(1, 'c', NULL, '1', 'a'), (2, 'u', '1', '2', 'b'), (3, 'c', NULL, '3', 'c'), (4, 'u', '3', '3', 'd'), (5, 'd', '2', NULL, NULL), (6, 'u', '3', '1', 'e')"
-
-
 def _moves(spark, sf_dir):
-    t = rows(spark, "n, op, was, now, v", _MOVES)
-    cell = lambda c: F.struct(c.alias("v"), F.lit(False).alias("unavailable"))
-    at = lsn.of_number(F.col("n"))
-    events = t.select(
-        at.alias("commit_lsn"), at.alias("change_lsn"), F.lit(1).cast("bigint").alias("event_serial_no"), "op",
-        F.when(F.col("was").isNotNull(), F.create_map(F.lit("k"), cell(F.col("was")))).alias("before"),
-        F.when(F.col("now").isNotNull(), F.create_map(F.lit("k"), cell(F.col("now")), F.lit("v"), cell(F.col("v")))).alias("after"),
+    """Events whose views give a user the next number: the old key goes, the new one comes."""
+    e = table(spark, sf_dir, "events")
+    kind, cell = F.col("event_type"), lambda c: F.struct(c.cast("string").alias("v"), F.lit(False).alias("unavailable"))
+    now = F.when(kind == "view", F.col("user_id") + 1).otherwise(F.col("user_id"))
+    at = lsn.of_number(F.col("event_id"))
+    events = e.select(
+        at.alias("commit_lsn"), at.alias("change_lsn"), F.lit(1).cast("bigint").alias("event_serial_no"), F.when(kind == "signup", "c").when(kind == "error", "d").otherwise("u").alias("op"),
+        F.when(kind != "signup", F.create_map(F.lit("k"), cell(F.col("user_id")))).alias("before"), F.when(kind != "error", F.create_map(F.lit("k"), cell(now), F.lit("v"), cell(F.col("props")))).alias("after"),
     )
     return ch.net_effect(events, ["k"], ["v"]).select("k", "op", F.col("v.v").alias("v"))
 
 
+_MOVED = """(SELECT event_id, 0 AS sub, user_id AS k, 'd' AS op, NULL AS v FROM events WHERE event_type IN ('view', 'error')
+ UNION ALL SELECT event_id, 1, CASE WHEN event_type = 'view' THEN user_id + 1 ELSE user_id END, 'u', props FROM events WHERE event_type <> 'error')"""
+
+
 def _snapshot(spark, sf_dir):
     """A target that holds some users, after the whole log."""
     log = change_log(spark, sf_dir)
@@ -82,11 +84,18 @@ def _as_of(spark, sf_dir):
     return views.as_of(table(spark, sf_dir, "orders").select(lsn.of_number(F.col("o_orderkey")).alias("probe")), times, "probe")
 
 
-_WATERMARKS = """(1, TIMESTAMP_NTZ'2026-01-01 10:00:10', TIMESTAMP_NTZ'2026-01-01 10:00:05.250', 3, TIMESTAMP_NTZ'2026-01-01 10:00:11', TIMESTAMP_NTZ'2026-01-01 10:00:12'),
- (2, TIMESTAMP_NTZ'2026-01-01 10:00:10', TIMESTAMP_NTZ'2026-01-01 10:00:05', 0, TIMESTAMP_NTZ'2026-01-01 10:00:11', TIMESTAMP_NTZ'2026-01-01 10:00:12'),
- (3, TIMESTAMP_NTZ'2026-01-01 10:00:10', NULL, 2, TIMESTAMP_NTZ'2026-01-01 10:00:11', TIMESTAMP_NTZ'2026-01-01 10:00:12'),
- (4, TIMESTAMP_NTZ'2026-01-01 10:00:10', TIMESTAMP_NTZ'2026-01-01 10:00:09', 1, TIMESTAMP_NTZ'2026-01-01 09:59:00', TIMESTAMP_NTZ'2026-01-01 10:00:12')"""
-_WATERMARK_NAMES = "job_id, src_max_at, applied_at, pending, last_scan, now"
+def _lag(spark, sf_dir):
+    """Users as jobs: the source's newest event, the last applied one, pending errors, the last scan."""
+    e, kind = table(spark, sf_dir, "events"), F.col("event_type")
+    of = e.groupBy(F.col("user_id").alias("job_id")).agg(
+        F.max("ts").alias("src_max_at"), F.max(F.when(kind == "signup", F.col("ts"))).alias("applied_at"), F.count_if(kind == "error").alias("pending"), F.max(F.when(kind == "view", F.col("ts"))).alias("last_scan")
+    )
+    now = e.agg(F.max("ts").alias("now")).withColumn("_one", F.lit(1))  # a row
+    return views.lag_view(of.withColumn("_one", F.lit(1)).join(F.broadcast(now), "_one"))
+
+
+_JOBS_SQL = """(SELECT user_id AS job_id, max(ts) AS src_max_at, max(ts) FILTER (event_type = 'signup') AS applied_at, count(*) FILTER (event_type = 'error') AS pending, max(ts) FILTER (event_type = 'view') AS last_scan,
+ (SELECT max(ts) FROM events) AS now FROM events GROUP BY 1)"""
 
 _EPOCHS = f"(SELECT *, sum(CASE WHEN op = 'd' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY {_POSITION}) AS epoch FROM {LOG_SQL})"
 _CARRIED = f"""(SELECT *, last_value(CASE WHEN op <> 'd' AND NOT gone THEN {{v: props}} END IGNORE NULLS) OVER (PARTITION BY user_id, epoch ORDER BY {_POSITION}) AS p,
@@ -112,7 +121,10 @@ QUERIES = {
         _net,
         f"""SELECT user_id, op, CAST(epoch AS BIGINT) AS epoch, {_VALUE.replace("value", "val.v", 1)} AS value, p.v AS props FROM {_NET} WHERE r = 1""",
     ),
-    "mut3_key_changes": (_moves, "SELECT * FROM (VALUES ('1', 'u', 'e'), ('2', 'd', NULL), ('3', 'd', NULL)) AS t(k, op, v)"),
+    "mut3_key_changes": (
+        _moves,
+        f"SELECT CAST(k AS VARCHAR) AS k, arg_max(op, 2 * event_id + sub) AS op, arg_max({{v: v}}, 2 * event_id + sub).v AS v FROM {_MOVED} GROUP BY k",
+    ),
     "mut1_snapshot": (
         _snapshot,
         f"""WITH log AS {LOG_SQL}, last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY commit_lsn DESC) AS r FROM log),
@@ -130,10 +142,10 @@ QUERIES = {
         ASOF LEFT JOIN log t ON p.probe >= t.commit_lsn""",
     ),
     "msc4_lag": (
-        lambda s, d: views.lag_view(rows(s, _WATERMARK_NAMES, _WATERMARKS)),
+        _lag,
         f"""SELECT job_id, CAST(CASE WHEN lag IS NOT NULL AND still > 15 THEN greatest(lag, still) ELSE lag END AS DECIMAL(12,3)) AS lag_seconds FROM
-        (SELECT job_id, CASE WHEN src_max_at IS NOT NULL AND b IS NOT NULL THEN greatest(epoch_ms(src_max_at) - epoch_ms(b), 0) / 1000 END AS lag, (epoch_ms(now) - epoch_ms(last_scan)) / 1000 AS still FROM
-        (SELECT *, CASE WHEN pending = 0 THEN src_max_at ELSE applied_at END AS b FROM {rows_sql(_WATERMARK_NAMES, _WATERMARKS.replace("TIMESTAMP_NTZ'", "TIMESTAMP '"))}))""",
+        (SELECT job_id, CASE WHEN src_max_at IS NOT NULL AND b IS NOT NULL THEN CAST(greatest(epoch_us(src_max_at) - epoch_us(b), 0) / 1e6 AS DECIMAL(12,3)) END AS lag, CAST((epoch_us(now) - epoch_us(last_scan)) / 1e6 AS DECIMAL(12,3)) AS still FROM
+        (SELECT *, CASE WHEN pending = 0 THEN src_max_at ELSE applied_at END AS b FROM {_JOBS_SQL}))""",
     ),
     "agg9_log_edges": (
         lambda s, d: change_log(s, d).agg(F.max("commit_lsn").alias("last"), F.min("commit_lsn").alias("first"), F.max("src_commit_at").alias("last_at")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from concordia.functions import normalize, values
 from concordia.functions.values import ValueRule
 from concordia.operators import catalog
-from concordia.queries.base import rows, rows_sql, table
+from concordia.queries.base import table
 
 
 def _nation(spark, sf_dir):
@@ -17,20 +17,24 @@ def _nation(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", strip.alias("stripped"), put.alias("replaced"))
 
 
-_TICKS = "('2026-01-01 10:00:00.1234607'), ('2026-01-01 10:00:00.1234604'), ('2026-12-31 23:59:59.9999995'), ('1753-01-01 00:00:00.0000004'), ('2026-03-01 12:30:15')"
+def _ticks(spark, sf_dir):
+    """Event times with a seventh decimal; every tenth is moved to the last ticks of its year."""
+    end = F.concat(F.year("ts"), F.lit("-12-31 23:59:59.999999"))
+    text = F.when(F.col("event_id") % 10 == 3, end).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return table(spark, sf_dir, "events").select("event_id", F.concat(text, (F.col("event_id") * 7 % 10).cast("string")).alias("raw"))
 
 
 def _stamps(spark, sf_dir):
-    t = rows(spark, "raw", _TICKS).select(F.col("raw"), values.timestamp_of(F.col("raw")).alias("h"), values.timestamp_of(F.col("raw"), "truncate").alias("t"))
-    return t.select("raw", F.date_format("h", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("half_up"), F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("truncated"))
+    t = _ticks(spark, sf_dir).select("event_id", values.timestamp_of(F.col("raw")).alias("h"), values.timestamp_of(F.col("raw"), "truncate").alias("t"))
+    return t.select("event_id", F.date_format("h", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("half_up"), F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("truncated"))
 
 
+_TICKS_SQL = "(SELECT event_id, CASE WHEN event_id % 10 = 3 THEN year(ts) || '-12-31 23:59:59.999999' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END || (event_id * 7 % 10) AS raw FROM events)"
 _MICRO = "make_timestamp(epoch_us(raw[1:19]::TIMESTAMP) + {})"
-_STAMP_SQL = f"""SELECT raw, strftime({_MICRO.format("(rpad(raw[21:], 7, '0')::BIGINT + 5) // 10")}, '%Y-%m-%d %H:%M:%S.%f') AS half_up,
- strftime({_MICRO.format("rpad(raw[21:], 7, '0')::BIGINT // 10")}, '%Y-%m-%d %H:%M:%S.%f') AS truncated FROM {rows_sql("raw", _TICKS)}"""
-_TIMES = "('23:59:59.9999997'), ('01:02:03.0000004'), ('10:20:30.1234565'), ('00:00:00')"
-_TIME_SQL = f"""SELECT raw, CASE WHEN us >= 86400000000 THEN '24:00:00' ELSE strftime(make_timestamp(us), '%H:%M:%S.%f') END AS rounded FROM
- (SELECT raw, (raw[1:2]::BIGINT * 3600 + raw[4:5]::BIGINT * 60 + raw[7:8]::BIGINT) * 1000000 + (rpad(raw[10:], 7, '0')::BIGINT + 5) // 10 AS us FROM {rows_sql("raw", _TIMES)})"""
+_STAMP_SQL = f"""SELECT event_id, strftime({_MICRO.format("(raw[21:]::BIGINT + 5) // 10")}, '%Y-%m-%d %H:%M:%S.%f') AS half_up,
+ strftime({_MICRO.format("raw[21:]::BIGINT // 10")}, '%Y-%m-%d %H:%M:%S.%f') AS truncated FROM {_TICKS_SQL}"""
+_TIME_SQL = f"""SELECT event_id, CASE WHEN us >= 86400000000 THEN '24:00:00' ELSE strftime(make_timestamp(us), '%H:%M:%S.%f') END AS rounded FROM
+ (SELECT event_id, (raw[1:2]::BIGINT * 3600 + raw[4:5]::BIGINT * 60 + raw[7:8]::BIGINT) * 1000000 + (raw[10:]::BIGINT + 5) // 10 AS us FROM (SELECT event_id, raw[12:] AS raw FROM {_TICKS_SQL}))"""
 
 
 def _sentinel(spark, sf_dir):
@@ -69,7 +73,7 @@ _CANONICAL_SQL = """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS as_d
 QUERIES = {
     "val2_text_rules_nation": (_nation, "SELECT n_nationkey, upper(lower(n_name) || '+') AS stripped, upper(lower(n_name) || '+?') || ' ' AS replaced FROM nation"),
     "val6_timestamp_rounding": (_stamps, _STAMP_SQL),
-    "val7_time_rounding": (lambda s, d: rows(s, "raw", _TIMES).select("raw", values.time_of(F.col("raw")).alias("rounded")), _TIME_SQL),
+    "val7_time_rounding": (lambda s, d: _ticks(s, d).select("event_id", values.time_of(F.substr("raw", F.lit(12))).alias("rounded")), _TIME_SQL),
     "val5_sentinels_orders": (
         _sentinel,
         f"""SELECT o_orderkey, CASE WHEN {_D}::DATE NOT IN (DATE '1753-01-01', DATE '1900-01-01', DATE '9999-12-31') THEN strftime({_D}, '%Y-%m-%d') END AS as_null,
