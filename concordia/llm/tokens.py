@@ -10,13 +10,15 @@ The vocabulary is a public rank file (under 2 MB); it is read on the driver and
 Defined results: a null or empty text has no tokens and no sections; sections are a text's lines,
 each with its line break, unless a column gives them; given sections may overlap or leave gaps
 (each counts the tokens allocated inside it) and are cut to the text; null sections are none;
-bytes that aren't UTF-8 are read as U+FFFD; repeated rows are counted one by one; other columns are
+bytes that aren't UTF-8 are read as U+FFFD; runs of any length are encoded whole, long ones of white
+space apart from the pattern (a pattern other than the default is left to its own limits); repeated rows are counted one by one; other columns are
 not used, and a result named like the id column gets an underscore after its name.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Most bytes of a rank file that is broadcast.
 MOST_VOCABULARY = 1 << 26
+#: White space of so many characters in a row is taken out of the text before the pattern, whose search backs up over it, sees it.
+LONG_SPACE = 1 << 14
+#: The characters that the pattern counts as white space.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Encoder:
@@ -42,10 +48,26 @@ class Encoder:
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.bytes[list(ranks.values())] = [len(t) for t in ranks]
+        self.long = re.compile(f"[{SPACE}]{{{LONG_SPACE},}}") if pattern == PATTERN else None
+
+    def tokens(self, text: str) -> np.ndarray:
+        """The text's tokens.
+
+        A run of white space is one piece of the pattern, but for its last character where something
+        follows, which belongs to the next piece; so a long run is merged on its own, and what is before
+        and after it encoded apart, with the same result.
+        """
+        encode = lambda t: np.asarray(self.encoding.encode_to_numpy(t, disallowed_special=()), np.int64)
+        parts, at = [], 0
+        for run in self.long.finditer(text) if self.long and len(text) >= LONG_SPACE else ():
+            end = run.end() - (run.end() < len(text))
+            parts += [encode(text[at : run.start()]), np.asarray(self.encoding._encode_single_piece(text[run.start() : end]), np.int64)]
+            at = end
+        return np.concatenate([*parts, encode(text[at:])]) if parts else encode(text)
 
     def places(self, text: str, rule: str) -> np.ndarray:
         """The byte of each token that decides its section."""
-        size = self.bytes[np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), np.int64)]
+        size = self.bytes[self.tokens(text)]
         start = np.cumsum(size) - size
         return start if rule == "first" else start + (size - 1) // 2
 

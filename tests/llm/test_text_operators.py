@@ -208,3 +208,24 @@ def test_very_long_urls_conversations_and_repeated_rows(spark):
 def test_schema_of_an_empty_table(spark):
     empty = spark.createDataFrame([], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
     assert tokens.section_tokens(empty).collect() == []
+
+
+def test_long_white_space_is_encoded_as_the_pattern_would(spark, monkeypatch):
+    with open(tokens.VOCABULARY, "rb") as f:
+        file = f.read()
+    monkeypatch.setattr(tokens, "LONG_SPACE", 3)
+    encoder, rng = tokens.Encoder(file, tokens.PATTERN), random.Random(8)
+    for _ in range(400):
+        text = "".join(rng.choice([" ", " ", "\n", "\t", "\u2003", "\x1c", "a", "Zb", "7", "!", "'s", "é"]) * rng.randrange(1, 6) for _ in range(rng.randrange(1, 12)))
+        assert encoder.tokens(text).tolist() == encoder.encoding.encode(text), text
+
+
+def test_tokens_of_very_long_runs(spark):
+    runs = ["x" + c * 3_000_000 + "y" for c in (" ", "\n", "a", "!", "é")] + [" " * 3_000_000]
+    rows = tokens.section_tokens(docs(spark, runs)).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("all"), F.max("end").alias("end")).collect()
+    assert len(rows) == 6 and all(r.n == r["all"] and r.end == len(runs[r.doc_id]) for r in rows)
+    with open(tokens.VOCABULARY, "rb") as f:
+        encoder = tokens.Encoder(f.read(), tokens.PATTERN)
+    per = {r.doc_id: r.n for r in rows}
+    for i, c in ((2, "a"), (3, "!")):  # the plain encoder can run over these
+        assert per[i] == len(encoder.encoding.encode("x" + c * 3_000_000 + "y"))
