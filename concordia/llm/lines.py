@@ -14,9 +14,8 @@ one row per member; every (line, earlier line) pair is then verified by its edit
 Where variants are emitted.  A line of 300 characters has 300 variants, and nearly all lines have
 no neighbour at all.  So the place of a possible edit is narrowed first, without loss: cut at a
 grid that depends on the length's class only, one edit leaves all but one segment of both lines
-equal.  Keys of "all but segment j" over 2 segments choose the lines whose text is fetched.  Where a
-key has few of them, each is compared with the earlier ones at once; of the others, keys over 8
-segments choose the segments in which they may differ, and variants are made there only.
+equal.  Keys of "all but segment j" over 2 segments choose the lines whose text is fetched, keys
+over 8 segments choose the segments in which they may differ, and variants are made there only.
 
 Two edits.  Keys of "all but two of 3 segments" choose the lines.  What stands between the two left
 out may have moved by one character, so it is taken from three places.  Then every open pair of
@@ -43,7 +42,7 @@ from concordia.llm.common import interim, packed, quoted, unpacked, written
 
 #: Characters of the shortest line that a grid is laid over, and the width of a length class.
 SHORTEST, CLASS = 16, 16
-#: Lines of a key, and characters of them, up to which they are compared at once, and for two edits the width that ends the halving.
+#: For two edits: lines of a key, and characters left out of them, up to which they are compared at once, and the width that ends the halving.
 FEW, FEW_CHARACTERS, NARROW = 256, 1 << 20, 2
 
 
@@ -108,24 +107,17 @@ def _with_earlier(group: DataFrame, near) -> DataFrame:
     return written(group.select(F.explode(found).alias("x")).select("x.me.h1", "x.me.h2").distinct(), "near")
 
 
-def _near_one(candidates: DataFrame) -> DataFrame:
-    """``(h1, h2)`` of candidate lines (h1, h2, n, at, line) that an earlier candidate is one edit away from: those of a small group at once, others by variants."""
-    rows = candidates.select(F.struct("at", "h1", "h2").alias("me"), "line", "n", F.explode(_half_keys(F.col("line"), F.col("n"))).alias("key"))
-    size = rows.groupBy("key").agg(F.min("me.h1").alias("a"), F.max("me.h1").alias("b"), F.count("*").alias("m"), F.sum("n").alias("chars")).where("a < b")
-    size = written(size.select("key", ((F.col("m") <= FEW) & (F.col("chars") <= FEW_CHARACTERS)).alias("few")), "size")
-    hit = written(rows.join(size, "key"), "hit")
-    group = hit.where("few").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("me", "line"))).alias("of"))
-    found = _with_earlier(group, lambda x, y: F.levenshtein(x["line"], y["line"], 1) >= 0)
-    many = written(hit.where("NOT few").select("me.h1", "me.h2").distinct(), "many")
-    return found.union(_near(candidates.join(many, ["h1", "h2"], "left_semi"))).distinct()
-
-
-def _near(candidates: DataFrame) -> DataFrame:
-    """The same by variants alone."""
-    me = F.struct("at", "h1", "h2")
+def _variant_rows(candidates: DataFrame) -> DataFrame:
+    """``(me, role, key)``: the variants of candidate lines (h1, h2, n, at, line) in the segments in which another candidate may differ."""
     cut = candidates.select("h1", "h2", F.explode(_segment_keys(F.col("line"), F.col("n"), 8)).alias("s")).select("h1", "h2", "s.*")
     open_ = cut.join(_shared(cut), "key", "left_semi").select("h1", "h2", "c", "j").distinct()
-    rows = candidates.join(open_, ["h1", "h2"]).select(me.alias("me"), F.explode(_variants(F.col("line"), F.col("n"), F.col("c"), F.col("j"))).alias("v")).select("me", "v.role", "v.key")
+    rows = candidates.join(open_, ["h1", "h2"]).select(F.struct("at", "h1", "h2").alias("me"), F.explode(_variants(F.col("line"), F.col("n"), F.col("c"), F.col("j"))).alias("v"))
+    return rows.select("me", "v.role", "v.key")
+
+
+def _near_one(candidates: DataFrame) -> DataFrame:
+    """``(h1, h2)`` of candidate lines that an earlier candidate is one edit away from: equal variants joined, whatever the size of their group."""
+    rows = _variant_rows(candidates)
     first = rows.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("me"))).alias(f"m{r}") for r in (0, 1, 2)], F.min("me.h1").alias("a"), F.max("me.h1").alias("b"))
     first = written(first.where("a < b").drop("a", "b"), "first")
     partner = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))

@@ -89,9 +89,26 @@ def plain_line_dedup(rows):
     return {d: None if t is None else "\n".join(out.get(d, [])) for d, t in rows}
 
 
-@pytest.mark.parametrize("few", [0, 256])
-def test_lines_against_all_pairs(spark, monkeypatch, few):
-    monkeypatch.setattr(lines, "FEW", few)  # 0: all by variants
+def test_every_near_line_is_among_the_variants(spark):
+    """Of all lines of a test table: those with an earlier one within one edit are those that a common variant shows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = lines._lines(docs, "doc_id", "text").groupBy("h1", "h2", "line").agg(F.min(F.struct("id", "no")).alias("at"))
+    candidates = rows.select("h1", "h2", F.length("line").cast("int").alias("n"), "at", "line").where(F.col("n") >= lines.SHORTEST).persist()
+    every = {r.line: tuple(r["at"]) for r in candidates.collect()}
+    by_size: dict = {}
+    for x in every:
+        by_size.setdefault(len(x), []).append(x)
+    near = {x for x in every for m in (len(x) - 1, len(x), len(x) + 1) for y in by_size.get(m, ()) if every[y] < every[x] and edit_at_most_one(x, y)}
+    variants = lines._variant_rows(candidates)
+    shared = variants.groupBy("key").agg(F.count_distinct("me.h1").alias("m"), F.collect_set("me.h1").alias("of")).where("m > 1")
+    hit = {r.h1 for r in shared.select(F.explode("of").alias("h1")).distinct().collect()}
+    h1 = {r.line: r.h1 for r in candidates.select("line", "h1").collect()}
+    assert near and {h1[x] for x in near} <= hit
+    assert variants.count() > len(near)
+    assert {r.h1 for r in lines._near_one(candidates).collect()} == {h1[x] for x in near}
+
+
+def test_lines_against_all_pairs(spark):
     rng = random.Random(4)
     base = ["".join(rng.choice("abcdé 1") for _ in range(n)) for n in (3, 9, 15, 16, 17, 31, 32, 33, 47, 48, 49, 64, 65, 90, 160, 161)]
 
