@@ -452,8 +452,34 @@ def test_bounds_leave_products_out_on_the_test_table(spark):
 
 def test_every_row_of_an_id_takes_part(spark):
     df = spark.createDataFrame([(0, [1, 2]), (0, [3, -1]), (1, [5, 0]), (1, [0, 7]), (2, [1, 1])], "vec_id long, v array<long>")
-    got = topk.exact_topk(df, F.col("vec_id") % 20 == 0, 4, every_row=True).orderBy("rank").collect()
-    assert [tuple(r) for r in got] == [(0, 1, 1, 15), (0, 2, 1, 14), (0, 3, 1, 5), (0, 4, 2, 3)]
+    got = topk.exact_topk(df, F.col("vec_id") % 20 == 0, 4, every_row=True).collect()
+    first, second = [(1, 14), (1, 5), (2, 3), (0, 1)], [(1, 15), (2, 2), (0, 1), (1, -7)]  # each query row has results of its own, the other row of its id among them
+    assert sorted(map(tuple, got)) == sorted((0, r + 1, i, s) for of in (first, second) for r, (i, s) in enumerate(of))
+
+
+def test_copies_null_ids_and_more_blocks_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "CANDIDATES", 8)
+    rng = np.random.default_rng(31)
+    rows = [(int(i), rng.integers(-6, 6, 5).tolist()) for i in rng.integers(0, 60, 400) * 5] + [(20, [1, 1, 1, 1, 1])] * 3 + [(None, [6, 6, 6, 6, 6])] * 2 + [(None, [0] * 5), (40, None), (60, []), (3, [2])]
+    k, want, whole = 6, [], [(i, np.array((v + [0] * 5)[:5])) for i, v in rows if v is not None]
+    for a, (q, v) in enumerate(whole):
+        if q is not None and q % 20 == 0:
+            best = sorted((-int(v @ w), i is None, i or 0) for b, (i, w) in enumerate(whole) if b != a)[:k]
+            want += [(q, r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.exact_topk(df, F.col("vec_id") % 20 == 0, k, every_row=True).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and len(want) > 20 * k
+
+
+def test_vectors_that_can_be_used(spark, tmp_path):
+    from concordia.llm.queries import labelled_vectors, usable_vectors
+
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, [0.5, -0.01], 1), (None, [1.0, 1.0], 2), (3, None, 1), (4, [1.0, None], 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [-inf], 9), (14, [], 9)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {(r.vec_id, tuple(r.v)) for r in usable_vectors(spark, str(tmp_path)).collect()} == {(1, (32, -1)), (None, (64, 64)), (14, ())}
+    assert {(r.vec_id, r.label) for r in labelled_vectors(spark, str(tmp_path)).collect()} == {(1, 1), (None, 2), (14, 0)}
 
 
 # ------------------------------------------------------------------ 8 near copies
