@@ -8,17 +8,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _plain(df: DataFrame, c: str) -> Column:
+    """A text column byte by byte, whatever its collation."""
+    return F.collate(c, "UTF8_BINARY") if collation_of(df, c) else F.col(c)
+
+
+def collation_of(df: DataFrame, c: str) -> str | None:
+    kind = df.schema[c].dataType
+    name = getattr(kind, "collation", None)
+    return None if name in (None, "UTF8_BINARY") else name
+
+
 def duplicates(df: DataFrame, key: Sequence[str], fold: Sequence[str] = (), where: Column | None = None) -> DataFrame:
-    """PLN6: keys held by several rows; parts in ``fold`` compare without case, nulls are one value, ``where`` is a filtered index."""
+    """PLN6: keys held by several rows; texts compare by their columns' collations, parts in ``fold`` in lower case, nulls are one value, ``where`` is a filtered index.
+
+    Of texts that are one key, the first byte by byte is shown.
+    """
     rows = df if where is None else df.where(where)
-    parts = [(F.lower(k) if k in fold else F.col(k)).alias(k) for k in key]
-    return rows.groupBy(*parts).agg(F.count("*").alias("n")).where("n > 1")
+    parts = [(F.lower(k) if k in fold else F.col(k)).alias(f"_k{i}") for i, k in enumerate(key)]
+    shown = [F.min(_plain(df, k)).alias(k) if collation_of(df, k) else F.first(f"_k{i}").alias(k) for i, k in enumerate(key)]
+    return rows.select("*", *parts).groupBy(*[f"_k{i}" for i in range(len(key))]).agg(*shown, F.count("*").alias("n")).where("n > 1").select(*key, "n")
 
 
 def orphans(child: DataFrame, parent: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
-    """JOIN11, PLN8: child rows with a complete key that no parent has."""
+    """JOIN11, PLN8: child rows with a complete key that no parent has; where one side's text has a collation, both compare by it."""
     keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, (_, p) in enumerate(on)])
-    cond = [F.col(c) == F.col(f"_p{i}") for i, (c, _) in enumerate(on)]
+
+    def same(i: int, c: str, p: str) -> Column:
+        name = collation_of(child, c) or collation_of(parent, p)
+        return F.collate(c, name) == F.collate(f"_p{i}", name) if name else F.col(c) == F.col(f"_p{i}")
+
+    cond = [same(i, c, p) for i, (c, p) in enumerate(on)]
     complete = F.lit(True)
     for c, _ in on:
         complete = complete & F.col(c).isNotNull()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordia.operators import constraints, sequences, verify
+from concordia.plans import planner
 from concordia.plans.load import Loader, chunk_states, safe
 from concordia.plans.model import TablePlan
 from concordia.sources.store import Lease, Store, log_event, require
@@ -134,8 +135,8 @@ def unique_and_checks(plans: list[TablePlan], target: Callable[[TablePlan], Data
     """Each unique key and check by name, with the rows or keys that violate it."""
     out = []
     for p in plans:
-        df, new = target(p), {c.source.name: c.name for c in p.columns}
-        folded = {c.source.name for c in p.columns if c.source.case_insensitive}
+        df, new = planner.collated(target(p), p), {c.source.name: c.name for c in p.columns}
+        folded = {c.source.name for c in p.columns if c.source.case_insensitive and not planner.spark_collation(c)}
         for i in p.source.indexes:
             keys = [k for k, _ in i.keys if k in new]
             if i.kind != "INDEX" and keys:
@@ -154,7 +155,7 @@ def references(plans: list[TablePlan], target: Callable[[TablePlan], DataFrame])
             if parent is None or f.disabled:
                 continue
             ref = {c.source.name: c.name for c in parent.columns}
-            out.append((f"{p.name}.{f.name}", constraints.orphans(target(p), target(parent), [(new[a], ref[b]) for a, b in zip(f.columns, f.ref_columns, strict=True)])))
+            out.append((f"{p.name}.{f.name}", constraints.orphans(planner.collated(target(p), p), planner.collated(target(parent), parent), [(new[a], ref[b]) for a, b in zip(f.columns, f.ref_columns, strict=True)])))
     return out
 
 
@@ -203,9 +204,7 @@ def after_check(store: Store, plans: list[TablePlan], target: Callable[[TablePla
 
 
 def _ddl(c) -> str:
-    from concordia.plans.planner import spark_type
-
-    return spark_type(c.type).simpleString()
+    return planner.spark_type(c.type).simpleString()
 
 
 def job_view(store: Store) -> DataFrame:

@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterable
 from dataclasses import replace
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordia.functions.values import resolve
@@ -54,6 +56,20 @@ def spark_type(target: str) -> T.DataType:
     return plain.get(name, T.StringType())
 
 
+def spark_collation(c: ColumnPlan) -> str | None:
+    """PLN11: the Spark collation of a column's target collation; None where texts compare byte by byte."""
+    name = (c.collation or "").rsplit(".", 1)[-1].strip('"')
+    if name == CI_COLLATION:
+        return "UNICODE_CI"  # letters without case, accents with
+    return name.removesuffix("-x-icu").split("-")[0] if name.endswith("-x-icu") else None
+
+
+def collated(df: DataFrame, t: TablePlan) -> DataFrame:
+    """A table's rows with texts that compare, group and join as the plan's collations say."""
+    named = {c.name: spark_collation(c) for c in t.columns}
+    return df.withColumns({n: F.collate(n, c) for n, c in named.items() if c and n in df.columns})
+
+
 def struct_type(t: TablePlan) -> T.StructType:
     """A planned table's schema; the source type stays in the metadata, since it selects the canonical text."""
     meta = lambda c: {"source_type": c.source.type, "target_type": c.type}
@@ -189,7 +205,7 @@ class _Planner:
             self.issue(WARN, where, f"the alias type {c.alias_type} is resolved to {c.type}")
         value = resolve(c.type, R.base_value_rule(self.rules, c.type), own)
         self.judge_scan(t, c, where, value)
-        plan = ColumnPlan(c, name, kind, value, check=f"{quoted(name)} {rule['check']}" if rule.get("check") else None, collation=self.collation(t, c, kind))
+        plan = ColumnPlan(c, name, kind, value, check=f"{quoted(name)} {rule['check']}" if rule.get("check") else None, collation=self.collation(t, c, kind, value.case))
         if c.computed is not None:
             return self.computed(plan, own, where)
         if c.identity is not None:
@@ -229,18 +245,19 @@ class _Planner:
             self.issue(WARN, where, f"default {c.default[1]}: {got.warn}")
         return got.expr
 
-    def collation(self, t: Table, c: Column, kind: str) -> str | None:
-        """PLN11."""
+    def collation(self, t: Table, c: Column, kind: str, case: str) -> str | None:
+        """PLN11: without case where the source compares so and the values keep their case: everywhere, or in unique keys only."""
         if c.type not in TEXT or not kind.startswith(("char", "varchar", "text")):
             return None
         rule, schema = self.rules["collation"], self.schema_name(t.schema)
         unique = any(c.name in [k for k, _ in i.keys] for i in t.indexes if i.kind != "INDEX")
-        if rule["target"] == "ci" or rule["ci_unique"] == "ci_collation" and unique and c.case_insensitive:
+        wanted = rule["target"] == "ci" or rule["ci_unique"] == "ci_collation" and unique
+        if wanted and c.case_insensitive and case == "keep":
             name = quoted(schema, CI_COLLATION)
             if name not in self.plan.collations:
                 self.plan.collations.append(name)
             return name
-        return quoted(rule["target"])
+        return quoted("C" if rule["target"] == "ci" else rule["target"])
 
     # -------------------------------------------------------------- tables
 
