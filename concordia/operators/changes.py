@@ -49,10 +49,11 @@ def batch_head(events: DataFrame, size: int = 1000) -> DataFrame:
     return events.orderBy(*POSITION).limit(size)
 
 
-def batch_positions(batch: DataFrame, table: str = "table_name") -> DataFrame:
-    """AGG14: last position and number of events per table."""
-    last = batch.groupBy(table).agg(F.max(lsn.position()).alias("p"), F.count("*").alias("n"))
-    return last.select(table, "p.*", "n")
+def batch_positions(batch: DataFrame, table: str = "table_name", at: str | None = None) -> DataFrame:
+    """AGG14: last position and number of events per table, and with ``at`` the last commit time as text."""
+    more = [F.max(at).cast("string").alias("at")] if at else []
+    last = batch.groupBy(table).agg(F.max(lsn.position()).alias("p"), F.count("*").alias("n"), *more)
+    return last.select(table, "p.*", "n", *(["at"] if at else []))
 
 
 def split_key_changes(events: DataFrame, key: Sequence[str]) -> DataFrame:

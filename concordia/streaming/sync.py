@@ -231,14 +231,13 @@ class Applier:
             return 0
         head = head.persist()
         try:
-            counts = ch.batch_positions(head).collect()  # a row per table
+            counts = ch.batch_positions(head, at="src_commit_at").collect()  # a row per table
             if not counts:
                 return 0
             new: dict[str, dict] = {}
             for r in counts:
                 table = r["table_name"]
                 new[table] = self._table(head.where(F.col("table_name") == table), table, state)
-            at = dict(head.groupBy("table_name").agg(F.max("src_commit_at").cast("string")).collect())  # a row per table
         finally:
             head.unpersist()
         n = sum(r["n"] for r in counts)
@@ -251,7 +250,7 @@ class Applier:
                 s["tables"][t].update(new[t])
                 s["positions"][t] = [r["commit_lsn"], r["change_lsn"], r["event_serial_no"]]
                 s["applied_of"][t] = s["applied_of"].get(t, 0) + r["n"]
-                s["tables"][t]["applied_at"] = at[t]
+                s["tables"][t]["applied_at"] = r["at"]
             s["applied"] = s.get("applied", 0) + n
             s["log"] = [b for b in s["log"] if any(last > (s["positions"].get(t) or BEFORE_ALL) for t, last in b["last"].items())]
 
