@@ -101,6 +101,32 @@ def renamed(df: DataFrame, names: dict[str, str], lower: bool = True) -> DataFra
     return df.select(*[F.col(f"`{c}`").alias(names.get(c, c.lower() if lower else c)) for c in df.columns])
 
 
+def short_names(name: Column, limit: int = 63) -> Column:
+    """HSH5 over a catalog's rows: names of at most ``limit`` bytes, longer ones cut between characters and ended by eight digits of their hash."""
+    room = limit - 9
+
+    def more(had: Column, ch: Column) -> Column:
+        fits = ~had["full"] & (F.octet_length(F.concat(had["text"], ch)) <= room)
+        return F.struct(F.when(fits, F.concat(had["text"], ch)).otherwise(had["text"]).alias("text"), (~fits).alias("full"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
+    cut = F.aggregate(F.split(name, ""), start, more)["text"]
+    return F.when(F.octet_length(name) <= limit, name).otherwise(F.concat(cut, F.lit("_"), F.substr(F.sha2(name, 256), F.lit(1), F.lit(8))))
+
+
+def safe_messages(message: Column) -> Column:
+    """MSC7 over a log of errors: the first line without literals, which may be values of rows."""
+    blank = F.lit(" \t\n\x0b\x0c\r")
+    line = F.substring_index(F.trim(message, blank), "\n", 1)
+    return F.substr(F.regexp_replace(F.when(line == "", "failed").otherwise(line), r"""'[^']*'|"[^"]*"|=\s*\([^)]*\)""", "?"), F.lit(1), F.lit(300))
+
+
+def sequence_bounds(low: Column, high: Column) -> tuple[Column, Column]:
+    """PLN9 over a catalog's sequences: bounds cut to what 64 bits hold."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    return F.greatest(wide(low), F.lit(-(1 << 63)).cast("decimal(38,0)")), F.least(wide(high), F.lit((1 << 63) - 1).cast("decimal(38,0)"))
+
+
 def data_scan(df: DataFrame, text: Sequence[str], dates: Sequence[str]) -> DataFrame:
     """AGG6: NUL rows of text columns and sentinel rows of date columns, all in one pass: ``(column, nul_rows, sentinel_rows)``."""
     from concordia.functions.values import has_nul, is_sentinel

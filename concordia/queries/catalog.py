@@ -88,7 +88,38 @@ def _blocking(spark, sf_dir):
     return c.blocking_objects(objects, table(spark, sf_dir, "customer").where("c_nationkey < 12").select(F.concat(F.lit("dbo.c"), "c_custkey").alias("tgt")))
 
 
+def _short_names(spark, sf_dir):
+    """Index names made of a customer's segment and name, many of them too long, with letters of two bytes."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("ix_"), F.repeat(F.lit("\u00e9"), (k % 30).cast("int")), F.repeat("c_name", (k % 4).cast("int")))
+    return table(spark, sf_dir, "customer").select(k, c.short_names(name).alias("short"))
+
+
+def _safe_messages(spark, sf_dir):
+    """Errors as a database tells them, with values of rows in three forms, over two lines."""
+    text = F.format_string(" duplicate key value '%s' in \"%s\" of order %d: Key (o_custkey)=(%d)\nfor '%s'", "o_orderpriority", "o_orderstatus", "o_orderkey", "o_custkey", "o_orderpriority")
+    return table(spark, sf_dir, "orders").select("o_orderkey", c.safe_messages(text).alias("message"))
+
+
+def _bounds(spark, sf_dir):
+    p, digits = table(spark, sf_dir, "part"), F.rpad(F.lit("1"), F.col("p_size") % 37 + 1, F.lit("0")).cast("decimal(38,0)")
+    low, high = c.sequence_bounds(-digits - F.col("p_partkey"), digits + F.col("p_partkey"))
+    return p.select("p_partkey", low.cast("string").alias("low"), high.cast("string").alias("high"))
+
+
+_DIGITS = "CAST(rpad('1', p_size % 37 + 1, '0') AS HUGEINT)"
+
 QUERIES = {
+    "hsh5_short_names_customer": (
+        _short_names,
+        """SELECT c_custkey, CASE WHEN strlen(name) <= 63 THEN name ELSE left(name, CASE WHEN k > 25 THEN 28 ELSE 54 - k END) || '_' || left(sha256(name), 8) END AS short
+        FROM (SELECT c_custkey, c_custkey % 30 AS k, 'ix_' || repeat(chr(233), c_custkey % 30) || repeat(c_name, c_custkey % 4) AS name FROM customer)""",
+    ),
+    "msc7_safe_messages_orders": (_safe_messages, "SELECT o_orderkey, 'duplicate key value ? in ? of order ' || o_orderkey || ': Key (o_custkey)?' AS message FROM orders"),
+    "pln9_sequence_bounds_part": (
+        _bounds,
+        f"SELECT p_partkey, greatest(-{_DIGITS} - p_partkey, -9223372036854775808)::VARCHAR AS low, least({_DIGITS} + p_partkey, 9223372036854775807)::VARCHAR AS high FROM part",
+    ),
     "src3_indexes": (
         _indexes,
         """SELECT o_orderkey AS object_id, 1 AS index_id, 'ix_' || o_orderkey AS name, CASE WHEN o_orderstatus = 'F' THEN 'PRIMARY' ELSE 'INDEX' END AS kind,

@@ -129,3 +129,16 @@ def test_faults_are_found_before_netting(spark):
     rows = [(1, "x", {"k": "1"}, {"k": "1"}), (2, "d", None, None), (3, "u", {"k": "1"}, None), (4, "u", {"k": "1"}, {"k": "1", "v": "a\x00"}), (5, "u", {"k": "1"}, {"k": "1", "v": "a"})]
     got = [r.reason for r in changes.faults(events(spark, rows), ["k"], ["v"]).orderBy("commit_lsn").collect()]
     assert got == ["unknown op", "delete without key", "change without key", "NUL character"]
+
+
+def test_names_messages_and_bounds_as_columns_are_those_of_the_plan(spark):
+    from concordia.operators import catalog as cat
+    from concordia.plans.load import safe
+    from concordia.plans.names import shortened
+
+    names = ["", "a", "a" * 63, "a" * 64, "é" * 31, "é" * 32, "ab😀" * 20, "x" * 53 + "éy" * 9, "x" * 54 + "é" * 9, "n" * 53 + "😀z" * 5]
+    texts = ["", "  ", "failed here", " key 'a''b' = (1, 2) and \"c\"\nsecond 'x'", "x" * 400, "\n\nlater 'v'"]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", cat.short_names(F.col("n")).alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: shortened(n) for i, n in enumerate(names)}
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", cat.safe_messages(F.col("t")).alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: safe(t) for i, t in enumerate(texts)}
