@@ -105,7 +105,9 @@ def _run(a, c: dict, rules: dict, plan, store: Store) -> int:
     mark = cfg.fingerprint(c, rules)
     applier = sync.Applier(store, plan.tables, c["rows_per_bucket"], c["batch_size"])
     target = lambda t: applier.read(t.name)
-    log = SourceLog.folder(spark, c["log"]) if c["log"] else None
+    log = None
+    if c["log"]:
+        log = SourceLog.jdbc(spark, c["log"], c["jdbc"]) if c["log"].startswith("jdbc:") else SourceLog.folder(spark, c["log"])
     capture = sync.Capture(store, plan.tables, source=log, fingerprint=mark)
     changes = c["changes"] or f"{c['source']}/changes"
     captured = lambda: capture.run(changes, f"{store.root}/checkpoint").awaitTermination()
@@ -119,7 +121,8 @@ def _run(a, c: dict, rules: dict, plan, store: Store) -> int:
     elif a.command == "schema":
         create_tables(store, plans, a.replace)
     elif a.command == "status":
-        print(json.dumps({"job": store.manifest().get("job", "PLANNED"), **applier.status(), "tables": [r.asDict() for r in co.job_view(store).collect()], "state": [list(r) for r in co.full_view(store).collect()]}, indent=1))
+        source_log = {"source": vars(log.snapshot()) | {"log_from": log.oldest(), "log_reuse_wait": log.reuse_wait()}} if log else {}
+        print(json.dumps({"job": store.manifest().get("job", "PLANNED"), **applier.status(), **source_log, "tables": [r.asDict() for r in co.job_view(store).collect()], "state": [list(r) for r in co.full_view(store).collect()]}, indent=1))
     elif a.command == "load":
         if a.reset:
             sync.reset(store, [p.name for p in plans])

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concordia.functions import lsn
 from concordia.operators import views
 from concordia.sources.store import Refused
+from concordia.sources.tables import jdbc_options
+
+
+#: Where a source of this kind keeps what it knows of its log.
+LOG_QUERIES = {
+    "log_times": "SELECT CONVERT(varchar(22), start_lsn, 1) AS lsn, tran_end_time AS commit_at FROM cdc.lsn_time_mapping WHERE tran_id <> 0x00",
+    "log_scans": "SELECT start_time AS started_at, end_time AS ended_at FROM sys.dm_cdc_log_scan_sessions WHERE session_id > 0",
+    "log_clock": "SELECT SYSDATETIME() AS now",
+    "log_bounds": "SELECT OBJECT_SCHEMA_NAME(source_object_id) + '.' + OBJECT_NAME(source_object_id) AS table_name, CONVERT(varchar(22), MIN(start_lsn), 1) AS low FROM cdc.change_tables GROUP BY source_object_id",
+    "log_database": "SELECT log_reuse_wait_desc AS log_reuse_wait FROM sys.databases WHERE database_id = DB_ID()",
+}
 
 
 class LogCut(Refused):
@@ -31,8 +43,9 @@ class SourceLog:
     ``log_times`` (lsn, commit_at) has the commits that the log still holds, ``log_scans`` (started_at,
     ended_at) the scans that filled it.  Two more are used where ``has`` says that they are there:
     ``log_clock`` (now), the source's clock, for which Spark's stands in, which must then agree with it
-    to within a second; and ``log_bounds`` (low), the position from which on the log is whole, for
-    which its first commit stands in.
+    to within a second; and ``log_bounds`` (low, and table_name if it differs by table), the position
+    from which on the log is whole, for which its first commit stands in.  ``log_database`` (log_reuse_wait) says what keeps the log from being
+    cut, which is shown with the job's status.
     """
 
     def __init__(self, spark: SparkSession, read: Callable[[str], DataFrame], has: Callable[[str], bool] = lambda _: False) -> None:
@@ -48,6 +61,19 @@ class SourceLog:
 
         return cls(spark, lambda t: spark.read.parquet(f"{folder}/{t}"), has)
 
+    @classmethod
+    def jdbc(cls, spark: SparkSession, url: str, options: dict | None = None, queries: dict[str, str] | None = None) -> SourceLog:
+        """Tables as queries of a database; positions in any notation of ``lsn.normal``.  Without ``queries``, those of a source that keeps its log in change-data tables."""
+        known = queries or LOG_QUERIES
+        more = jdbc_options(url, options)
+
+        def read(name: str) -> DataFrame:
+            df = spark.read.format("jdbc").option("url", url).option("query", known[name]).options(**more).load()
+            df = df.toDF(*[c.lower() for c in df.columns])
+            return df.withColumns({c: lsn.normal(F.col(c)) for c in ("lsn", "low") if c in df.columns})
+
+        return cls(spark, read, lambda name: name in known)
+
     def clock(self) -> DataFrame:
         return self.read("log_clock") if self.has("log_clock") else self.spark.range(1).select(F.current_timestamp().cast("timestamp_ntz").alias("now"))
 
@@ -60,10 +86,18 @@ class SourceLog:
         """Whether a scan that started after the mark has ended."""
         return not self.read("log_scans").where((_time("started_at") > mark) & F.col("ended_at").isNotNull()).limit(1).isEmpty()
 
-    def oldest(self) -> str | None:
-        """The position from which on the log is whole."""
+    def reuse_wait(self) -> str | None:
+        """SRC10: what the source's log waits for before it can be cut; a capture that stands still lets it grow."""
+        row = self.read("log_database").select("log_reuse_wait").first() if self.has("log_database") else None
+        return row[0] if row else None
+
+    def oldest(self, tables: Collection[str] = ()) -> str | None:
+        """The position from which on the log is whole, for the given tables (schema.table) where it differs by table."""
         if self.has("log_bounds"):
-            return self.read("log_bounds").agg(F.max("low")).first()[0]
+            bounds = self.read("log_bounds")
+            if tables and "table_name" in bounds.columns:
+                bounds = bounds.where(F.lower("table_name").isin([t.lower() for t in tables]))
+            return bounds.agg(F.max("low")).first()[0]
         return self.read("log_times").agg(F.min("lsn")).first()[0]
 
 
@@ -94,11 +128,11 @@ def _holds(captured_to: str | None, now: Snapshot) -> bool:
     return now.max_lsn is None or (captured_to or "") >= now.max_lsn
 
 
-def check_retention(state: dict, source: SourceLog) -> None:
+def check_retention(state: dict, source: SourceLog, tables: Collection[str] = ()) -> None:
     """STR8: what the job has captured must reach the span that the source's log still holds.
 
     A log that holds nothing says nothing of what it held, and a job that has captured nothing begins where the log does.
     """
-    stored, oldest = state.get("stream_lsn"), source.oldest()
+    stored, oldest = state.get("stream_lsn"), source.oldest(tables)
     if stored and oldest and stored < oldest:
         raise LogCut(f"the source's log begins at {oldest}, and changes after {stored} are no longer available")

@@ -132,7 +132,7 @@ class Capture:
         state = self.store.manifest()
         same_settings(state, self.fingerprint)
         if self.source is not None:
-            check_retention(state, self.source)
+            check_retention(state, self.source, self.tables)
         writer = events.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 

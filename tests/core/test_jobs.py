@@ -236,7 +236,9 @@ def test_the_source_log_proves_the_end(job):
     scans = "started_at string, ended_at string"
     tables(log_times=([(at, "2026-01-01 00:00:00")], "lsn string, commit_at string"), log_scans=([("2026-01-01 00:00:01", "2026-01-01 00:00:02")], scans), log_clock=([("2026-01-01 00:00:05",)], "now string"))
     log = SourceLog.folder(spark, f"{tmp}/log")
-    assert log.snapshot() == Snapshot("2026-01-01 00:00:05.000000", at, "2026-01-01 00:00:00.000000") and log.oldest() == at
+    assert log.snapshot() == Snapshot("2026-01-01 00:00:05.000000", at, "2026-01-01 00:00:00.000000") and log.oldest() == at and log.reuse_wait() is None
+    tables(log_database=([("REPLICATION",)], "log_reuse_wait string"))
+    assert log.reuse_wait() == "REPLICATION"
     assert not sync.drain(run, applier, 1.0, 0.1, log)  # the position isn't captured
     envelopes(tmp / "changes", "1.json", [(10, "d", {"Id": "5"}, None)])
     assert not sync.drain(run, applier, 3.0, 0.1, log) and store.manifest()["applied"] == 1  # applied, but no scan has started since

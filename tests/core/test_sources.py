@@ -9,6 +9,7 @@ from concordia.operators import chunks as C
 from concordia.plans.load import Loader
 from concordia.sources import changetable as ct
 from concordia.sources import tables
+from concordia.sources.log import Snapshot, SourceLog
 from concordia.streaming import sync
 from tests.core.test_jobs import job  # noqa: F401
 
@@ -123,3 +124,16 @@ def test_rows_of_ranges_are_counted_alike_by_search_and_by_as_of(spark):
         bounds = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(C.ranges(starts))], "chunk_no long, lower long, upper long")
         one, two = ({r.chunk_no: r.row_count for r in C.chunk_counts(df, "k", bounds, most).collect()} for most in (100, -1))
         assert one == two and sum(one.values()) == 980 and len(one) == len(starts) + 1
+
+
+def test_a_database_s_own_tables_say_what_its_log_holds(spark):
+    url = database(spark, 1)
+    statement = spark._jvm.java.sql.DriverManager.getConnection(url).createStatement()
+    statement.execute("CREATE TABLE times (lsn varchar(22), ended timestamp)")
+    statement.execute("CREATE TABLE scans (a timestamp, b timestamp)")
+    statement.execute("INSERT INTO times VALUES ('0x0000000A000000000001', '2026-01-01 00:00:00'), ('0x0000000B000000000002', '2026-01-01 00:00:03')")
+    statement.execute("INSERT INTO scans VALUES ('2026-01-01 00:00:04', '2026-01-01 00:00:05'), ('2026-01-01 00:00:06', NULL)")
+    queries = {"log_times": "SELECT lsn, ended AS commit_at FROM times", "log_scans": "SELECT a AS started_at, b AS ended_at FROM scans", "log_clock": "SELECT MAX(a) AS now FROM scans", "log_bounds": "SELECT 'Dbo.' || SUBSTR(lsn, 10, 1) AS table_name, lsn AS low FROM times"}
+    log = SourceLog.jdbc(spark, url, {"driver": DRIVER}, queries)
+    assert log.snapshot() == Snapshot("2026-01-01 00:00:06.000000", "0000000b:00000000:0002", "2026-01-01 00:00:03.000000")
+    assert log.scanned_since("2026-01-01 00:00:03.000000") and not log.scanned_since("2026-01-01 00:00:05.000000") and log.oldest() == "0000000b:00000000:0002" and log.oldest(["dbo.A"]) == "0000000a:00000000:0001" and log.reuse_wait() is None
