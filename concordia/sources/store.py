@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import threading
 import time
 import uuid
@@ -259,7 +260,7 @@ class Store:
             try:
                 self.commit(lease.give_back)
             except Exception as e:  # it runs out by itself
-                print(f"lease {name}: {type(e).__name__}")
+                print(f"lease {name}: {type(e).__name__}", file=sys.stderr)
 
     def held(self, state: dict | None = None) -> list[str]:
         """Names of the leases that have not run out."""

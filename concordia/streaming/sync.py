@@ -14,6 +14,7 @@ So the head of the log, and what is pending, are found without opening the rest
 
 from __future__ import annotations
 
+import sys
 import threading
 import time
 from collections.abc import Callable
@@ -375,7 +376,7 @@ class StatusListener(StreamingQueryListener):
         try:
             write_watermark(self.applier, batch=p.batchId, batch_rows=p.numInputRows, rows_per_second=p.processedRowsPerSecond)
         except Exception as e:  # the next one tells
-            print(f"status: {type(e).__name__}")
+            print(f"status: {type(e).__name__}", file=sys.stderr)
 
 
 @contextmanager
@@ -388,7 +389,7 @@ def ticking(applier: Applier, seconds: float):
             try:
                 write_watermark(applier)
             except Exception as e:  # the next tick tells
-                print(f"status: {type(e).__name__}")
+                print(f"status: {type(e).__name__}", file=sys.stderr)
 
     applier.store.spark.streams.addListener(listener)
     thread = threading.Thread(target=run, daemon=True)

@@ -315,3 +315,30 @@ def test_command_line(job, tmp_path, capsys):
     assert run("vacuum") == co.OK and run("load") == co.REFUSED and cli.main(["nonsense"]) == co.BAD_CONFIG and cli.main(["plan", "--config", f"{tmp}/none.json"]) == co.BAD_CONFIG
     (tmp / "rules.json").write_text("{}")
     assert run("plan") == co.BLOCKED and run("load") == co.BLOCKED
+
+
+def test_command_line_with_a_capture_first(job, capsys):
+    spark, tmp, plan, store, source = job
+    item = CATALOG.tables[0]
+    raw = {"tables": [{"schema": "dbo", "name": "Item", "columns": [{k: getattr(c, k) for k in ("ordinal", "name", "type", "max_length", "precision", "scale", "nullable", "computed")} for c in item.columns], "indexes": [{"name": "pk_item", "kind": "PRIMARY_KEY", "keys": [["Id", False]]}]}]}
+    (tmp / "src" / "catalog.json").write_text(json.dumps(raw))
+    (tmp / "rules.json").write_text(json.dumps(RULES))
+    at = "0000000a:00000000:0001"
+    spark.createDataFrame([(at, "2026-01-01 00:00:00")], "lsn string, commit_at string").write.parquet(f"{tmp}/log/log_times")
+    spark.createDataFrame([("2026-01-01 00:00:06", "2026-01-01 00:00:07")], "started_at string, ended_at string").write.parquet(f"{tmp}/log/log_scans")
+    spark.createDataFrame([("2026-01-01 00:00:05",)], "now string").write.parquet(f"{tmp}/log/log_clock")
+    settings = {"source": f"{tmp}/src", "state": f"{tmp}/cli", "job": "j", "rules": f"{tmp}/rules.json", "log": f"{tmp}/log", "changes": f"{tmp}/changes"}
+    c = tmp / "job.json"
+    c.write_text(json.dumps(settings))
+    run = lambda *a: cli.main([*a, "--config", str(c)])
+    envelopes(tmp / "changes", "1.json", [(10, "d", {"Id": "5"}, None)])
+    assert run("init") == co.OK and run("schema") == co.OK and run("load") == co.REFUSED
+    assert "start position" in capsys.readouterr().err
+    assert run("sync", "--once") == co.OK and run("load") == co.OK and run("sync") == co.OK
+    assert run("status") == co.OK
+    out = capsys.readouterr().out
+    shown = json.loads(out[out.index("{") :])
+    assert shown["pending"] == 0 and shown["applied"] == 1 and shown["source"]["log_from"] == at and shown["source"]["log_reuse_wait"] is None
+    c.write_text(json.dumps(settings | {"rows_per_bucket": 7}))  # other settings than the job began with
+    assert run("load") == co.REFUSED and run("sync", "--once") == co.REFUSED
+    assert "settings" in capsys.readouterr().err
