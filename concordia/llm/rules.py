@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordia.llm.common import quoted
+
 #: Words in a window of the repetition count.
 WINDOW = 8
 #: The symbols counted by the base rules.
@@ -84,7 +86,7 @@ def _characters(text: Column, of: str) -> Column:
 def counted(docs: DataFrame, text_col: str = "text", stop_words: dict[str, list[str]] | None = None) -> DataFrame:
     """``COUNTS`` of each row's text, all columns of the row in the struct ``_row``."""
     common = sorted({w for ws in (stop_words or STOP_WORDS).values() for w in ws})
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), F.struct("*").alias("_row"))
+    rows = docs.select(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("_text"), F.struct("*").alias("_row"))
     rows = rows.withColumn("_words", F.array_remove(F.split("_text", _BLANK + "+"), ""))
     rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     rows = _with_repeats(rows)
