@@ -7,6 +7,7 @@ An index never changes, so it is read once by a process.
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ LOG = "commit_lsn string, change_lsn string, event_serial_no long, op string, ta
 #: A position before every other.
 BEFORE_ALL = ["", "", -1]
 _known: dict[tuple[str, str], list] = {}
+_reading = threading.Lock()  # a status is told while batches are applied
 
 
 @dataclass(frozen=True)
@@ -74,14 +76,15 @@ def indexed(store: Store, path: str) -> dict | None:
 
 def parts_of(store: Store, log: list[dict]) -> list[Part]:
     """All parts of the log's batches."""
-    out = []
-    for b in log:
-        known = (store.root, b["index"])
-        if known not in _known:
-            _known[known] = [Part(p["path"], p["tables"]) for p in store.get_json(b["index"])]
-        out += _known[known]
-    for gone in [k for k in _known if k[0] == store.root and k[1] not in {b["index"] for b in log}]:
-        _known.pop(gone, None)
+    out, named = [], {b["index"] for b in log}
+    with _reading:
+        for b in log:
+            known = (store.root, b["index"])
+            if known not in _known:
+                _known[known] = [Part(p["path"], p["tables"]) for p in store.get_json(b["index"])]
+            out += _known[known]
+        for gone in [k for k in _known if k[0] == store.root and k[1] not in named]:
+            del _known[gone]
     return out
 
 
