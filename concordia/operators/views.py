@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordia.functions import lsn
+from concordia.operators.chunks import dealt
 
 
 def as_of(probes: DataFrame, times: DataFrame, probe: str, at: str = "lsn", value: str = "commit_at") -> DataFrame:
     """JOIN7: for each probe the value at the last position up to it.
 
     Probes and times are put in one stream in order of position; a running maximum over ranges
-    of positions and the maximum of all earlier ranges give the answer without pairing rows.
+    of positions and the maximum of all earlier ranges give the answer without pairing rows.  Both
+    take a row's range from where the ranges start, which is settled beforehand.
     """
     from pyspark.sql import Window as W
 
-    both = times.select(F.col(at).alias("_p"), F.struct(F.col(at).alias("at"), F.col(value).alias("v")).alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(probes.schema[probe].dataType).alias(probe))
+    both = times.where(F.col(at).isNotNull()).select(F.col(at).alias("_p"), F.struct(F.col(at).alias("at"), F.col(value).alias("v")).alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(probes.schema[probe].dataType).alias(probe))
     both = both.unionByName(probes.select(F.col(probe).alias("_p"), F.lit(None).cast(both.schema["_t"].dataType).alias("_t"), F.lit(1).alias("_k"), F.col(probe)))
-    both = both.repartitionByRange("_p").withColumn("_part", F.spark_partition_id())
+    both, parts = dealt(both, "_p")
     run = W.partitionBy("_part").orderBy("_p", "_k").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = both.groupBy("_part").agg(F.max("_t").alias("_m"))
-    edge = edge.withColumn("_before", F.max("_m").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", "_before")  # a row per partition
+    last = both.where("_k = 0").groupBy("_part").agg(F.max("_t").alias("_m"))
+    every = probes.sparkSession.range(parts).select(F.col("id").cast("int").alias("_part")).join(last, "_part", "left")  # a row per range, also of those without times
+    edge = every.select("_part", F.max("_m").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
     found = both.withColumn("_here", F.max("_t").over(run)).where("_k = 1").join(F.broadcast(edge), "_part")
     return found.select(probe, F.coalesce("_here", "_before")["v"].alias(value))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concordia.operators import chunks as C
+from concordia.operators import views
 from concordia.plans.load import Loader
 from concordia.sources import changetable as ct
 from concordia.sources import tables
@@ -126,6 +127,16 @@ def test_rows_of_ranges_are_counted_alike_by_search_and_by_as_of(spark):
         assert one == two and sum(one.values()) == 980 and len(one) == len(starts) + 1
 
 
+def test_a_lookup_finds_the_last_position_over_many_ranges(spark):
+    times = spark.range(30_000).select((F.col("id") * 2).alias("lsn"), F.concat(F.lit("t"), F.col("id") * 2).alias("commit_at")).unionByName(spark.createDataFrame([(None, "never")], "lsn long, commit_at string"))
+    probes = spark.range(-5, 200_000, numPartitions=6).select(F.when(F.col("id") != 7, F.col("id")).alias("probe"))
+    for probe in (probes, probes.where("probe > 150000")):  # the second: ranges without any times
+        found = views.as_of(probe, times, "probe")
+        want = F.when(F.col("probe") >= 0, F.concat(F.lit("t"), F.least(F.lit(59_998), F.col("probe") - F.col("probe") % 2)))
+        n, wrong = found.agg(F.count("*"), F.count_if(~F.col("commit_at").eqNullSafe(want))).first()
+        assert (n, wrong) == (probe.count(), 0)
+
+
 def test_a_database_s_own_tables_say_what_its_log_holds(spark):
     url = database(spark, 1)
     statement = spark._jvm.java.sql.DriverManager.getConnection(url).createStatement()
