@@ -40,6 +40,8 @@ _POSITIONS = "table_name string, commit_lsn string, change_lsn string, event_ser
 
 #: Buckets of one table, at most.
 MOST_BUCKETS = 65_536
+#: Events of a batch whose number isn't set: so many at least, or one for so many rows of the tables that it changes.
+LEAST_BATCH, ROWS_PER_EVENT = 100_000, 4
 
 
 class BadBatch(RuntimeError):
@@ -176,9 +178,13 @@ class Applier:
     Buckets are numbered by linear hashing: as a table grows, further ones split off, a few with each
     batch, so the rows that one changed key rewrites don't grow with the table (up to ``MOST_BUCKETS``).
     The rows of each bucket are counted from its files' footers as it is written.
+
+    A batch whose keys lie all over a table rewrites all of it.  Were its size fixed, then the rewritten
+    rows would grow with the table's rows times its changes.  So unless ``batch_size`` sets a number, a
+    batch grows with the tables that it changes, and a change costs a few rewritten rows at any size.
     """
 
-    def __init__(self, store: Store, plans: list[TablePlan], rows_per_bucket: int = 50_000, batch_size: int = 100_000, writer: Store | Lease | None = None) -> None:
+    def __init__(self, store: Store, plans: list[TablePlan], rows_per_bucket: int = 50_000, batch_size: int | None = None, writer: Store | Lease | None = None) -> None:
         self.store, self.plans, self.writer = store, {p.name.lower(): p for p in plans}, writer or store
         self.schemas = {t: struct_type(p) for t, p in self.plans.items()}
         self.keys = {t: list(p.key) for t, p in self.plans.items()}
@@ -200,14 +206,20 @@ class Applier:
         """STR3: loaded tables with a key, and their applied positions; one that waits blocks no other."""
         return {t: state["positions"].get(t) or BEFORE_ALL for t, s in state["tables"].items() if s.get("status") == "LOADED" and self.keys.get(t)}
 
+    def events_at_once(self, state: dict, tables: set[str]) -> int:
+        """How many events a batch takes that may change these tables."""
+        rows = sum(state["tables"][t].get("rows") or 0 for t in tables)
+        return self.batch_size or max(LEAST_BATCH, rows // ROWS_PER_EVENT)
+
     def head(self, state: dict) -> DataFrame | None:
-        """SRT1: the first ``batch_size`` pending events of ready tables in log order; None if there are none.
+        """SRT1: the first ``events_at_once`` pending events of ready tables in log order; None if there are none.
 
         The index says which parts can hold them.  Up to ``sure`` there are no more than a batch's events,
         up to ``end`` at least as many, so only events between the two are looked through for the last one.
         """
-        ready, n = self.ready(state), self.batch_size
+        ready = self.ready(state)
         parts = [p for p in (p.of(ready) for p in parts_of(self.store, state["log"])) if p is not None]
+        n = self.events_at_once(state, {t for p in parts for t in p.tables})
         cut = find_head(parts, n)
         self.opened = [p.path for p in cut.open]
         if not cut.open:

@@ -261,6 +261,19 @@ def test_ten_batches_open_only_the_files_of_their_heads(job):  # noqa: F811
     assert store.manifest()["log"] == [] and {r.nm for r in applier.read("item").select("nm").distinct().collect()} == {"v4"}
 
 
+def test_the_rows_that_changes_all_over_a_table_rewrite_grow_as_the_table(job, monkeypatch):  # noqa: F811
+    spark, tmp, plan, store, source = job
+    monkeypatch.setattr(sync, "LEAST_BATCH", 10)
+    Loader(store, plan.tables, source).run()
+    captured(store, plan, tmp, [[(k + 1, "u", {"Id": str(37 * k % 100)}, FULL(37 * k % 100)) for k in range(100)]], part_rows=10)
+    applier, rewritten = sync.Applier(store, plan.tables, rows_per_bucket=10), []
+    while applier.step():
+        rewritten.append(store.manifest()["tables"]["item"]["rewritten"]["rows"])
+    assert len(rewritten) == 4 and sum(rewritten) <= 400, rewritten  # a quarter of the rows at a time, not ten events
+    assert applier.events_at_once(store.manifest(), {"item"}) == 25 and applier.events_at_once(store.manifest(), set()) == 10
+    assert applier.read("item").where("nm = 'new'").count() == 100 == store.manifest()["applied"]
+
+
 def test_a_late_batch_is_held_against_the_parts_it_reaches_into(job):  # noqa: F811
     spark, tmp, plan, store, source = job
     rows = lambda a, b: [(k, "u", {"Id": str(k % 100)}, FULL(k % 100)) for k in range(a, b)]
