@@ -25,10 +25,11 @@ def distinct_events(events: DataFrame, by: Sequence[str] = POSITION) -> DataFram
 def not_applied(events: DataFrame, applied: DataFrame, table: str = "table_name") -> DataFrame:
     """JOIN4, STR7: events after their table's applied position; a table that is not known yet keeps all.
 
-    ``applied`` has one row per table: (table, commit_lsn, change_lsn, event_serial_no).
+    ``applied`` has one row per table: (table, commit_lsn, change_lsn, event_serial_no).  It is
+    broadcast, since joined by the table's name all events of a table would meet in one task.
     """
     done = applied.select(F.lower(table).alias("_t"), lsn.position().alias("_at"))
-    rows = events.join(done, F.lower(F.col(table)) == F.col("_t"), "left")
+    rows = events.join(F.broadcast(done), F.lower(F.col(table)) == F.col("_t"), "left")
     return rows.where(F.col("_at").isNull() | (lsn.position() > F.col("_at"))).drop("_t", "_at")
 
 
@@ -104,13 +105,27 @@ def carried(events: DataFrame, key: Sequence[str], column: str) -> Column:
 
 
 def net_effect(events: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """WIN4: the last step per key: key columns, ``op``, ``epoch`` and each column as struct<v> or null if unavailable throughout."""
+    """WIN4: the last step per key: key columns, ``op``, ``epoch`` and each column as struct<v> or null if unavailable throughout.
+
+    Values are taken out of the images first, so that one exchange and one sort of short rows do.  A
+    delete counts as a step that takes each value away, which ends what a life carries (``carried``).
+    """
     keys = [f"key_{k}" for k in key]
-    steps = with_epochs(split_key_changes(events, key), keys)
-    steps = steps.withColumns({f"c_{c}": carried(steps, keys, c) for c in columns})
-    last = F.row_number().over(W.partitionBy(*keys).orderBy(*[F.desc(p) for p in POSITION], F.desc("sub")))
-    steps = steps.withColumn("_r", last).where("_r = 1")
-    return steps.select(*[F.col(a).alias(k) for a, k in zip(keys, key, strict=True)], "op", "epoch", *[F.col(f"c_{c}").alias(c) for c in columns])
+    steps, gone = split_key_changes(events, key), F.col("op") == "d"
+
+    def value(c: str) -> Column:
+        got = F.col("after")[F.lit(c)]
+        there = got.isNotNull() & ~F.coalesce(got["unavailable"], F.lit(False))
+        none = F.lit(None).cast("string")
+        return F.when(gone, F.struct(none.alias("v"), F.lit(False).alias("there"))).when(there, F.struct(got["v"].alias("v"), F.lit(True).alias("there")))
+
+    steps = steps.select(*keys, *POSITION, "sub", "op", *[value(c).alias(f"c_{c}") for c in columns])
+    order = W.partitionBy(*keys).orderBy(*POSITION, "sub")
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = {"epoch": F.sum(F.when(gone, 1).otherwise(0)).over(so_far), "_last": F.lead(F.lit(1)).over(order).isNull()}
+    steps = steps.withColumns(seen | {f"c_{c}": F.last(f"c_{c}", ignorenulls=True).over(so_far) for c in columns}).where("_last")
+    held = lambda c: F.when(F.col(c)["there"], F.struct(F.col(c)["v"].alias("v")))
+    return steps.select(*[F.col(a).alias(k) for a, k in zip(keys, key, strict=True)], "op", "epoch", *[held(f"c_{c}").alias(c) for c in columns])
 
 
 def applied_to(target: DataFrame, net: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -120,13 +135,13 @@ def applied_to(target: DataFrame, net: DataFrame, key: Sequence[str]) -> DataFra
     only; where there is none, the batch fails and names the column.
     """
     rest = [c for c in target.columns if c not in key]
-    typed = net.select(*[F.col(k).cast(target.schema[k].dataType).alias(k) for k in key], "op", "epoch", *rest)
-    kept = target.join(typed.select(*key), list(key), "left_anti")
-    old = target.select(*key, *[F.col(c).alias(f"_old_{c}") for c in rest], F.lit(True).alias("_there"))
-    new = typed.where("op <> 'd'").join(old, list(key), "left")
-    value = {}
+    new = net.select(*[F.col(k).cast(target.schema[k].dataType).alias(f"_key_{k}") for k in key], F.col("op").alias("_op"), F.col("epoch").alias("_epoch"), *[F.col(c).alias(f"_new_{c}") for c in rest], F.lit(True).alias("_changed"))
+    old = target.select("*", F.lit(True).alias("_there"))
+    same = [F.col(k) == F.col(f"_key_{k}") for k in key]
+    rows = old.join(new, same, "full").where("_changed IS NULL OR _op <> 'd'")  # in one join, so that each side is read and moved once
+    value = {k: F.when(F.col("_changed").isNull(), F.col(k)).otherwise(F.col(f"_key_{k}")) for k in key}
     for c in rest:
-        kind = target.schema[c].dataType
+        got, kind = F.col(f"_new_{c}"), target.schema[c].dataType
         none = F.raise_error(F.concat(F.lit(f"no value for column {c} of a changed row")))
-        value[c] = F.when(F.col(c).isNotNull(), F.col(c)["v"].cast(kind)).when((F.col("epoch") == 0) & F.col("_there"), F.col(f"_old_{c}")).otherwise(none.cast(kind))
-    return kept.select(*target.columns).unionByName(new.select(*key, *[value[c].alias(c) for c in rest]).select(*target.columns))
+        value[c] = F.when(F.col("_changed").isNull(), F.col(c)).when(got.isNotNull(), got["v"].cast(kind)).when((F.col("_epoch") == 0) & F.col("_there"), F.col(c)).otherwise(none.cast(kind))
+    return rows.select(*[value[c].alias(c) for c in target.columns])

@@ -91,12 +91,8 @@ class Capture:
             if bad := _reasons(envelope.invalid(events, self.columns)):
                 raise BadBatch(bad)  # STR8: a schema change stops here too
             edge = events.agg(F.max(F.coalesce("stream_lsn", "commit_lsn")).alias("stream"), F.min(F.coalesce("stream_lsn", "commit_lsn")).alias("first"), F.max("src_commit_at").cast("string").alias("at")).first()
-            new = ch.distinct_events(self._renamed(events.where("kind = 'CHANGE'")))
-            new = ch.not_applied(new, positions_frame(self.store, state)).persist()
-            try:
-                batch = self._append(new, state)
-            finally:
-                new.unpersist()
+            new = self._renamed(events.where("kind = 'CHANGE'"))
+            batch = self._append(ch.not_applied(new, positions_frame(self.store, state)), state)
         finally:
             events.unpersist()
 
@@ -115,7 +111,10 @@ class Capture:
         self.writer.commit(publish)
 
     def _append(self, new: DataFrame, state: dict) -> dict | None:
-        """Write events that the log doesn't hold yet, in parts of ascending positions; the batch's entry in the log."""
+        """Write events that the log doesn't hold yet, in parts of ascending positions; the batch's entry in the log.
+
+        An event that comes twice lies twice in one part's range, so it is met there, without a move of its own.
+        """
         n, low, high = new.agg(F.count("*"), F.min(lsn.position()), F.max(lsn.position())).first()
         if not n:
             return None
@@ -123,7 +122,8 @@ class Capture:
         if near:  # only parts that reach into the batch's positions can hold one of its events
             new = new.join(self.store.open(near, LOG).select(*ch.POSITION), list(ch.POSITION), "left_anti")
         rows = new.select(*[F.col(c) for c in ("commit_lsn", "change_lsn", "event_serial_no", "op", "table_name", "before", "after", "src_commit_at")])
-        path = self.store.save(rows.repartitionByRange(-(-n // self.part_rows), *ch.POSITION).sortWithinPartitions(*ch.POSITION), "log")
+        parts = ch.distinct_events(rows.repartitionByRange(-(-n // self.part_rows), *ch.POSITION))
+        path = self.store.save(parts.sortWithinPartitions(*ch.POSITION), "log")
         return indexed(self.store, path)
 
     def run(self, folder: str, checkpoint: str, available_now: bool = True):
@@ -275,30 +275,27 @@ class Applier:
         strict = [c.name for c in plan.load_columns if c.source.type in TEXT_TYPES and c.rule.nul_char == "fail"]
         if bad := _reasons(ch.faults(events, key, strict)):
             raise BadBatch(f"{table}: {bad}")
+        files, rows = self.store.files(state, table), self.store.bucket_rows(state, table)
+        had, known = state["tables"][table].get("buckets"), state["tables"][table].get("rows") or 0
+        whole = had is None  # as loaded, not bucketed yet
+        if whole:
+            buckets, rewrite = self.wanted(known), None
+        else:
+            keys = ch.split_key_changes(events, key).select(*[F.col(f"key_{k}").cast(schema[k].dataType).alias(k) for k in key])
+            touched = {r[0] for r in keys.select(self.bucket(table, had).alias("b")).distinct().collect()}  # bucket numbers
+            buckets, rewrite = grown(had, self.wanted(known), touched)
         net = ch.net_effect(events, key, [c.name for c in plan.load_columns if c.name not in key])
-        net = net.withColumns({c.name: self._value(c) for c in plan.load_columns if c.name not in key}).persist()
-        try:
-            files, rows = self.store.files(state, table), self.store.bucket_rows(state, table)
-            had, known = state["tables"][table].get("buckets"), state["tables"][table].get("rows") or 0
-            whole = had is None  # as loaded, not bucketed yet
-            if whole:
-                buckets, rewrite = self.wanted(known), None
-            else:
-                typed = net.select(*[F.col(k).cast(schema[k].dataType).alias(k) for k in key])
-                touched = {r[0] for r in typed.select(self.bucket(table, had).alias("b")).distinct().collect()}  # bucket numbers
-                buckets, rewrite = grown(had, self.wanted(known), touched)
-            old = self.read(table, state, None if whole else sorted(rewrite)).select(*[c.name for c in plan.load_columns])
-            after = with_generated(ch.applied_to(old, net, key), plan)
-            parts = self.store.save_parts(after.withColumn("_b", self.bucket(table, buckets)), table, "_b")
-            counted = self._rows_of(parts)
-            done = range(buckets) if whole else [*sorted(rewrite), *range(had, buckets)]
-            work = {"rows": known if whole else sum(rows.get(str(b), 0) for b in rewrite), "buckets": len(done), "split": 0 if whole else buckets - had}
-            for b in done:
-                files[str(b)], rows[str(b)] = [parts[str(b)]] if str(b) in parts else [], counted.get(b, 0)
-            files.pop("-1", None)
-            return {"files": self.store.put_files(table, files, rows), "buckets": buckets, "rows": sum(rows.values()), "rewritten": work}
-        finally:
-            net.unpersist()
+        net = net.withColumns({c.name: self._value(c) for c in plan.load_columns if c.name not in key})
+        old = self.read(table, state, None if whole else sorted(rewrite)).select(*[c.name for c in plan.load_columns])
+        after = with_generated(ch.applied_to(old, net, key), plan)
+        parts = self.store.save_parts(after.withColumn("_b", self.bucket(table, buckets)), table, "_b")
+        counted = self._rows_of(parts)
+        done = range(buckets) if whole else [*sorted(rewrite), *range(had, buckets)]
+        work = {"rows": known if whole else sum(rows.get(str(b), 0) for b in rewrite), "buckets": len(done), "split": 0 if whole else buckets - had}
+        for b in done:
+            files[str(b)], rows[str(b)] = [parts[str(b)]] if str(b) in parts else [], counted.get(b, 0)
+        files.pop("-1", None)
+        return {"files": self.store.put_files(table, files, rows), "buckets": buckets, "rows": sum(rows.values()), "rewritten": work}
 
     def _rows_of(self, parts: dict[str, str]) -> dict[int, int]:
         """Rows by bucket, from the footers of the files just written."""

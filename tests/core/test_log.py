@@ -261,6 +261,17 @@ def test_ten_batches_open_only_the_files_of_their_heads(job):  # noqa: F811
     assert store.manifest()["log"] == [] and {r.nm for r in applier.read("item").select("nm").distinct().collect()} == {"v4"}
 
 
+def test_an_event_that_a_batch_holds_twice_is_captured_once(job):  # noqa: F811
+    spark, tmp, plan, store, source = job
+    Loader(store, plan.tables, source).run()
+    once = [(k, "u", {"Id": str(k)}, FULL(k, f"v{k}")) for k in range(1, 81)]
+    captured(store, plan, tmp, [once + once[20:60] + once[:1]], part_rows=20)
+    state = store.manifest()
+    parts = sorted(parts_of(store, state["log"]), key=lambda p: p.first)
+    assert state["captured"] == 80 == sum(p.count for p in parts) and all(a.last < b.first for a, b in zip(parts, parts[1:], strict=False))
+    assert sync.Applier(store, plan.tables).step() == 80
+
+
 def test_the_rows_that_changes_all_over_a_table_rewrite_grow_as_the_table(job, monkeypatch):  # noqa: F811
     spark, tmp, plan, store, source = job
     monkeypatch.setattr(sync, "LEAST_BATCH", 10)

@@ -125,6 +125,31 @@ def test_an_image_without_its_value_fails_the_batch(spark):
     assert changes.applied_to(df, changes.net_effect(events(spark, good), ["k"], ["lob"]), ["k"]).first() == ("1", "old")
 
 
+def test_events_of_one_table_stay_where_they_are_when_held_against_its_position(spark):
+    at = F.lpad(F.col("id").cast("string"), 4, "0")
+    log = spark.range(0, 400, numPartitions=4).select(at.alias("commit_lsn"), at.alias("change_lsn"), F.lit(1).cast("long").alias("event_serial_no"), F.lit("t").alias("table_name"))
+    applied = spark.createDataFrame([("T", "0009", "0009", 1), ("u", "0300", "0300", 1)], "table_name string, commit_lsn string, change_lsn string, event_serial_no long")
+    got = changes.not_applied(log, applied).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sorted(r["count"] for r in got) == [90, 100, 100, 100]  # not all in one task
+    none = changes.not_applied(log, applied.where("false"))
+    assert none.count() == 400 and none.select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_netting_sorts_once_and_application_reads_each_side_once(spark):
+    rows = [(1, "u", {"k": "1"}, {"k": "1", "v": "a"}), (2, "d", {"k": "1"}, None), (3, "c", None, {"k": "1", "v": "?"}), (4, "u", {"k": "2"}, {"k": "3", "v": "?"}), (5, "u", {"k": "3"}, {"k": "3", "v": "b"}), (6, "d", {"k": "4"}, None)]
+    net = changes.net_effect(events(spark, rows), ["k"], ["v"])
+    plan = net._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1, plan
+    assert {(r.k, r.op, r.epoch, r.v and r.v.v) for r in net.collect()} == {("1", "u", 1, None), ("2", "d", 1, None), ("3", "u", 0, "b"), ("4", "d", 1, None)}
+    target = spark.range(10, numPartitions=2).select(F.col("id").cast("string").alias("k"), F.lit("old").alias("v"))
+    after = changes.applied_to(target, changes.net_effect(events(spark, rows[3:]), ["k"], ["v"]), ["k"])
+    assert after._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+    assert {r.k: r.v for r in after.collect()} == {str(i): "b" if i == 3 else "old" for i in range(10) if i not in (2, 4)}
+    folded = spark.createDataFrame([("ab", "old"), ("c", "old")], "k string collate UTF8_LCASE, v string")  # a key that compares without case: the row gets the change's key
+    changed = changes.applied_to(folded, changes.net_effect(events(spark, [(1, "u", {"k": "AB"}, {"k": "AB", "v": "?"})]), ["k"], ["v"]), ["k"])
+    assert sorted((r.k, r.v) for r in changed.collect()) == [("AB", "old"), ("c", "old")]
+
+
 def test_faults_are_found_before_netting(spark):
     rows = [(1, "x", {"k": "1"}, {"k": "1"}), (2, "d", None, None), (3, "u", {"k": "1"}, None), (4, "u", {"k": "1"}, {"k": "1", "v": "a\x00"}), (5, "u", {"k": "1"}, {"k": "1", "v": "a"})]
     got = [r.reason for r in changes.faults(events(spark, rows), ["k"], ["v"]).orderBy("commit_lsn").collect()]
